@@ -1,10 +1,12 @@
 """The ten queries of this subpackage, and SQL where SQL can give the same rows."""
 
 from .byte_bpe import op7_byte_bpe
+from .language_id import op2_language_id
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
     "op7_byte_bpe": op7_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
