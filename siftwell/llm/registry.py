@@ -2,12 +2,14 @@
 
 from .byte_bpe import op7_byte_bpe
 from .language_id import op2_language_id
+from .personal_data import op4_personal_data
 from .secrets import op8_secret_scan
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
+    "op4_personal_data": op4_personal_data,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
 }
