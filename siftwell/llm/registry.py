@@ -1,6 +1,7 @@
 """The ten queries of this subpackage, and SQL where SQL can give the same rows."""
 
 from .byte_bpe import op7_byte_bpe
+from .decontamination import OP6_SQL, op6_decontamination
 from .language_id import op2_language_id
 from .personal_data import op4_personal_data
 from .secrets import op8_secret_scan
@@ -10,7 +11,10 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op4_personal_data": op4_personal_data,
+    "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": OP6_SQL,
+}
