@@ -35,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again, so that a lost executor never repeats what stands above.
 
-    The folder goes when the driver ends.
+    What was shuffled on the way is of no more use: a collection of the driver's garbage lets Spark delete it. The folder
+    goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -43,7 +44,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_sweep)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _sweep() -> None:

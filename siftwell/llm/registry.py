@@ -20,6 +20,5 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_decontamination": OP6_SQL,
 }
