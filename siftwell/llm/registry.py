@@ -6,6 +6,7 @@ from .embedding_dedup import op5_embedding_dedup
 from .language_id import op2_language_id
 from .personal_data import op4_personal_data
 from .secrets import op8_secret_scan
+from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .token_counts import op1_token_counts
 from .url_filter import op9_url_filter
 
@@ -18,7 +19,9 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
