@@ -154,7 +154,11 @@ def _column(kind: str, **of) -> pa.Table:
     return pa.table([pa.array([kind] * size, pa.string()), *[pa.array(of[x], pa.int64()) if x in of else pa.nulls(size, pa.int64()) for x in _SECOND_ARROW.names[1:]]], schema=_SECOND_ARROW)
 
 
-def _pair(asked: pa.Table) -> pa.Table:
+def _pair(paired: int):
+    return lambda asked: _paired(asked, paired)
+
+
+def _paired(asked: pa.Table, paired: int) -> pa.Table:
     """doc: documents (key, doc_id, n, class a) passed on; pair: a < b share n signatures of this part;
     star: a is the head of a large group that has b; large: class b is in the large group a."""
     here = asked.column("hashes").is_valid()
@@ -177,7 +181,7 @@ def _pair(asked: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(first, len(h)))
         pairs = []
-        for s in np.unique(size[(size > 1) & (size <= PAIRED)]):
+        for s in np.unique(size[(size > 1) & (size <= paired)]):
             group = cls[first[size == s][:, None] + np.arange(s)]
             i, j = np.triu_indices(s, 1)
             pairs.append(np.stack([group[:, i].ravel(), group[:, j].ravel()], 1))
@@ -185,7 +189,7 @@ def _pair(asked: pa.Table) -> pa.Table:
             both, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
             out.append(_column("pair", a=both[:, 0], b=both[:, 1], n=n))
         stars = []
-        for at, s in zip(first[size > PAIRED], size[size > PAIRED], strict=True):
+        for at, s in zip(first[size > paired], size[size > paired], strict=True):
             members = cls[at : at + s]
             head = members[np.argmin(mix(members.view(np.uint64)))]
             stars.append(np.stack([np.full(s, head), members], 1)[members != head])
@@ -262,7 +266,7 @@ def _blocks(asked: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
-def _large_links(large: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _large_links(large: DataFrame, known: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
     """Links between classes of large groups (group, class) that known (class, component) leaves apart."""
     own = sets.join(known, "class", "left").select("class", "need", "set", F.coalesce("component", "class").alias("component"))
     members = large.join(own.select("class", "need", "component"), "class")
@@ -273,7 +277,7 @@ def _large_links(large: DataFrame, known: DataFrame, sets: DataFrame) -> DataFra
     if members.isEmpty():
         return None
     clusters = components(members.where("head <> class").select(F.col("head").alias("a"), F.col("class").alias("b"))).select(F.col("id").alias("class"), F.col("component").alias("cluster"))
-    blocks = clusters.join(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster")
+    blocks = clusters.join(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "cluster")
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     groups = members.groupBy("class").agg(F.collect_list("group").alias("groups"))
     full = blocks.join(groups, "class").join(own, "class")
@@ -282,11 +286,11 @@ def _large_links(large: DataFrame, known: DataFrame, sets: DataFrame) -> DataFra
     return cut(each.groupBy("cluster", "one", "two").applyInArrow(_blocks, "a bigint, b bigint"), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, key (of id and text) and kept (one key of each component) of every row of docs (doc_id, text)."""
     parts = buckets(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    second = cut(rows.mapInArrow(_sign(parts), _FIRST).groupBy("part").applyInArrow(_pair, _SECOND), "jaccard-candidates")
+    second = cut(rows.mapInArrow(_sign(parts), _FIRST).groupBy("part").applyInArrow(_pair(paired), _SECOND), "jaccard-candidates")
     members = second.where("kind = 'doc'").select(F.col("a").alias("class"), "key", "doc_id", "n")
     large = second.where("kind = 'large'").select(F.col("a").alias("group"), F.col("b").alias("class"))
     pairs = second.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -320,19 +324,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         links = links.unionAll(more)
         known = components(links).withColumnRenamed("id", "class")
     # and last the classes of large groups that are still apart
-    last = _large_links(large, known, sets)
+    last = _large_links(large, known, sets, block)
     if last is not None and not last.isEmpty():
         known = components(links.unionAll(last)).withColumnRenamed("id", "class")
 
     placed = members.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = placed.where("class is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    smallest = placed.where("class is not null").groupBy("component").agg(first.alias("first")).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("kept_key"))
+    out = placed.join(smallest, "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", F.coalesce(F.col("key") == F.col("kept_key"), F.lit(True)).alias("kept"))
 
 
 def op3_jaccard_join(spark, sf_dir):
     from .common import table
 
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 #: The same rows in DuckDB: shingles as text, pairs by shared shingles, components by reachability.

@@ -113,6 +113,19 @@ def secret_spans(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] =
     return rows.select(*keep, F.col("__base").alias("base"), found.alias("found"))
 
 
+def masked(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
+    """text with every span (sorted by start; they may overlap) replaced."""
+
+    def step(acc: Column, s: Column) -> Column:
+        between = F.substring(text, acc["end"].cast("int") + 1, F.greatest(s["start"] - acc["end"], F.lit(0)).cast("int"))
+        more = F.when(s["start"] >= acc["end"], F.concat(acc["out"], between, F.lit(by))).otherwise(acc["out"])
+        return F.struct(more.alias("out"), F.greatest(acc["end"], s["end"]).alias("end"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("end"))
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["end"].cast("int") + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def op8_secret_scan(spark, sf_dir):
     from .common import table
 
