@@ -65,13 +65,14 @@ def prefixes(windows: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns named in keep, n_words, n_hit, item_ids (sorted as strings) and spans (of words hit) of every row of docs."""
-    spark = docs.sparkSession
+    names, keep = keep, tuple(f"kept_{i}" for i in range(len(keep)))
+    docs = docs.select(*[F.col(x).alias(k) for x, k in zip(names, keep, strict=True)], F.col("text").cast("string").alias("text"))
     items = items.select("item_id", words(F.col("text").cast("string")).alias("words"))
     windows = cut(windows_of(items, window), "benchmark-windows")
     wanted = cut(prefixes(windows.select("window")), "benchmark-prefixes")
     found = wanted.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
     keys = wanted.select("key", "offset", "window", "window_id")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, words(F.col("text").cast("string")).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, words(F.col("text")).alias("words"))
     # the document's own row comes first, as a shingle that no window has, so that documents without a hit stay
     marked = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("key"))), *[F.transform(_shingles(F.col("words"), s), lambda h, i: F.struct(i.alias("at"), h.alias("key"))) for s in sorted(found["sizes"])])
     if found["n"] <= BROADCAST_WINDOWS:
@@ -100,7 +101,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep:
     listed = windows.select(F.xxhash64("window").alias("window_id"), F.explode("item_ids").alias("item_id"))
     per_doc = hits.select("row", F.explode("window_ids").alias("window_id")).join(listed, "window_id").groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     none = F.array().cast("array<string>")
-    return hits.join(per_doc, "row", "left").select(*keep, "n_words", "n_hit", F.coalesce("item_ids", none).alias("item_ids"), "spans")
+    return hits.join(per_doc, "row", "left").select(*[F.col(k).alias(x) for x, k in zip(names, keep, strict=True)], "n_words", "n_hit", F.coalesce("item_ids", none).alias("item_ids"), "spans")
 
 
 def op6_decontamination(spark, sf_dir):
