@@ -32,18 +32,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
     ship(spark)
-    gone = jaccard_components(docs).where("not kept").select("key").distinct()
-    rest = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(gone, "key", "left_anti")
-    first = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # rows of equal id and text are one document
-    return rest.withColumn("nth", first).where("nth = 1").select(docs.columns)
+    gone = jaccard_components(docs).where("not kept").select(F.col("key").alias("__key")).distinct()
+    rest = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(gone, "__key", "left_anti")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))  # rows of equal id and text are one document
+    return rest.withColumn("__nth", first).where("__nth = 1").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     ship(spark)
-    rows = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    hit = decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=("key",)).where("n_hit > 0").select("key").distinct()
-    return rows.join(hit, "key", "left_anti").select(docs.columns)
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    hit = decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=("__key",)).where("n_hit > 0").select("__key").distinct()
+    return rows.join(hit, "__key", "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
