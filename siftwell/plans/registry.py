@@ -1,4 +1,675 @@
-"""The queries of the library's own operators, and SQL that gives the same rows."""
+"""The queries of the library's own operators on stand-in tables, and SQL that gives the same rows.
+
+Predictions are lineitems (the score is ten times the discount), sizes are (quantity, line number), files are documents
+(format: language, mode: source, bytes: characters), leaks are looked for between documents' sources and embeddings.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import percentiles as pct
+from ..functions import scalars as fn
+from ..operators import attention, calibration, etl, evaluation, features, leakage, planning, profile, resolution, sampling, scoring
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+K, DIGITS = 10, 6
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Sums of fractions depend on their order: results are compared to six digits."""
+    return df.select(*[(F.round(c, DIGITS) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def query(sql: str | None = None, doubles: str = ""):
+    """Registers a query under its function's name; doubles are the columns that sql rounds."""
+
+    def register(f):
+        name = f.__name__
+        QUERIES[name] = lambda spark, d: rounded(f(spark, d))
+        if sql:
+            shown = ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in doubles.split())
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({shown}) FROM ({sql})" if shown else sql
+        return f
+
+    return register
+
+
+# stand-ins --------------------------------------------------------------------------------------------------------------
+def predictions(spark, d) -> DataFrame:
+    li = t(spark, d, "lineitem")
+    path = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return li.select(path.alias("path"), (F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_discount") * 10).alias("prob"), F.col("l_linestatus").alias("augment"), F.col("l_linenumber").cast("string").alias("variant"))
+
+
+PRED = "(SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS path, CAST(l_returnflag = 'R' AS INT) AS label, l_discount * 10 AS prob, CAST(l_discount * 10 >= 0.5 AS INT) AS pred, l_linestatus AS augment, CAST(l_linenumber AS VARCHAR) AS variant FROM lineitem)"
+
+
+def headers(spark, d) -> DataFrame:
+    return t(spark, d, "lineitem").select(F.col("l_returnflag").alias("split"), F.col("l_quantity").cast("int").alias("width"), F.col("l_linenumber").cast("int").alias("height"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"))
+
+
+DIMS = "(SELECT l_returnflag AS split, CAST(l_quantity AS INT) AS width, CAST(l_linenumber AS INT) AS height, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS path FROM lineitem)"
+
+
+def files(spark, d) -> DataFrame:
+    return t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("."), F.col("lang")).alias("ext"), F.col("source").alias("mode"), F.col("lang").alias("format"), F.col("n_chars").alias("bytes"))
+
+
+def items(spark, d) -> DataFrame:
+    long = F.length("text") >= 200
+    n = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
+    return t(spark, d, "documents").select(F.col("lang").alias("class"), F.when(n < 16, "train").otherwise("val").alias("split"), F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("byte_hash"), F.when(long, F.sha2(F.substring("text", 1, 100), 256)).alias("pixel_hash"))
+
+
+ITEMS = "(SELECT lang AS class, CASE WHEN CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) < 16 THEN 'train' ELSE 'val' END AS split, CAST(doc_id AS VARCHAR) AS name, sha256(text) AS byte_hash, CASE WHEN length(text) >= 200 THEN sha256(substr(text, 1, 100)) END AS pixel_hash FROM documents)"
+EXACT = f"(SELECT t.class, t.name AS train_image, v.name AS val_image, CASE WHEN t.byte_hash = v.byte_hash THEN 'byte' ELSE 'pixel' END AS match_type FROM {ITEMS} t JOIN {ITEMS} v ON t.class = v.class AND t.pixel_hash = v.pixel_hash WHERE t.split = 'train' AND v.split = 'val')"
+
+
+def vectors(spark, d) -> DataFrame:
+    part = F.col("vec_id") % 5
+    split = F.when(part == 0, "val").when(part == 1, "test").otherwise("train")
+    return t(spark, d, "embeddings").select(F.lit("all").alias("class"), split.alias("split"), F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("emb"), (F.col("vec_id") % 11 != 3).alias("ok"), "vec_id", "label")
+
+
+VEC = "(SELECT 'all' AS class, CASE vec_id % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split, CAST(vec_id AS VARCHAR) AS name, CAST(embedding AS DOUBLE[]) AS emb, vec_id % 11 <> 3 AS ok FROM embeddings)"
+COSINE, THRESHOLD = "list_dot_product(t.emb, v.emb)", 0.4
+SIMILAR = f"(SELECT t.class, t.name AS train_image, v.name AS val_image, {COSINE} AS cosine_sim FROM {VEC} t JOIN {VEC} v ON t.class = v.class WHERE t.split = 'train' AND v.split = 'val' AND t.ok AND v.ok AND {COSINE} > {THRESHOLD})"
+
+
+# evaluation -------------------------------------------------------------------------------------------------------------
+CELLS = "count(*) FILTER (WHERE pred = 1 AND label = 1) AS tp, count(*) FILTER (WHERE pred = 1 AND label = 0) AS fp, count(*) FILTER (WHERE pred = 0 AND label = 1) AS fn, count(*) FILTER (WHERE pred = 0 AND label = 0) AS tn"
+RATES = "coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(2 * coalesce(tp / nullif(tp + fp, 0), 0.0) * coalesce(tp / nullif(tp + fn, 0), 0.0) / nullif(coalesce(tp / nullif(tp + fp, 0), 0.0) + coalesce(tp / nullif(tp + fn, 0), 0.0), 0), 0.0) AS f1, coalesce(tn / nullif(tn + fp, 0), 0.0) AS real_accuracy, coalesce(tp / nullif(tp + fn, 0), 0.0) AS aigen_accuracy"
+NAMES = " ".join(evaluation.METRICS)
+
+
+@query(f"SELECT {CELLS} FROM {PRED}")
+def confusion(spark, d):
+    return evaluation.confusion(evaluation.classify(predictions(spark, d)))
+
+
+@query(f"SELECT *, {RATES} FROM (SELECT {CELLS} FROM {PRED})", NAMES)
+def classification_metrics(spark, d):
+    return evaluation.metrics(evaluation.confusion(evaluation.classify(predictions(spark, d))))
+
+
+@query("SELECT quality AS label, toxic AS pred, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL")
+def label_agreement(spark, d):
+    return t(spark, d, "labels").where("quality is not null and toxic is not null").groupBy(F.col("quality").alias("label"), F.col("toxic").alias("pred")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE label = 0) AS real, count(*) FILTER (WHERE label = 1) AS ai_gen, count(*) AS total FROM {PRED}")
+def class_counts(spark, d):
+    return evaluation.class_counts(predictions(spark, d))
+
+
+@query(f"SELECT avg(prob) FILTER (WHERE label = 0) AS mean_prob_real, avg(prob) FILTER (WHERE label = 1) AS mean_prob_aigen FROM {PRED}", "mean_prob_real mean_prob_aigen")
+def mean_prob_by_class(spark, d):
+    return evaluation.mean_prob_by_class(predictions(spark, d))
+
+
+ROUNDS = f"(SELECT *, {RATES}, augment || '(' || variant || ')' AS round FROM (SELECT augment, variant, {CELLS}, count(*) FILTER (WHERE label = 0) AS real, count(*) FILTER (WHERE label = 1) AS ai_gen, count(*) AS total, avg(prob) FILTER (WHERE label = 0) AS mean_prob_real, avg(prob) FILTER (WHERE label = 1) AS mean_prob_aigen FROM {PRED} GROUP BY augment, variant))"
+
+
+@query(f"SELECT * FROM {ROUNDS}", NAMES + " mean_prob_real mean_prob_aigen")
+def round_result(spark, d):
+    return evaluation.round_results(evaluation.classify(predictions(spark, d)))
+
+
+@query(f"SELECT augment, {', '.join(f'avg({m}) AS {m}' for m in evaluation.METRICS)}, count(*) AS rounds FROM {ROUNDS} GROUP BY augment", NAMES)
+def mean_metrics(spark, d):
+    return evaluation.mean_metrics(evaluation.round_results(evaluation.classify(predictions(spark, d))))
+
+
+FAIL = f"(SELECT path, label, CASE label WHEN 1 THEN 'ai_gen' ELSE 'real' END AS label_name, pred, CASE pred WHEN 1 THEN 'ai_gen' ELSE 'real' END AS pred_name, prob AS prob_aigen, CASE pred WHEN 1 THEN prob ELSE 1 - prob END AS confidence, CAST(row_number() OVER (PARTITION BY label ORDER BY CASE pred WHEN 1 THEN prob ELSE 1 - prob END DESC, path) AS INT) AS order_in_label FROM {PRED} WHERE pred <> label)"
+
+
+@query(f"SELECT * FROM {FAIL}", "prob_aigen confidence")
+def failures(spark, d):
+    return evaluation.failures(evaluation.classify(predictions(spark, d)))
+
+
+@query(f"SELECT * FROM {FAIL} WHERE order_in_label <= 20", "prob_aigen confidence")
+def topk_failures(spark, d):
+    return evaluation.top_failures(evaluation.classify(predictions(spark, d)), 20)
+
+
+@query(f"SELECT path, label, prob FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY path) AS n FROM {PRED}) WHERE n <= 50", "prob")
+def limit_per_class(spark, d):
+    return evaluation.limit_per_class(predictions(spark, d), 50).select("path", "label", "prob")
+
+
+@query(f"WITH s AS (SELECT prob, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM {PRED} GROUP BY prob), c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM s) SELECT sum(p * (lower + n / 2)) / nullif(sum(p) * sum(n), 0) AS auroc FROM c", "auroc")
+def auroc(spark, d):
+    return evaluation.auroc(predictions(spark, d))
+
+
+@query()
+def grid_rounds(spark, d):
+    """Images under every round of the grid, with their steps."""
+    stems = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
+    steps = planning.round_steps(stems, planning.round_grid_frame(spark))
+    return steps.select("stem", "round", fn.plan_label(F.col("steps")).alias("label"))
+
+
+# calibration ------------------------------------------------------------------------------------------------------------
+HIST = f"(SELECT i.idx, coalesce(r, 0) AS count_real, coalesce(a, 0) AS count_aigen FROM (SELECT CAST(range AS INT) AS idx FROM range({K})) i LEFT JOIN (SELECT CAST(least(floor(prob * {K}), {K - 1}) AS INT) AS idx, count(*) FILTER (WHERE label = 0) AS r, count(*) FILTER (WHERE label = 1) AS a FROM {PRED} GROUP BY 1) c ON c.idx = i.idx)"
+TABLE = f"(SELECT idx + 1 AS bucket, idx / {K} AS lower, (idx + 1) / {K} AS upper, count_real, count_aigen, lr AS p_c_given_real, la AS p_c_given_aigen, 1 - post AS p_real_given_c, post AS p_aigen_given_c, count_aigen / nullif(count_real + count_aigen, 0) AS empirical_p_aigen, CASE WHEN post >= 0.5 THEN 'ai_gen' WHEN post < 0.5 THEN 'real' END AS predicted_label, greatest(post, 1 - post) AS confidence FROM (SELECT *, la * prior / nullif(la * prior + lr * (1 - prior), 0) AS post FROM (SELECT *, (count_real + 1) / (sum(count_real) OVER () + {K}) AS lr, (count_aigen + 1) / (sum(count_aigen) OVER () + {K}) AS la, sum(count_aigen) OVER () / (sum(count_real) OVER () + sum(count_aigen) OVER ()) AS prior FROM {HIST})))"
+TABLE_DOUBLES = "lower upper p_c_given_real p_c_given_aigen p_real_given_c p_aigen_given_c empirical_p_aigen confidence"
+
+
+@query(f"SELECT * FROM {HIST}")
+def bucket_histogram(spark, d):
+    return calibration.histogram(predictions(spark, d), K)
+
+
+@query(f"SELECT * FROM {HIST}")
+def merge_histogram(spark, d):
+    return calibration.merged(calibration.histogram(predictions(spark, d), K, ("variant",)))
+
+
+@query(f"SELECT * FROM {TABLE}", TABLE_DOUBLES)
+def calibration_table(spark, d):
+    return calibration.table(calibration.histogram(predictions(spark, d), K), K)
+
+
+@query(f"SELECT p.path, p.label, p.prob, CAST(least(floor(p.prob * {K}), {K - 1}) AS INT) + 1 AS bucket, c.predicted_label, c.confidence FROM {PRED} p JOIN {TABLE} c ON c.bucket = CAST(least(floor(p.prob * {K}), {K - 1}) AS INT) + 1", "prob confidence")
+def calibration_lookup(spark, d):
+    p = predictions(spark, d).select("path", "label", "prob")
+    return calibration.lookup(p, calibration.table(calibration.histogram(p, K), K), K)
+
+
+# profiles ---------------------------------------------------------------------------------------------------------------
+P = pct.PERCENTILES
+MEASURES = "(SELECT split, unnest(['width', 'height', 'short', 'long', 'aspect', 'megapixels']) AS measure, unnest([width::DOUBLE, height::DOUBLE, least(width, height)::DOUBLE, greatest(width, height)::DOUBLE, width::DOUBLE / height, width::DOUBLE * height / 1000000.0]) AS value FROM " + DIMS + ")"
+QUANTILES = ", ".join(f"quantile_cont(value, {p / 100}) AS p{p}" for p in P)
+PS = " ".join(f"p{p}" for p in P)
+
+
+@query(f"SELECT split, measure, avg(value) AS mean, {QUANTILES} FROM {MEASURES} GROUP BY split, measure", "mean " + PS)
+def profile_dims(spark, d):
+    return profile.dims_profile(headers(spark, d))
+
+
+@query(f"SELECT split, count(*) AS images, count(DISTINCT (width, height)) AS resolutions, avg(CASE WHEN width > height THEN 1.0::DOUBLE ELSE 0 END) AS landscape, avg(CASE WHEN width < height THEN 1.0::DOUBLE ELSE 0 END) AS portrait, avg(CASE WHEN width = height THEN 1.0::DOUBLE ELSE 0 END) AS square FROM {DIMS} GROUP BY split", "landscape portrait square")
+def orientation_shares(spark, d):
+    return profile.orientation_shares(headers(spark, d))
+
+
+@query(f"SELECT split, count(*) AS images, count(DISTINCT (width, height)) AS resolutions, avg(CASE WHEN width > height THEN 1.0::DOUBLE ELSE 0 END) AS landscape, avg(CASE WHEN width < height THEN 1.0::DOUBLE ELSE 0 END) AS portrait, avg(CASE WHEN width = height THEN 1.0::DOUBLE ELSE 0 END) AS square, median(width::DOUBLE) AS median_width, median(height::DOUBLE) AS median_height, median(least(width, height)::DOUBLE) AS median_short, median(greatest(width, height)::DOUBLE) AS median_long, median(width::DOUBLE / height) AS median_aspect, median(width::DOUBLE * height / 1000000.0) AS median_megapixels FROM {DIMS} GROUP BY split", "landscape portrait square median_width median_height median_short median_long median_aspect median_megapixels")
+def compare_splits(spark, d):
+    return profile.compare_splits(headers(spark, d))
+
+
+@query(f"SELECT * FROM (SELECT split, width, height, count(*) AS n, CAST(row_number() OVER (PARTITION BY split ORDER BY count(*) DESC, width, height) AS INT) AS rank FROM {DIMS} GROUP BY split, width, height) WHERE rank <= 10")
+def top_resolutions(spark, d):
+    return profile.top_resolutions(headers(spark, d))
+
+
+@query(f"SELECT width, height, count(*) AS n, count(*) / (SELECT count(*) FROM lineitem) AS share FROM {DIMS} GROUP BY width, height ORDER BY n DESC, width, height LIMIT 10", "share")
+def most_common_k(spark, d):
+    return profile.most_common(headers(spark, d), ["width", "height"], 10)
+
+
+@query("SELECT lang AS format, source AS mode, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY lang) AS share FROM documents GROUP BY lang, source", "share")
+def profile_format(spark, d):
+    return profile.value_shares(files(spark, d), "format", "mode")
+
+
+@query("SELECT source AS mode, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY source")
+def format_crosstab(spark, d):
+    return profile.crosstab(files(spark, d), "mode", "format", ["de", "en", "es", "fr"])
+
+
+@query("SELECT format, count(*) AS n, sum(bytes) / 1e6 AS total_mb, avg(bytes) / 1e3 AS mean_kb, " + ", ".join(f"quantile_cont(bytes / 1e3, {p / 100}) AS p{p}_kb" for p in P) + " FROM (SELECT lang AS format, n_chars AS bytes FROM documents) GROUP BY format", "total_mb mean_kb " + " ".join(f"p{p}_kb" for p in P))
+def format_sizes(spark, d):
+    return profile.format_sizes(files(spark, d))
+
+
+@query("SELECT '.' || lang AS ext, lang AS format, count(*) AS n, min(CAST(doc_id AS VARCHAR)) AS example FROM documents WHERE lang NOT IN ('en', 'de') GROUP BY lang")
+def ext_format_mismatch(spark, d):
+    return profile.mismatches(files(spark, d), {".en": "en", ".de": "de", ".fr": "en"})
+
+
+@query("SELECT o_orderstatus AS split, count(*) FILTER (WHERE o_orderpriority <> '5-LOW') AS good, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS bad FROM orders GROUP BY o_orderstatus")
+def filter_errors(spark, d):
+    o = t(spark, d, "orders")
+    return profile.good_and_bad(o.select(F.col("o_orderstatus").alias("split"), F.when(F.col("o_orderpriority") == "5-LOW", "unreadable").alias("error")))
+
+
+@query(f"SELECT measure, avg(value) AS mean, {QUANTILES} FROM {MEASURES} GROUP BY measure", "mean " + PS)
+def profile_weighted(spark, d):
+    return profile.weighted_profile(resolution.histogram(headers(spark, d)))
+
+
+@query(f"SELECT CASE WHEN g < 512 THEN 'long<512' WHEN g < 1024 THEN '512<=long<1024' WHEN g = 1024 THEN 'long=1024' WHEN g < 2048 THEN '1024<long<2048' ELSE 'long>=2048' END AS long, CASE WHEN width / height <= 0.5 THEN 'w/h<=0.5' WHEN width < height THEN 'portrait' WHEN width = height THEN 'square' WHEN width / height < 2 THEN 'landscape' ELSE 'w/h>=2' END AS aspect, CAST(count(*) AS BIGINT) AS images FROM (SELECT 40 * width AS width, 200 * height AS height, greatest(40 * width, 200 * height) AS g FROM {DIMS}) GROUP BY ALL")
+def size_buckets(spark, d):
+    h = headers(spark, d).select((F.col("width") * 40).alias("width"), (F.col("height") * 200).alias("height"))
+    return profile.size_buckets(resolution.histogram(h))
+
+
+RANKED = f"(SELECT CAST(row_number() OVER (ORDER BY n DESC, width, height) AS INT) AS rank, width, height, n AS count, sum(n) OVER (ORDER BY n DESC, width, height ROWS UNBOUNDED PRECEDING) / sum(n) OVER () AS cum_share, sum(n) OVER (ORDER BY n DESC, width, height ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER () AS total, count(*) OVER () AS buckets FROM (SELECT width, height, count(*) AS n FROM {DIMS} GROUP BY width, height))"
+
+
+@query(f"SELECT rank, width, height, count, cum_share, before < 0.9 * total AS kept FROM {RANKED}", "cum_share")
+def keep_head_images(spark, d):
+    return profile.head_images(headers(spark, d), 0.9)
+
+
+@query(f"SELECT rank, width, height, count, cum_share, rank <= greatest(1, ceil(0.25 * buckets)) AS kept FROM {RANKED}", "cum_share")
+def keep_head_buckets(spark, d):
+    return profile.head_buckets(headers(spark, d), 0.25)
+
+
+@query("SELECT o_orderstatus, p AS percent, quantile_cont(o_totalprice, p / 100) AS value FROM orders, (SELECT unnest([0, 5, 25, 50, 75, 95, 100]) AS p) GROUP BY o_orderstatus, p".replace("quantile_cont(o_totalprice, p / 100)", "CASE p " + " ".join(f"WHEN {p} THEN quantile_cont(o_totalprice, {p / 100})" for p in P) + " END"), "value")
+def percentile_linear(spark, d):
+    return pct.linear(t(spark, d, "orders"), ["o_orderstatus"], "o_totalprice")
+
+
+@query("SELECT split, percent, v[least(len(v) - 1, CAST(floor(percent * len(v) / 100) AS INT)) + 1] AS value FROM (SELECT split, list_sort(list(width)) AS v FROM " + DIMS + " GROUP BY split), (SELECT unnest([0, 10, 50, 90, 100]) AS percent)")
+def percentile_lower(spark, d):
+    return pct.lower(headers(spark, d), ["split"], "width")
+
+
+@query("SELECT split, percent, min(value) AS value FROM (SELECT split, value, sum(n) OVER (PARTITION BY split ORDER BY value) AS upto, sum(n) OVER (PARTITION BY split) AS total FROM (SELECT split, width AS value, sum(height) AS n FROM " + DIMS + " GROUP BY split, width)), (SELECT unnest([0, 5, 25, 50, 75, 95, 100]) AS percent) WHERE upto >= percent * total / 100 GROUP BY split, percent")
+def percentile_weighted(spark, d):
+    return pct.weighted(headers(spark, d), ["split"], "width", "height")
+
+
+# leakage ----------------------------------------------------------------------------------------------------------------
+def split_of(df: DataFrame, name: str) -> DataFrame:
+    return df.where(F.col("split") == name)
+
+
+@query(f"SELECT * FROM {EXACT}")
+def join_exact_hash(spark, d):
+    i = items(spark, d)
+    return leakage.exact_pairs(split_of(i, "train"), split_of(i, "val"))
+
+
+@query(f"SELECT class, split, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT class, split, pixel_hash, count(*) AS n FROM {ITEMS} WHERE pixel_hash IS NOT NULL GROUP BY ALL) GROUP BY class, split")
+def dup_within_split(spark, d):
+    return leakage.duplicates_within(items(spark, d))
+
+
+@query(f"SELECT * FROM {SIMILAR}", "cosine_sim")
+def join_cosine_threshold(spark, d):
+    v = vectors(spark, d)
+    return leakage.cosine_pairs(split_of(v, "train"), split_of(v, "val"), THRESHOLD, block=64)
+
+
+@query(f"SELECT * FROM {SIMILAR}", "cosine_sim")
+def join_cosine_builtin(spark, d):
+    v = vectors(spark, d)
+    return leakage.cosine_pairs_sql(split_of(v, "train"), split_of(v, "val"), THRESHOLD)
+
+
+FORCED = f"(SELECT t.class, t.name AS train_image, v.name AS val_image, 'pixel' AS match_type, CASE WHEN t.ok AND v.ok THEN {COSINE} ELSE 0 END AS cosine_sim FROM {VEC} t JOIN {VEC} v ON CAST(t.name AS INT) = CAST(v.name AS INT) + 2 WHERE v.split = 'val')"
+
+
+def _forced(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of every val vector and the train vector two ids on, as if their content were equal."""
+    v = vectors(spark, d)
+    train, val = split_of(v, "train"), split_of(v, "val")
+    pairs = val.select("class", (F.col("vec_id") + 2).cast("string").alias("train_image"), F.col("name").alias("val_image"), F.lit("pixel").alias("match_type")).join(train.select(F.col("name").alias("train_image")), "train_image", "left_semi")
+    return leakage.backfilled(pairs, train, val), train, val
+
+
+@query(f"SELECT * FROM {FORCED}", "cosine_sim")
+def backfill_cosine(spark, d):
+    return _forced(spark, d)[0]
+
+
+MERGED = f"(SELECT class, train_image, val_image, coalesce(e.match_type, 'siglip') AS match_type, coalesce(e.cosine_sim, s.cosine_sim) AS cosine_sim FROM {FORCED} e FULL JOIN {SIMILAR} s USING (class, train_image, val_image))"
+
+
+@query(f"SELECT * FROM {MERGED}", "cosine_sim")
+def merge_evidence(spark, d):
+    exact, train, val = _forced(spark, d)
+    return leakage.merged_evidence(exact, leakage.cosine_pairs_sql(train, val, THRESHOLD))
+
+
+@query(f"SELECT class, count(*) FILTER (WHERE match_type = 'byte') AS byte, count(*) FILTER (WHERE match_type = 'pixel') AS pixel, count(*) FILTER (WHERE match_type = 'siglip') AS siglip, count(DISTINCT train_image) AS train_images, count(DISTINCT val_image) AS val_images FROM {MERGED} GROUP BY class")
+def leak_summary(spark, d):
+    return leakage.leak_summary(merge_evidence(spark, d))
+
+
+@query(f"SELECT class, match_type, printf('%.6f', cosine_sim) AS cosine_sim, train_image, val_image FROM {MERGED} ORDER BY CASE match_type WHEN 'byte' THEN 1 WHEN 'pixel' THEN 2 ELSE 3 END, cosine_sim DESC, train_image, val_image LIMIT 20")
+def sorted_leaks(spark, d):
+    return leakage.leak_lines(leakage.sorted_leaks(merge_evidence(spark, d)).limit(20))
+
+
+NEAR = f"(SELECT t.class, t.name AS train_image, coalesce(max(c.cos), -1) AS cosine_sim, arg_min(c.ref, (-c.cos, c.o, c.ref)) AS matched_image, arg_min(c.split, (-c.cos, c.o, c.ref)) AS matched_split, coalesce(max(c.cos) FILTER (WHERE c.split = 'val'), -1) AS best_val, coalesce(max(c.cos) FILTER (WHERE c.split = 'test'), -1) AS best_test FROM {VEC} t LEFT JOIN (SELECT t.name, v.name AS ref, v.split, CASE v.split WHEN 'val' THEN 1 ELSE 2 END AS o, {COSINE} AS cos FROM {VEC} t JOIN {VEC} v ON t.class = v.class WHERE t.split = 'train' AND v.split <> 'train' AND t.ok AND v.ok) c ON c.name = t.name WHERE t.split = 'train' GROUP BY t.class, t.name)"
+
+
+def near(spark, d) -> DataFrame:
+    v = vectors(spark, d)
+    return leakage.nearest(split_of(v, "train"), v.where("split <> 'train'"), ("val", "test"))
+
+
+@query(f"SELECT * FROM {NEAR}", "cosine_sim best_val best_test")
+def join_nearest(spark, d):
+    return near(spark, d)
+
+
+@query(f"SELECT * FROM {NEAR} WHERE cosine_sim > {THRESHOLD}", "cosine_sim best_val best_test")
+def flag_removals(spark, d):
+    return leakage.flagged(near(spark, d), THRESHOLD)
+
+
+@query(f"SELECT class, count(*) AS train_images, count(*) FILTER (WHERE cosine_sim > {THRESHOLD}) AS flagged, count(*) FILTER (WHERE best_val > {THRESHOLD}) AS hits_val, count(*) FILTER (WHERE best_test > {THRESHOLD}) AS hits_test, count(*) FILTER (WHERE best_val > {THRESHOLD} AND best_test > {THRESHOLD}) AS hits_all, avg(CASE WHEN cosine_sim > {THRESHOLD} THEN 1.0::DOUBLE ELSE 0 END) AS proportion FROM {NEAR} GROUP BY class", "proportion")
+def removal_summary(spark, d):
+    return leakage.removal_summary(near(spark, d), THRESHOLD, ("val", "test"))
+
+
+@query(f"SELECT class, name FROM {VEC} WHERE split = 'train' AND name NOT IN (SELECT train_image FROM {NEAR} WHERE cosine_sim > {THRESHOLD})")
+def survivors(spark, d):
+    train = split_of(vectors(spark, d), "train")
+    return leakage.survivors(train, leakage.flagged(near(spark, d), THRESHOLD)).select("class", "name")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS name FROM embeddings WHERE vec_id % 3 <> 0")
+def embedding_cache_todo(spark, d):
+    v = vectors(spark, d)
+    return leakage.cache_split(v.select("name"), v.where("vec_id % 3 = 0").select("name", "emb", "ok"))[1]
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS name, vec_id % 11 <> 3 AS ok FROM embeddings WHERE vec_id % 3 = 0")
+def embedding_cache_hits(spark, d):
+    v = vectors(spark, d)
+    return leakage.cache_split(v.select("name"), v.where("vec_id % 3 = 0").select("name", "emb", "ok"))[0].select("name", "ok")
+
+
+# resolutions ------------------------------------------------------------------------------------------------------------
+def candidates(spark, d) -> tuple[DataFrame, DataFrame]:
+    h = headers(spark, d)
+    return split_of(h, "N"), resolution.histogram(split_of(h, "A"))
+
+
+TOLS = ", ".join(map(str, resolution.TOLERANCES))
+DIST = f"(SELECT c.width, c.height, r.n, greatest(abs(log2(c.width) - log2(r.width)), abs(log2(c.height) - log2(r.height))) AS d FROM (SELECT DISTINCT width, height FROM {DIMS} WHERE split = 'N') c, (SELECT width, height, count(*) AS n FROM {DIMS} WHERE split = 'A' GROUP BY width, height) r)"
+SHARE = f"(SELECT width, height, tol, coalesce(sum(n) FILTER (WHERE d <= tol), 0) / sum(n) AS share FROM {DIST}, (SELECT unnest([{TOLS}])::DOUBLE AS tol) GROUP BY width, height, tol)"
+RADIUS = f"(SELECT width, height, min(d) AS radius FROM (SELECT width, height, d, sum(n) OVER (PARTITION BY width, height ORDER BY d) / sum(n) OVER (PARTITION BY width, height) AS share FROM {DIST}) WHERE share > 0.01 GROUP BY width, height)"
+IMAGES = f"(SELECT path AS stem, width, height, width % 7 <> 0 AS pooled FROM {DIMS} WHERE split = 'N')"
+USED = "(SELECT DISTINCT CAST(o_orderkey AS VARCHAR) || '-1' AS stem FROM orders WHERE o_orderkey % 2 = 0)"
+QUALIFIED = f"(SELECT i.stem, i.width, i.height, i.pooled, s.share, r.radius, u.stem IS NOT NULL AS excluded, s.share <= 0.01 AS qualifying, s.share <= 0.01 AND u.stem IS NULL AS eligible FROM {IMAGES} i JOIN {SHARE} s ON s.width = i.width AND s.height = i.height AND s.tol = 0.2 JOIN {RADIUS} r ON r.width = i.width AND r.height = i.height LEFT JOIN {USED} u ON u.stem = i.stem)"
+
+
+@query(f"SELECT * FROM {SHARE}", "tol share")
+def join_ref_range(spark, d):
+    return resolution.reference_shares(*candidates(spark, d))
+
+
+@query(f"SELECT * FROM {RADIUS}", "radius")
+def radius_at_share(spark, d):
+    return resolution.radius(*candidates(spark, d), 0.01)
+
+
+def images(spark, d) -> tuple[DataFrame, DataFrame]:
+    i = candidates(spark, d)[0].select(F.col("path").alias("stem"), "width", "height", (F.col("width") % 7 != 0).alias("pooled"))
+    marked = t(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("-1_a"), (F.col("o_orderkey") % 9).cast("string")).alias("stem"))
+    return i, resolution.used_stems(marked)
+
+
+def qualified(spark, d) -> DataFrame:
+    c, ref = candidates(spark, d)
+    i, used = images(spark, d)
+    return resolution.qualified(i, resolution.reference_shares(c, ref, (0.2,)), resolution.radius(c, ref, 0.01), used, 0.01)
+
+
+@query(f"SELECT * FROM {QUALIFIED}", "share radius")
+def filter_eligible(spark, d):
+    return qualified(spark, d)
+
+
+@query(f"SELECT count(*) FILTER (WHERE excluded) AS excluded, count(*) FILTER (WHERE qualifying) AS qualifying, count(*) FILTER (WHERE eligible) AS eligible, count(*) FILTER (WHERE eligible AND NOT pooled) AS eligible_not_pooled FROM {QUALIFIED}")
+def qualification_counts(spark, d):
+    return resolution.qualification_counts(qualified(spark, d))
+
+
+@query(f"SELECT tol, max_share, CAST(coalesce(sum(n) FILTER (WHERE share <= max_share), 0) AS BIGINT) AS images FROM (SELECT i.width, i.height, count(*) AS n FROM {IMAGES} i WHERE i.stem NOT IN (SELECT stem FROM {USED}) GROUP BY i.width, i.height) JOIN {SHARE} USING (width, height), (SELECT unnest([{', '.join(map(str, resolution.SHARES))}])::DOUBLE AS max_share) GROUP BY tol, max_share", "tol max_share")
+def setting_grid(spark, d):
+    i, used = images(spark, d)
+    return resolution.setting_grid(i, resolution.reference_shares(*candidates(spark, d)), used)
+
+
+@query(f"SELECT stem, radius FROM {QUALIFIED} WHERE eligible AND pooled ORDER BY md5('7:' || stem), stem LIMIT 40", "radius")
+def sample_random_n(spark, d):
+    return resolution.chosen(qualified(spark, d), 40, 7).select("stem", "radius")
+
+
+@query(f"SELECT stem, width, height, printf('%.6f', share) AS ref_share, printf('%.4f', radius) AS radius, 'planned' AS status FROM (SELECT * FROM {QUALIFIED} WHERE eligible AND pooled ORDER BY round(radius, 9) DESC, md5('7:' || stem), stem LIMIT 40)")
+def sample_farthest_n(spark, d):
+    return resolution.manifest(resolution.chosen(qualified(spark, d).withColumn("radius", F.round("radius", 9)), 40, 7, farthest=True))
+
+
+# samples and splits -----------------------------------------------------------------------------------------------------
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE n <= 7 OR i IN (SELECT CAST(floor(k * n / 7) AS BIGINT) FROM range(7) r(k))".replace("i IN (SELECT CAST(floor(k * n / 7) AS BIGINT) FROM range(7) r(k))", "list_contains([CAST(floor(k * n / 7) AS BIGINT) FOR k IN [0, 1, 2, 3, 4, 5, 6]], i)"))
+def scan_even_sample(spark, d):
+    return sampling.even_sample(t(spark, d, "documents").select("source", "doc_id"), ["source"], "doc_id", 7)
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) WHERE i <= 5")
+def scan_prefix(spark, d):
+    return sampling.prefix(t(spark, d, "documents").select("source", "doc_id"), ["source"], "doc_id", 5)
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('1234:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")
+def sample_pairs(spark, d):
+    return sampling.sample_n(t(spark, d, "documents").select("doc_id"), "doc_id", 100, 1234)
+
+
+@query(f"SELECT width, height, path, sample_index FROM (SELECT width, height, path, CAST(row_number() OVER (PARTITION BY width, height ORDER BY md5('3:' || path), path) AS INT) AS sample_index FROM {DIMS}) WHERE sample_index <= 3")
+def sample_per_bucket(spark, d):
+    return sampling.sample_per_group(headers(spark, d).select("width", "height", "path"), ["width", "height"], "path", 3, 3)
+
+
+@query("SELECT CAST(k AS INT) AS replica, n_nationkey FROM nation, range(3) r(k) ORDER BY k, md5('5:' || CAST(n_nationkey AS VARCHAR)), n_nationkey LIMIT 60")
+def shuffle_prefix(spark, d):
+    return sampling.shuffled_wrapped(t(spark, d, "nation").select("n_nationkey"), "n_nationkey", 60, 5)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM documents ORDER BY md5('9:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50) THEN 'val' ELSE 'train' END AS split FROM documents")
+def move_split(spark, d):
+    return sampling.assign_split(t(spark, d, "documents").select("doc_id"), "doc_id", 50, 9)
+
+
+@query("SELECT source, doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS global_row FROM documents")
+def global_row_id(spark, d):
+    return sampling.numbered(t(spark, d, "documents").select("source", "doc_id"), "source", "doc_id").select("source", "doc_id", "global_row")
+
+
+@query()
+def sample_dim_with_replacement(spark, d):
+    keys = t(spark, d, "documents").select("doc_id")
+    return sampling.sample_joint(keys, "doc_id", resolution.histogram(headers(spark, d)), 11)
+
+
+# dataset jobs -----------------------------------------------------------------------------------------------------------
+@query("SELECT doc_id, quality, toxic FROM labels WHERE quality = 1 AND toxic = 0")
+def filter_labels(spark, d):
+    rows = t(spark, d, "labels").select("doc_id", F.col("quality").alias("label_a"), F.col("toxic").alias("label_b"))
+    return etl.filter_labels(rows, 1, 0).select("doc_id", F.col("label_a").alias("quality"), F.col("label_b").alias("toxic"))
+
+
+@query("SELECT md5(text) AS name, source, CAST(doc_id AS VARCHAR) AS path FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY source, CAST(doc_id AS VARCHAR)) AS n FROM documents) WHERE n = 1 AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE source = 'src19')")
+def merge_copy(spark, d):
+    rows = t(spark, d, "documents").select(F.md5("text").alias("name"), "source", F.col("doc_id").cast("string").alias("path"))
+    return etl.merge_first(rows, rows.where("source = 'src19'"))
+
+
+@query("SELECT c.c_nationkey AS stem, min(c.c_name) AS real, min(s.s_name) AS fake FROM customer c JOIN supplier s ON s.s_nationkey = c.c_nationkey GROUP BY c.c_nationkey")
+def join_stem_pairs(spark, d):
+    return etl.stem_pairs(t(spark, d, "customer").select(F.col("c_nationkey").alias("stem"), F.col("c_name").alias("path")), t(spark, d, "supplier").select(F.col("s_nationkey").alias("stem"), F.col("s_name").alias("path")))
+
+
+@query("SELECT n_nationkey AS stem FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 7 = 0)")
+def missing_stem_check(spark, d):
+    return etl.missing_stems(t(spark, d, "nation").select(F.col("n_nationkey").alias("stem")), t(spark, d, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_nationkey").alias("stem")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join_used(spark, d):
+    return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT quality AS label_a, toxic AS label_b, count(*) AS n, count(*) / sum(count(*)) OVER () AS share, (quality = 0) = (toxic = 0) AS consistent FROM labels GROUP BY quality, toxic", "share")
+def label_pairs(spark, d):
+    return etl.label_pairs(t(spark, d, "labels").select(F.col("quality").alias("label_a"), F.col("toxic").alias("label_b")))
+
+
+@query("SELECT composition, count(*) AS groups FROM (SELECT o_custkey, string_agg(o_orderstatus || 'x' || CAST(n AS VARCHAR), ' ' ORDER BY o_orderstatus) AS composition FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey) GROUP BY composition")
+def caption_composition(spark, d):
+    return etl.composition(t(spark, d, "orders"), "o_custkey", "o_orderstatus")
+
+
+@query("SELECT count(*) FILTER (WHERE labels = [0, 1, 2, 3, 4, 5] AND captions = 1) AS ordered, count(*) AS blocks FROM (SELECT floor(i / 6) AS b, list(l_linenumber - 1 ORDER BY i) AS labels, count(DISTINCT l_orderkey) AS captions FROM (SELECT *, row_number() OVER (ORDER BY l_returnflag, l_orderkey, l_linenumber) - 1 AS i FROM lineitem WHERE l_linenumber <= 6) GROUP BY 1)")
+def block_order_check(spark, d):
+    li = t(spark, d, "lineitem").where("l_linenumber <= 6").withColumn("row", F.struct("l_orderkey", "l_linenumber")).withColumn("label", F.col("l_linenumber") - 1)
+    return etl.block_order(li, "l_returnflag", "row", "l_orderkey", "label")
+
+
+@query(f"SELECT split AS label, CAST(sum(n) AS BIGINT) AS images, count(*) AS resolutions, sum(n) FILTER (WHERE width = height) / sum(n) AS square_share, array_to_string(list(width || 'x' || height ORDER BY n DESC, width, height)[1:3], ' ') AS top FROM (SELECT split, width, height, count(*) AS n FROM {DIMS} GROUP BY ALL) GROUP BY split", "square_share")
+def resolution_by_label(spark, d):
+    return etl.resolution_by_label(headers(spark, d).withColumnRenamed("split", "label"))
+
+
+@query("SELECT count(user_id) - count(DISTINCT user_id) AS duplicates FROM events")
+def dup_id_count(spark, d):
+    return etl.duplicate_ids(t(spark, d, "events"), "user_id")
+
+
+@query("SELECT CASE l_linenumber WHEN 1 THEN 'real' WHEN 2 THEN 'ai' ELSE '(unknown)' END AS folder, count(*) AS n FROM lineitem GROUP BY 1")
+def route_unknown_label(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("label"))
+    return etl.routed_counts(etl.route_labels(rows, {1: "real", 2: "ai"}))
+
+
+@query("SELECT global_row, printf('gen_%06d_b%d.jpg', global_row, toxic) AS file FROM (SELECT l.toxic, d.doc_id, row_number() OVER (ORDER BY d.source, d.doc_id) - 1 AS global_row FROM documents d JOIN labels l USING (doc_id)) WHERE toxic = 1")
+def export_names(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels"), "doc_id").select("source", "doc_id", F.col("toxic").alias("label_b"))
+    return etl.export_names(rows, "gen", "source", "doc_id", ".jpg", F.col("label_b") == 1).select("global_row", "file")
+
+
+@query("SELECT u.conv_id, u.turn, length(u.text) AS question, length(a.text) AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
+def turn_pairs(spark, d):
+    return etl.next_turns(t(spark, d, "conversations")).select("conv_id", "turn", F.length("question").alias("question"), F.length("answer").alias("answer"))
+
+
+def raw_outputs(spark, d) -> DataFrame:
+    """Answers as a caption model gives them, from the turns of conversations."""
+    n = F.col("conv_id") % 4
+    body = F.when(n == 0, F.concat(F.lit("<think>x</think><analysis>A: b</analysis>\n<prompt>"), "text", F.lit("</prompt>"))).when(n == 1, F.concat(F.lit("<analysis>a <prompt></analysis><prompt kind='x'>"), "text")).when(n == 2, F.lit("<error>NO_IMAGE</error>")).otherwise(F.col("text"))
+    return t(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("image_id"), body.alias("raw_output"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS image_id, CASE WHEN conv_id % 4 IN (2, 3) OR len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) < 20 THEN 'failed' WHEN conv_id % 4 = 1 THEN 'truncated' ELSE 'ok' END AS status, CASE conv_id % 4 WHEN 0 THEN 'A: b' WHEN 1 THEN 'a <prompt>' END AS analysis, CASE conv_id % 4 WHEN 2 THEN 'NO_IMAGE' END AS error FROM conversations")
+def parse_output(spark, d):
+    return etl.caption_records(raw_outputs(spark, d)).select("image_id", "status", "analysis", "error")
+
+
+@query("SELECT CASE WHEN conv_id % 4 IN (2, 3) OR len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) < 20 THEN 'failed' WHEN conv_id % 4 = 1 THEN 'truncated' ELSE 'ok' END AS status, count(*) AS n FROM conversations GROUP BY 1")
+def status_counts(spark, d):
+    return etl.status_counts(etl.caption_records(raw_outputs(spark, d)))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS image_id FROM conversations WHERE conv_id % 4 IN (2, 3) OR len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) < 20")
+def filter_resume(spark, d):
+    raw = raw_outputs(spark, d)
+    return etl.todo(raw.select("image_id"), etl.caption_records(raw))
+
+
+PLANNED = "(SELECT o_orderkey, w, h, greatest(1.0, 256.0 / least(w, h)) AS up FROM (SELECT o_orderkey, 1 + o_orderkey * 37 % 4001 AS w, 1 + o_orderkey * 91 % 3001 AS h FROM orders))"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN ok THEN pw END AS width, CASE WHEN ok THEN ph END AS height, CASE WHEN NOT ok THEN 'aspect ratio too extreme' END AS error FROM (SELECT *, least(pw, ph) >= 256 AS ok FROM (SELECT o_orderkey, CAST(floor(floor(w * s) / 32) * 32 AS INT) AS pw, CAST(floor(floor(h * s) / 32) * 32 AS INT) AS ph FROM (SELECT o_orderkey, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, least(CAST(up AS DOUBLE), 2048 / CAST(greatest(w, h) AS DOUBLE)) AS s FROM (SELECT o_orderkey, w, h, greatest(1.0::DOUBLE, 256 / CAST(least(w, h) AS DOUBLE)) AS up FROM {PLANNED}))))")
+def plan_resolution(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", (1 + F.col("o_orderkey") * 37 % 4001).alias("w"), (1 + F.col("o_orderkey") * 91 % 3001).alias("h"))
+    return o.select("o_orderkey", fn.planned_size(F.col("w"), F.col("h")).alias("s")).select("o_orderkey", "s.width", "s.height", "s.error")
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def page_titles(spark, d):
+    return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("SELECT doc_id, sha256(text) AS byte_hash, length(text) AS chars FROM documents")
+def byte_hash(spark, d):
+    return t(spark, d, "documents").select("doc_id", leakage.content_hash(F.col("text")).alias("byte_hash"), F.length("text").alias("chars"))
+
+
+# scores, plans and features ---------------------------------------------------------------------------------------------
+@query("SELECT family, CAST(dim - 1 AS INT) AS dim, avg(x) AS mean, stddev_pop(x) AS std FROM (SELECT CAST(label AS VARCHAR) AS family, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(generate_series(1, len(embedding))) AS dim FROM embeddings WHERE vec_id % 11 <> 3) GROUP BY family, dim", "mean std")
+def feature_stats(spark, d):
+    return features.feature_stats(vectors(spark, d).select(F.col("label").cast("string").alias("family"), F.col("emb").alias("values"), F.col("ok").alias("valid")))
+
+
+@query()
+def standardise(spark, d):
+    rows = vectors(spark, d).select("vec_id", F.col("label").cast("string").alias("family"), F.col("emb").alias("values"), F.col("ok").alias("valid"))
+    return features.standardised(rows, features.feature_stats(rows)).select("vec_id", F.posexplode("values").alias("dim", "value"))
+
+
+def grids(spark, d) -> DataFrame:
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.lit(6).alias("rows"), F.lit(10).alias("cols"), F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("attn"))
+
+
+TOKENS = "(SELECT image, token, CAST(floor(token / 10) AS INT) AS row, CAST(token % 10 AS INT) AS col, least(floor(token / 10), 5 - floor(token / 10), token % 10, 9 - token % 10) AS ring, score FROM (SELECT vec_id AS image, unnest(generate_series(0, 63)) AS token, abs(unnest(CAST(embedding AS DOUBLE[]))) AS score FROM embeddings) WHERE token < 60)"
+
+
+@query(f"SELECT * FROM (SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY score DESC, token) AS INT) AS rank, CAST(token AS INT) AS token, row, col, score FROM {TOKENS}) WHERE rank <= 5", "score")
+def topk_patches(spark, d):
+    return attention.top_patches(grids(spark, d), 5)
+
+
+@query(f"SELECT image, coalesce(sum(score) FILTER (WHERE ring = 0), 0) AS mass, avg(CASE WHEN ring = 0 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM {TOKENS} GROUP BY image", "mass share")
+def border_mass(spark, d):
+    return attention.ring_mass(grids(spark, d))
+
+
+@query(f"SELECT image, CAST(token AS INT) AS token, score / sum(score) OVER (PARTITION BY image) AS score FROM {TOKENS} WHERE ring >= 1", "score")
+def noborder(spark, d):
+    return attention.without_border(grids(spark, d)).select("image", "token", "score")
+
+
+@query("SELECT image, CAST(token AS INT) AS token, avg(score) AS score FROM (SELECT label AS image, unnest(generate_series(0, 63)) AS token, unnest(CAST(embedding AS DOUBLE[])) AS score FROM embeddings) GROUP BY image, token", "score")
+def mean_attention(spark, d):
+    return attention.mean_attention(t(spark, d, "embeddings").select(F.col("label").alias("image"), F.transform("embedding", lambda x: x.cast("double")).alias("attn")))
+
+
+@query()
+def image_seeds(spark, d):
+    return t(spark, d, "documents").select("doc_id", planning.image_seed_column(F.col("doc_id").cast("string"), F.lit(1234)).cast("string").alias("seed"))
+
+
+@query()
+def augmentation_plans(spark, d):
+    stems = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
+    return planning.plans(stems).select("stem", "idx", fn.plan_label(F.col("steps")).alias("plan"))
+
+
+@query()
+def online_plans(spark, d):
+    stems = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
+    return planning.online_plans(stems).select("stem", fn.plan_label(F.col("steps")).alias("plan"))
+
+
+@query()
+def crop_jobs(spark, d):
+    rows = headers(spark, d).select(F.col("path").alias("src"), (F.col("width") * 40).alias("width"), (F.col("height") * 200).alias("height"))
+    return planning.crop_jobs(rows, [(1024, 768), (512, 512), (640, 1280)], seed=1)
+
+
+@query()
+def score_embeddings(spark, d):
+    rows = t(spark, d, "embeddings").select("vec_id", (F.col("label") < 5).cast("int").alias("label"), F.col("embedding").alias("emb"))
+    return scoring.scored(rows, scoring.logistic_baseline(rows))
+
+
