@@ -93,7 +93,7 @@ def log2_distance(w1: Column, h1: Column, w2: Column, h2: Column) -> Column:
 def planned_size(w: Column, h: Column, least: int = 256, most: int = 2048, step: int = 32) -> Column:
     """struct(width, height, error): up to a short side of least, down to a long side of most, floored to a step."""
     w, h = w.cast("double"), h.cast("double")
-    scale = F.least(F.greatest(F.lit(1.0), least / F.least(w, h)), most / F.greatest(w, h))
+    scale = F.least(F.greatest(F.lit(1.0), F.try_divide(F.lit(float(least)), F.least(w, h))), F.try_divide(F.lit(float(most)), F.greatest(w, h)))
     floored = lambda side: (F.floor(F.floor(side * scale) / step) * step).cast("int")
     valid = (w > 0) & (h > 0)
     fits = valid & (F.least(floored(w), floored(h)) >= least)
@@ -143,10 +143,10 @@ def patch_grid(w: Column, h: Column, patch: int = 16, most: int = 256) -> Column
 
     The grid only changes where one side gains a patch: the scales at which that happens are tried in closed form.
     """
-    fits = lambda s: F.ceil(h * s / patch - 1e-9) * F.ceil(w * s / patch - 1e-9) <= most
-    scales = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k, side=side: k * float(patch) / side) for side in (w, h)]))
-    best = F.array_max(F.filter(scales, fits))
-    side = lambda x: F.greatest(F.lit(1), F.ceil(x * best / patch - 1e-9)).cast("int")
+    count = lambda x, s: F.greatest(F.lit(1), F.ceil(x * s / patch - 1e-9)).cast("int")
+    steps = lambda x: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: k * float(patch) / x)
+    best = F.array_max(F.filter(F.concat(steps(w), steps(h)), lambda s: count(h, s) * count(w, s) <= most))
+    side = lambda x: count(x, best)
     return F.struct(F.coalesce(side(h), F.lit(1)).alias("rows"), F.coalesce(side(w), F.lit(1)).alias("cols"))
 
 
