@@ -1,0 +1,200 @@
+"""Token counts, byte-level BPE, language, secrets, personal data and URLs against plain versions."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+
+import public_tokenizers as vocab
+import pytest
+from pyspark.sql import functions as F
+from siftwell.llm import byte_bpe, language_id, personal_data, secrets, token_counts, url_filter
+
+SMALL = "/root/testdata/sf0.001"
+ODD = [None, "", " ", "a", "It's 12  x\n\n<|endoftext|>!", "<|ENDOFTEXT|>", "ÀÉ ß Σς 漢字 😀😀", "é\u0301\u0327", "z" * 3000, "a b " * 2000, "\t \r\n x", "123456.789", "don'T I'LL"]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i if i else None, x, "n", 1) for i, x in enumerate(texts)], "doc_id long, text string, key string, part int")
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def test_token_counts_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    path = vocab.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    for df in (frame(spark, ODD), documents(spark)):
+        got = sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(df, path, limit=100, block_bytes=5000).collect())
+        texts = [r.text or "" for r in df.collect()]
+        want = [(len(x.encode()), len(library.encode(x, add_special_tokens=False).ids)) for x in texts]
+        assert got == sorted((b, n, n > 100) for b, n in want)
+    assert token_counts.token_counts(frame(spark, ODD).limit(0), path).count() == 0
+
+
+def test_byte_bpe_is_the_librarys_and_decodes_to_the_text(spark):
+    import tiktoken
+
+    path = vocab.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for df in (frame(spark, ODD), documents(spark)):
+        got = sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.byte_bpe_encode(df, path, vocab.PATTERN).collect())
+        want = []
+        for r in df.collect():
+            ids = library.encode_ordinary(r.text or "")
+            want.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+        assert got == sorted(want)
+    bpe = byte_bpe.byte_bpe(path, vocab.PATTERN)
+    rng = random.Random(0)
+    for _ in range(300):
+        x = "".join(rng.choice("ab é!1") for _ in range(rng.randint(1, 60)))
+        assert bpe.encode(x) == library.encode_ordinary(x) and bpe.decode(bpe.encode(x)).decode() == x
+
+
+def test_language_is_right_on_rows_kept_from_fitting(spark):
+    rows = language_id.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = rows.where("held_out").collect()
+    assert len(held) > 200 and sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in held)
+
+
+def test_language_edges_and_spans(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    by_lang = {r.lang: r.text for r in docs.where("length(text) > 3000").collect()}
+    en, fr = by_lang["en"][:1500], by_lang["fr"][:1500]
+    texts = [None, "", "12 $$", "Привет", en + " " + fr]
+    got = [(r.lang_pred, r.score, r.spans) for r in language_id.language_id(frame(spark, texts), model).collect()]
+    assert [g[0] for g in got[:3]] == ["und"] * 3 and all(g[1] == 0 for g in got[:3])
+    assert {s.lang for s in got[4][2]} >= {"en", "fr"} and got[4][1] < 0.9
+    assert all(s.start < s.end for s in got[4][2])
+    none = language_id.fit(docs.limit(0))
+    assert {r.lang_pred for r in language_id.language_id(frame(spark, texts), none).collect()} == {"und"}
+    assert language_id.language_id(frame(spark, texts).limit(0), model).count() == 0
+
+
+def test_viterbi_finds_the_best_path():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    scores = [rng.normal(size=(n, 3)).astype(np.float32) * 3 for n in (0, 1, 4, 7, 4)]
+    for s, path in zip(scores, language_id.viterbi(scores, 2.0), strict=True):
+        value = lambda p, s=s: sum(s[i, x] for i, x in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        assert len(path) == len(s) and (not len(s) or abs(value(path) - max(map(value, itertools.product(range(3), repeat=len(s))))) < 1e-4)
+
+
+SECRETS = [None, "", "token: abcdefgh é😀 API_KEY='x.y-z/0123' passwd = short", "password=token=abcdefgh secret:tok token: secret:abcdefghijk", "AKIAABCDEFGHIJKL AKIA1 xAKIAAKIAAKIAAKIA", "0123456789abcdef" * 3 + "g" + "f" * 31, "token = \"" + "ab12" * 10 + '"', "a" * 50000, "token " * 5000, " " * 30000]
+
+
+def plain_secrets(text):
+    out = []
+    word = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    names = "|".join([*map(word, ("password", "passwd", "secret", "token")), "[aA][pP][iI]_?[kK][eE][yY]"])
+    out += [(m.start(), 1, m.end(), "assign") for m in re.finditer(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    out += [(m.start(), 2, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 3, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def test_secrets_base_spans_are_the_rules(spark):
+    for df in (frame(spark, SECRETS), documents(spark)):
+        got = sorted(((r.text or "")[:80], [(s.start, s.order, s.end, s.kind) for s in r.base]) for r in secrets.secret_spans(df, keep=("doc_id", "text")).collect())
+        assert got == sorted(((r.text or "")[:80], plain_secrets(r.text or "")) for r in df.collect())
+    assert secrets.secret_spans(frame(spark, SECRETS).limit(0)).count() == 0
+
+
+def test_entropy_windows_and_what_they_find(spark):
+    def highest(s, alphabet, w=secrets.WINDOW):
+        windows = [s[i : i + w] for i in range(len(s) - w + 1)]
+        return max((-sum(x.count(c) / w * math.log2(x.count(c) / w) for c in set(x)) for x in windows if all(c in alphabet for c in x)), default=0.0)
+
+    rng = random.Random(1)
+    strings = ["".join(rng.choice("0123456789abcdefXY+/") for _ in range(rng.randint(5, 70))) for _ in range(40)]
+    df = spark.createDataFrame([(s,) for s in strings], "s string")
+    for alphabet, _ in secrets.CLASSES.values():
+        for r in df.select("s", secrets.window_entropy(F.col("s"), alphabet).alias("e")).collect():
+            assert abs(r.e - highest(r.s, alphabet)) < 1e-9
+    texts = ["key aB3dE5gH7jK9mN1pQ3sT5vX7 end", "uuid 0a1b2c3d-1111-2222-3333-444455556666", "plainwordsrunningtogetherwithoutend", "11112222333344445555 2024-01-02-03-04-05-06", "aaaaaaaaaaaaaaaaaaaaaaaaa1"]
+    got = [[s.text for s in r.found] for r in secrets.secret_spans(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [["aB3dE5gH7jK9mN1pQ3sT5vX7"], [], [], [], []]
+
+
+def test_masked_texts(spark):
+    spans = "array<struct<start:bigint,end:bigint>>"
+    df = spark.createDataFrame([("é😀 abc def", [(3, 6)]), ("abcdef", [(0, 4), (2, 6)]), ("abc", []), (None, [])], f"t string, s {spans}")
+    assert [r.m for r in df.select(secrets.masked(F.col("t"), F.col("s"), "#").alias("m")).collect()] == ["é😀 # def", "#", "abc", None]
+
+
+PEOPLE = [None, "", "a@b.c_x@y.z @ a@b. x@-.-.-, é😀 q%w@e.r", "1.2.3.4.5.6.7.8 300.1.1.1 001.002.000.0255 1.1.1.1", "4111 1111-1111 1111 x 4111111111111112 5500-0000-0000-0004", "+1 (555) 123-4567.. +12 +1234567890123456 +1+2+12345678 90", "1" * 30000, "a." * 20000 + "@b.c", "1 " * 20000]
+
+
+def plain_people(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda s: sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    ]
+    if len(text) > 10000 and "@" in text:
+        rules = rules[1:]  # Python's engine is slow here
+    return [(i + 1, m.start(), m.end(), k) for i, (k, p, ok) in enumerate(rules) for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_personal_data_base_spans_are_the_rules(spark):
+    for df in (frame(spark, PEOPLE), documents(spark)):
+        texts = {r.doc_id: r.text or "" for r in df.collect()}
+        for r in personal_data.personal_data(df).collect():
+            text = texts[r.doc_id]
+            got = [(s.order, s.start, s.end, s.kind) for s in r.base]
+            assert [g for g in got if not (len(text) > 10000 and g[3] == "email")] == plain_people(text)
+    assert personal_data.personal_data(frame(spark, PEOPLE).limit(0)).count() == 0
+
+
+def test_personal_data_patterns_discover_identifiers(spark):
+    known = [(i, f"call phone: +1555010{i:04d} now") for i in range(30)]
+    new = [(100, "call phone: +1555010 now"), (101, "my number +1555010 is"), (102, "room 12345678 on floor 3")]
+    rows = personal_data.personal_data(spark.createDataFrame(known + new, "doc_id long, text string")).collect()
+    found = {r.doc_id: [(s.kind, s.text) for s in r.found] for r in rows if r.found}
+    assert found == {100: [("phone", "+1555010")]}
+
+
+def test_url_rules_and_words(spark):
+    rules = [("org/", "org", "/"), ("example.org/es/", "example.org", "/es/"), ("example.org/en/1", "example.org", "/en/1"), ("com/fr/", "com", "/fr/"), ("com/de/", "com", "/de/")]
+    verdicts = dict(zip([r[0] for r in rules], ["allow", "block", "block", "allow", "block"], strict=True))
+    for df in (spark.createDataFrame([(1, None, None), (2, "abc", ""), (None, "http://A.Example.ORG/es/x?y://", None), (4, "x://com/de/#f", "<p>a"), (5, "http://a.org", "q"), (6, "h://notexample.org/es/1", ""), (7, "h://example.org/en/12", "x")], "page_id long, url string, html string"), spark.read.parquet(f"{SMALL}/pages.parquet")):
+        urls = {r.page_id: r.url for r in df.collect()}
+        for r in url_filter.url_filter(df).collect():
+            url = urls[r.page_id]
+            m = re.match(r"(?s)[^/?#]*", url.split("://", 1)[1]) if url and "://" in url else None
+            rest = url.split("://", 1)[1] if m else ""
+            host = "".join(c.lower() if c.isascii() else c for c in m[0]) if m else ""
+            path = re.match(r"(?s)[^?#]*", rest[len(host) :])[0]
+            fits = [x for x in rules if (host == x[1] or host.endswith("." + x[1])) and path.startswith(x[2])]
+            want = max(fits, key=lambda x: len(x[0]))[0] if fits else None
+            assert (r.host, r.path, r.rule) == (host, path, want)
+            assert r.verdict == verdicts[want] if want else r.verdict in ("allow", "block")
+    assert url_filter.url_filter(spark.read.parquet(f"{SMALL}/pages.parquet").limit(0)).count() == 0
+
+
+def test_segmenter_is_the_best_split():
+    s = url_filter.Segmenter({"cheap": 50, "pills": 40, "che": 5, "ap": 5, "the": 500})
+    assert s.split("cheappills") == ["cheap", "pills"] and s.words("The-cheap12") == ["the", "cheap", "12"] and s.split("") == []
+    assert s.split("x" * 1000) == ["x" * 1000]
+    bayes = url_filter.NaiveBayes([("allow", "news", 50), ("block", "/es", 20)])
+    assert bayes.score(["casino"]) > 0 > bayes.score(["news"]) and bayes.score(["unheard"]) == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 7])
+def test_native_queries_have_no_python(spark, size):
+    plans = [secrets.secret_spans(documents(spark).limit(size)), personal_data.personal_data(documents(spark).limit(size))]
+    for df in plans:
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
