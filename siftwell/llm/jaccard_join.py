@@ -36,7 +36,7 @@ SLACK = 1.2
 PAIRED = 64
 #: Classes in a block of a large group.
 BLOCK = 256
-CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 8192
+CHUNK_BYTES, CHUNK_ROWS = 3 << 20, 4096
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _TO_LOWER = bytes.maketrans(_UPPER, _LOWER)
 
@@ -180,14 +180,15 @@ def _paired(asked: pa.Table, paired: int) -> pa.Table:
         h, cls = h[new], cls[new]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(first, len(h)))
+        known, local = np.unique(cls, return_inverse=True)
         pairs = []
         for s in np.unique(size[(size > 1) & (size <= paired)]):
-            group = cls[first[size == s][:, None] + np.arange(s)]
+            group = local[first[size == s][:, None] + np.arange(s)]
             i, j = np.triu_indices(s, 1)
-            pairs.append(np.stack([group[:, i].ravel(), group[:, j].ravel()], 1))
+            pairs.append((group[:, i] * len(known) + group[:, j]).ravel())
         if pairs:
-            both, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-            out.append(_column("pair", a=both[:, 0], b=both[:, 1], n=n))
+            both, n = np.unique(np.concatenate(pairs), return_counts=True)
+            out.append(_column("pair", a=known[both // len(known)], b=known[both % len(known)], n=n))
         stars = []
         for at, s in zip(first[size > paired], size[size > paired], strict=True):
             members = cls[at : at + s]
@@ -217,8 +218,8 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _verify(batches):
     for batch in batches:
-        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        ok = [_links(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
+        sets = ((np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)) for c in "xy")  # views, not copies
+        ok = [_links(x, y) for x, y in zip(*sets, strict=True)]
         yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(ok, pa.bool_()))
 
 
