@@ -160,7 +160,7 @@ def _pair(paired: int):
 
 def _paired(asked: pa.Table, paired: int) -> pa.Table:
     """doc: documents (key, doc_id, n, class a) passed on; pair: a < b share n signatures of this part;
-    star: a is the head of a large group that has b; large: class b is in the large group a."""
+    star: a is the head of n large groups that have b; large: class b is in the large group a."""
     here = asked.column("hashes").is_valid()
     docs = asked.filter(pc.invert(here))
     out = [_column("doc", a=[None if x is None else int.from_bytes(x, "little", signed=True) for x in docs.column("classes").to_pylist()], n=docs.column("n").combine_chunks(), key=docs.column("key").combine_chunks(), doc_id=docs.column("doc_id").combine_chunks())] if docs.num_rows else []
@@ -196,8 +196,8 @@ def _paired(asked: pa.Table, paired: int) -> pa.Table:
             stars.append(np.stack([np.full(s, head), members], 1)[members != head])
             out.append(_column("large", a=np.full(s, int(h[at]) << 20 | part), b=members))
         if stars:
-            both = np.unique(np.concatenate(stars), axis=0)
-            out.append(_column("star", a=both[:, 0], b=both[:, 1]))
+            both, n = np.unique(np.concatenate(stars), axis=0, return_counts=True)
+            out.append(_column("star", a=both[:, 0], b=both[:, 1], n=n))
     return pa.concat_tables(out) if out else _SECOND_ARROW.empty_table()
 
 
@@ -295,7 +295,7 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
     members = second.where("kind = 'doc'").select(F.col("a").alias("class"), "key", "doc_id", "n")
     large = second.where("kind = 'large'").select(F.col("a").alias("group"), F.col("b").alias("class"))
     pairs = second.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    stars = second.where("kind = 'star'").select("a", "b").distinct()
+    stars = second.where("kind = 'star'").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
     # the sets of classes that have a candidate
     ends = lambda x: x.select(F.col("a").alias("class")).unionAll(x.select(F.col("b").alias("class")))
@@ -304,18 +304,19 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
     texts = rows.join(of, "key").dropDuplicates(["class"]).select("class", "text")
     sets = cut(texts.mapInArrow(_load, "class bigint, need bigint, set binary"), "jaccard-sets")
 
-    # candidates: pairs that share enough signatures; in large groups, where not all are counted, any that share one
-    is_large = large.select("class").distinct().withColumn("large", F.lit(True))
-    needs = sets.select("class", "need").join(is_large, "class", "left")
+    # candidates: pairs that share enough signatures, if those of large groups, which aren't counted here, all count
+    is_large = large.groupBy("class").agg(F.count_distinct("group").alias("large"))
+    needs = sets.select("class", "need").join(is_large, "class", "left").na.fill(0, ["large"])
     a, b = (needs.select(F.col("class").alias(x), F.col("need").alias(f"need_{x}"), F.col("large").alias(f"large_{x}")) for x in "ab")
-    near = pairs.join(a, "a").join(b, "b").where((F.col("n") >= F.greatest("need_a", "need_b")) | (F.col("large_a") & F.col("large_b"))).select("a", "b", "n")
+    near = pairs.join(a, "a").join(b, "b").where(F.col("n") + F.least("large_a", "large_b") >= F.greatest("need_a", "need_b")).select("a", "b", "n")
     near = cut(near, "jaccard-pairs")
 
-    # first each class with the candidate it shares most with, and with the heads of its large groups
+    # first each class with the candidate it shares most with, and with the head that it shares most large groups with
     both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    best = both.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    best = lambda x: x.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    heads = best(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     once = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(once(best.unionAll(stars)), sets)
+    links = _verified(once(best(both).unionAll(heads)), sets)
     known = components(links).withColumnRenamed("id", "class")
     # then the pairs that are still apart
     at = lambda x: known.select(F.col("class").alias(x), F.col("component").alias(f"at_{x}"))
