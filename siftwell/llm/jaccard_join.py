@@ -105,8 +105,8 @@ def signatures(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(found), np.concatenate(owners), need
 
 
-_FIRST = "part int, classes binary, hashes binary, owners binary, doc_id bigint, key bigint, n bigint"
-_FIRST_ARROW = pa.schema([("part", pa.int32()), *[(x, pa.binary()) for x in ("classes", "hashes", "owners")], ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+_FIRST = "part int, classes binary, hashes binary, owners binary, doc_id bigint, key bigint, n bigint, need bigint"
+_FIRST_ARROW = pa.schema([("part", pa.int32()), *[(x, pa.binary()) for x in ("classes", "hashes", "owners")], ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("need", pa.int64())])
 
 
 def _class_of(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -131,7 +131,9 @@ def _sign(parts: int):
             if len(first):
                 starts = ends - n
                 own = np.concatenate([sets[starts[i] : ends[i]] for i in first])
-                h, owner, _ = signatures(own, np.cumsum(n[first]))
+                h, owner, need = signatures(own, np.cumsum(n[first]))
+                for i, least in zip(first, need, strict=True):
+                    rows[i]["need"] = int(least)
                 part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((owner, part))
                 bounds = np.searchsorted(part[order], np.arange(parts + 1))
@@ -159,11 +161,11 @@ def _pair(paired: int):
 
 
 def _paired(asked: pa.Table, paired: int) -> pa.Table:
-    """doc: documents (key, doc_id, n, class a) passed on; pair: a < b share n signatures of this part;
+    """doc: documents (key, doc_id, n, class a, and b: how many signatures it must share, told once in a chunk) passed on; pair: a < b share n signatures of this part;
     star: a is the head of n large groups that have b; large: class b is in the large group a."""
     here = asked.column("hashes").is_valid()
     docs = asked.filter(pc.invert(here))
-    out = [_column("doc", a=[None if x is None else int.from_bytes(x, "little", signed=True) for x in docs.column("classes").to_pylist()], n=docs.column("n").combine_chunks(), key=docs.column("key").combine_chunks(), doc_id=docs.column("doc_id").combine_chunks())] if docs.num_rows else []
+    out = [_column("doc", a=[None if x is None else int.from_bytes(x, "little", signed=True) for x in docs.column("classes").to_pylist()], n=docs.column("n").combine_chunks(), key=docs.column("key").combine_chunks(), b=docs.column("need").combine_chunks(), doc_id=docs.column("doc_id").combine_chunks())] if docs.num_rows else []
     asked = asked.filter(here)
     if asked.num_rows:
         part = asked.column("part")[0].as_py()
@@ -202,13 +204,12 @@ def _paired(asked: pa.Table, paired: int) -> pa.Table:
 
 
 def _load(batches):
-    """class, need and the packed set of documents (class, text)."""
+    """class and the packed set of documents (class, text)."""
     shingles = Shingles()
     for batch, texts in chunks(batches, "text", CHUNK_BYTES, CHUNK_ROWS):
         sets, ends = shingles.sets(texts)
         n = np.diff(ends, prepend=0)
-        _, _, need = signatures(sets, ends)
-        yield pa.RecordBatch.from_pydict({"class": batch.column("class"), "need": pa.array(need, pa.int64()), "set": pa.array([sets[e - m : e].tobytes() for e, m in zip(ends, n, strict=True)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"class": batch.column("class"), "set": pa.array([sets[e - m : e].tobytes() for e, m in zip(ends, n, strict=True)], pa.binary())})
 
 
 def _links(x: np.ndarray, y: np.ndarray) -> bool:
@@ -267,12 +268,10 @@ def _blocks(asked: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
-def _large_links(large: DataFrame, known: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
+def _large_links(large: DataFrame, known: DataFrame, needs: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
     """Links between classes of large groups (group, class) that known (class, component) leaves apart."""
-    own = sets.join(known, "class", "left").select("class", "need", "set", F.coalesce("component", "class").alias("component"))
-    members = large.join(own.select("class", "need", "component"), "class")
-    enough = members.groupBy("class").agg(F.count("*").alias("n"), F.first("need").alias("least")).where("n >= least").select("class")
-    members = members.join(enough, "class")
+    own = needs.where("large >= need").join(known, "class", "left").select("class", "need", F.coalesce("component", "class").alias("component"))
+    members = large.join(own, "class")
     apart = members.groupBy("group").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.min("class").alias("head")).where("p <> q")
     members = cut(members.join(apart.select("group", "head"), "group").select("group", "head", "class"), "jaccard-large")
     if members.isEmpty():
@@ -281,7 +280,7 @@ def _large_links(large: DataFrame, known: DataFrame, sets: DataFrame, block: int
     blocks = clusters.join(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "cluster")
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     groups = members.groupBy("class").agg(F.collect_list("group").alias("groups"))
-    full = blocks.join(groups, "class").join(own, "class")
+    full = blocks.join(groups, "class").join(own, "class").join(sets, "class")
     each = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("cluster", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "own", "class", "component", "need", "groups", "set")
     return cut(each.groupBy("cluster", "one", "two").applyInArrow(_blocks, "a bigint, b bigint"), "jaccard-links")
@@ -292,29 +291,31 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
     parts = buckets(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     second = cut(rows.mapInArrow(_sign(parts), _FIRST).groupBy("part").applyInArrow(_pair(paired), _SECOND), "jaccard-candidates")
-    members = second.where("kind = 'doc'").select(F.col("a").alias("class"), "key", "doc_id", "n")
+    members = second.where("kind = 'doc'").select(F.col("a").alias("class"), "key", "doc_id", "n", F.col("b").alias("need"))
     large = second.where("kind = 'large'").select(F.col("a").alias("group"), F.col("b").alias("class"))
     pairs = second.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n"))
     stars = second.where("kind = 'star'").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-    # the sets of classes that have a candidate
-    ends = lambda x: x.select(F.col("a").alias("class")).unionAll(x.select(F.col("b").alias("class")))
-    wanted = ends(second.where("kind in ('pair', 'star')")).distinct()
-    of = members.where("class is not null").groupBy("class").agg(F.min("key").alias("key")).join(wanted, "class")
-    texts = rows.join(of, "key").dropDuplicates(["class"]).select("class", "text")
-    sets = cut(texts.mapInArrow(_load, "class bigint, need bigint, set binary"), "jaccard-sets")
-
     # candidates: pairs that share enough signatures, if those of large groups, which aren't counted here, all count
     is_large = large.groupBy("class").agg(F.count_distinct("group").alias("large"))
-    needs = sets.select("class", "need").join(is_large, "class", "left").na.fill(0, ["large"])
+    of = members.where("class is not null").groupBy("class").agg(F.min("key").alias("key"), F.max("need").alias("need"))
+    needs = cut(of.join(is_large, "class", "left").na.fill(0, ["large"]), "jaccard-classes")
     a, b = (needs.select(F.col("class").alias(x), F.col("need").alias(f"need_{x}"), F.col("large").alias(f"large_{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where(F.col("n") + F.least("large_a", "large_b") >= F.greatest("need_a", "need_b")).select("a", "b", "n")
     near = cut(near, "jaccard-pairs")
 
+    # the sets of classes that have a candidate
+    in_large = needs.where("large >= need").select("class")
+    ends = near.select(F.col("a").alias("class")).unionAll(near.select(F.col("b").alias("class")))
+    heads = stars.join(in_large.select(F.col("class").alias("a")), "a").join(in_large.select(F.col("class").alias("b")), "b")
+    wanted = ends.unionAll(in_large).distinct().join(needs, "class")
+    texts = rows.join(wanted, "key").dropDuplicates(["class"]).select("class", "text")
+    sets = cut(texts.mapInArrow(_load, "class bigint, set binary"), "jaccard-sets")
+
     # first each class with the candidate it shares most with, and with the head that it shares most large groups with
     both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = lambda x: x.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    heads = best(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    heads = best(heads.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     once = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _verified(once(best(both).unionAll(heads)), sets)
     known = components(links).withColumnRenamed("id", "class")
@@ -326,7 +327,7 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
         links = links.unionAll(more)
         known = components(links).withColumnRenamed("id", "class")
     # and last the classes of large groups that are still apart
-    last = _large_links(large, known, sets, block)
+    last = _large_links(large, known, needs, sets, block)
     if last is not None and not last.isEmpty():
         known = components(links.unionAll(last)).withColumnRenamed("id", "class")
 
