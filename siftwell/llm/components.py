@@ -2,30 +2,57 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+def _contract(batches):
+    """Replaces the links of a task by stars around the smallest id of each component they form."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    leaves = [x for x in root if root[x] != x]
+    for i in range(0, len(leaves), 1 << 16):
+        part = leaves[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in part], pa.int64()), pa.array(part, pa.int64())], names=["a", "b"])
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (a < b) of the same components: what each task holds becomes stars."""
+    return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contract, "a bigint, b bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id that links reach) of every id in links (a, b).
 
-    Each round takes every node to the smallest neighbour of itself and of its neighbours (star contraction: a node's
-    larger neighbours are linked to its smallest one, then its smaller ones likewise), which keeps components together,
-    shortens paths at least by half and ends when the links are stars around the smallest ids.
+    Each round takes every node to the smallest neighbour of itself and of its neighbours (a node's larger neighbours are
+    linked to its smallest one, then its smaller ones likewise), which keeps components together and shortens paths; what a
+    task holds is contracted on the way. It ends when a round changes nothing: the links are stars around the smallest ids.
     """
-    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    digest = lambda x: x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    edges = cut(_contracted(links).distinct(), "links")
+    was = digest(edges)
     while True:
-        # large star: each larger neighbour (and the node) goes to the smallest of the neighbourhood
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = large.where("a <> b")
-        # small star: each smaller neighbour and the node go to the smallest neighbour
+        large = both.join(least, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), "m").distinct()
-        after = cut(small.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").distinct(), "links")
-        if edges.exceptAll(after).isEmpty() and after.exceptAll(edges).isEmpty():
-            return after.select(F.col("b").alias("id"), F.col("a").alias("component")).unionAll(after.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
-        edges = after
+        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("b"), F.col("m").alias("a"))
+        edges = cut(_contracted(small).distinct(), "links")
+        now = digest(edges)
+        if now == was:
+            return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionAll(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+        was = now
