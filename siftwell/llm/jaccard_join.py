@@ -268,19 +268,20 @@ def _blocks(asked: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
-def _large_links(large: DataFrame, known: DataFrame, needs: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
-    """Links between classes of large groups (group, class) that known (class, component) leaves apart."""
-    own = needs.where("large >= need").join(known, "class", "left").select("class", "need", F.coalesce("component", "class").alias("component"))
-    members = large.join(own, "class")
-    apart = members.groupBy("group").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.min("class").alias("head")).where("p <> q")
-    members = cut(members.join(apart.select("group", "head"), "group").select("group", "head", "class"), "jaccard-large")
-    if members.isEmpty():
+def _large_links(stars: DataFrame, known: DataFrame, needs: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
+    """Links between classes of large groups that known (class, component) leaves apart.
+
+    Only classes in as many large groups as they must share with a linked one take part. Those that heads of large groups
+    connect are a cluster; clusters of several components are compared in pairs of blocks.
+    """
+    own = needs.where("large >= need").join(known, "class", "left").select("class", "need", "groups", F.coalesce("component", "class").alias("component"))
+    if own.isEmpty():
         return None
-    clusters = components(members.where("head <> class").select(F.col("head").alias("a"), F.col("class").alias("b"))).select(F.col("id").alias("class"), F.col("component").alias("cluster"))
-    blocks = clusters.join(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "cluster")
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    groups = members.groupBy("class").agg(F.collect_list("group").alias("groups"))
-    full = blocks.join(groups, "class").join(own, "class").join(sets, "class")
+    near = components(stars.join(own.select(F.col("class").alias("b")), "b").select("a", "b"))
+    own = own.join(near.select(F.col("id").alias("class"), F.col("component").alias("cluster")), "class")
+    apart = own.groupBy("cluster").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("p <> q")
+    full = own.join(apart.select("cluster", "blocks"), "cluster").join(sets, "class")
+    full = full.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     each = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("cluster", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "own", "class", "component", "need", "groups", "set")
     return cut(each.groupBy("cluster", "one", "two").applyInArrow(_blocks, "a bigint, b bigint"), "jaccard-links")
@@ -297,9 +298,10 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
     stars = second.where("kind = 'star'").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
     # candidates: pairs that share enough signatures, if those of large groups, which aren't counted here, all count
-    is_large = large.groupBy("class").agg(F.count_distinct("group").alias("large"))
+    is_large = large.groupBy("class").agg(F.collect_set("group").alias("groups"))  # no more than the class has signatures
     of = members.where("class is not null").groupBy("class").agg(F.min("key").alias("key"), F.max("need").alias("need"))
-    needs = cut(of.join(is_large, "class", "left").na.fill(0, ["large"]), "jaccard-classes")
+    needs = of.join(is_large, "class", "left").withColumn("large", F.greatest(F.coalesce(F.size("groups"), F.lit(0)), F.lit(0)))
+    needs = cut(needs, "jaccard-classes")
     a, b = (needs.select(F.col("class").alias(x), F.col("need").alias(f"need_{x}"), F.col("large").alias(f"large_{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where(F.col("n") + F.least("large_a", "large_b") >= F.greatest("need_a", "need_b")).select("a", "b", "n")
     near = cut(near, "jaccard-pairs")
@@ -308,7 +310,7 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
     in_large = needs.where("large >= need").select("class")
     ends = near.select(F.col("a").alias("class")).unionAll(near.select(F.col("b").alias("class")))
     heads = stars.join(in_large.select(F.col("class").alias("a")), "a").join(in_large.select(F.col("class").alias("b")), "b")
-    wanted = ends.unionAll(in_large).distinct().join(needs, "class")
+    wanted = ends.unionAll(in_large).distinct().join(needs.select("class", "key"), "class")
     texts = rows.join(wanted, "key").dropDuplicates(["class"]).select("class", "text")
     sets = cut(texts.mapInArrow(_load, "class bigint, set binary"), "jaccard-sets")
 
@@ -327,7 +329,7 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
         links = links.unionAll(more)
         known = components(links).withColumnRenamed("id", "class")
     # and last the classes of large groups that are still apart
-    last = _large_links(large, known, needs, sets, block)
+    last = _large_links(stars, known, needs, sets, block)
     if last is not None and not last.isEmpty():
         known = components(links.unionAll(last)).withColumnRenamed("id", "class")
 
