@@ -21,6 +21,8 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,10 @@ WINDOW, BLOCK = 20, 10
 CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 8192
 _LAST = np.iinfo(np.int64).max
 
-_PROBES = "part int, ids binary, keys binary, ends binary, hashes binary, at binary"
-_PROBES_ARROW = pa.schema([("part", pa.int32()), *[(x, pa.binary()) for x in ("ids", "keys", "ends", "hashes", "at")]])
+_PROBES = "part int, chunk string, keys binary, ends binary, hashes binary, at binary"
+_PROBES_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.string()), *[(x, pa.binary()) for x in ("keys", "ends", "hashes", "at")]])
+_ANSWERS = "chunk string, keys binary, ends binary, at binary"
+_ANSWERS_ARROW = pa.schema([("chunk", pa.string()), *[(x, pa.binary()) for x in ("keys", "ends", "at")]])
 _MARKS = "key bigint, at binary"
 _MARKS_ARROW = pa.schema([("key", pa.int64()), ("at", pa.binary())])
 
@@ -55,16 +59,28 @@ def _by_doc(keys: np.ndarray, ends: np.ndarray, at: np.ndarray) -> list[tuple[in
     return [(int(keys[doc[a]]), pack((at[a:b] - start[a]).astype(np.uint32))) for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True)]
 
 
-def _dealt(parts: int, keys, ids, ends, hashes: np.ndarray, at: np.ndarray, low: np.ndarray):
-    """Packed blocks of the hashes that go to each part; at holds positions, with low as its lowest bit."""
+def _name(number: int, keys: np.ndarray) -> str:
+    """A chunk's name: the same whenever a task is repeated over the same rows."""
+    return f"{TaskContext.get().partitionId()}-{number}-{xxhash.xxh3_64_hexdigest(keys.tobytes())}"
+
+
+def _dealt(parts: int, hashes: np.ndarray, at: np.ndarray, low: np.ndarray):
+    """Packed hashes and positions that go to each part; the gaps between positions have low as their lowest bit."""
     part = ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    packed_ids, packed_keys, packed_ends = pack(np.diff(ids, prepend=0)), pack(keys), pack(np.diff(ends, prepend=0).astype(np.uint32))
     for p in range(parts):
         own = order[bounds[p] : bounds[p + 1]]
         if len(own):
-            yield p, packed_ids, packed_keys, packed_ends, hashes[own], np.diff(at[own] << 1 | low[own], prepend=0)
+            yield p, hashes[own], pack(np.diff(at[own] << 1 | low[own], prepend=0).astype(np.uint32))
+
+
+def _packed_ends(ends: np.ndarray) -> bytes:
+    return pack(np.diff(ends, prepend=0).astype(np.uint32))
+
+
+def _ends(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed, np.uint32), dtype=np.int64)
 
 
 def _groups(h: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,9 +96,10 @@ def _probe(parts: int):
 
     def run(batches):
         hashed = Words()
-        for batch, texts in chunks(batches, "text", CHUNK_BYTES, CHUNK_ROWS):
+        for number, (batch, texts) in enumerate(chunks(batches, "text", CHUNK_BYTES, CHUNK_ROWS)):
             words, ends = hashed.hashes([split_words(x) for x in texts])
-            keys, ids = batch.column("key").to_numpy(), _ids(batch.column("doc_id"))
+            keys = batch.column("key").to_numpy()
+            name = _name(number, keys)
             start = np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0))
             at = np.flatnonzero(inside(len(words), ends, BLOCK))
             h = runs(words, BLOCK)[at]
@@ -92,48 +109,55 @@ def _probe(parts: int):
             sent = np.sort(order[first])
             flag = np.zeros(len(h), np.int64)
             flag[order[first]] = reference
-            rows = [{"part": int(key % parts), "keys": int(key).to_bytes(8, "little", signed=True), "at": packed} for key, packed in _by_doc(keys, ends, np.sort(at[order[many[group]]]))]
-            for p, i, k, e, own, gaps in _dealt(parts, keys, ids, ends, h[sent], at[sent], flag[sent]):
-                rows.append({"part": p, "ids": i, "keys": k, "ends": e, "hashes": own.astype(np.uint32).tobytes(), "at": pack(gaps.astype(np.uint32))})
+            own = np.sort(at[order[many[group]]]).astype(np.uint32)
+            rows = [{"part": number % parts, "chunk": name, "keys": pack(keys), "ends": _packed_ends(ends), "at": pack(own)}]
+            for p, found, gaps in _dealt(parts, h[sent], at[sent], flag[sent]):
+                rows.append({"part": p, "chunk": name, "hashes": found.astype(np.uint32).tobytes(), "at": gaps})
             yield pa.RecordBatch.from_pylist(rows, schema=_PROBES_ARROW)
 
     return run
 
 
-def _opened(table: pa.Table, kind):
-    """All hashes of a part, with their block and position; and the blocks' documents."""
-    hashes = [np.frombuffer(x.as_py(), kind) for x in table.column("hashes")]
+def _opened(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All hashes of a part, with their position (and low bit) and the row they came in."""
+    hashes = [np.frombuffer(x.as_buffer(), kind) for x in table.column("hashes")]
     gaps = [np.cumsum(unpack(x.as_py(), np.uint32), dtype=np.int64) for x in table.column("at")]
-    keys = [unpack(x.as_py(), np.int64) for x in table.column("keys")]
-    ends = [np.cumsum(unpack(x.as_py(), np.uint32), dtype=np.int64) for x in table.column("ends")]
-    block = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-    return np.concatenate(hashes), np.concatenate(gaps), block, keys, ends
+    return np.concatenate(hashes), np.concatenate(gaps), np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
 
 
-def _marks(block: np.ndarray, at: np.ndarray, keys: list, ends: list) -> list[tuple[int, bytes]]:
-    """Packed positions by document, of sorted blocks and positions in them."""
-    cuts = np.searchsorted(block, np.arange(len(keys) + 1))
-    return [m for b in range(len(keys)) for m in _by_doc(keys[b], ends[b], at[cuts[b] : cuts[b + 1]])]
+def _answers(table: pa.Table, row: np.ndarray, at: np.ndarray) -> list[dict]:
+    """Packed positions for each row that has some, under its chunk; rows are in order."""
+    names = table.column("chunk").to_pylist()
+    cuts = np.searchsorted(row, np.arange(len(names) + 1))
+    return [{"chunk": names[i], "at": pack(at[cuts[i] : cuts[i + 1]].astype(np.uint32))} for i in range(len(names)) if cuts[i] < cuts[i + 1]]
 
 
 def _answer_probes(asked: pa.Table) -> pa.Table:
-    """Marks the runs that more than one chunk holds, where one of them is a reference block; passes on the chunks' own marks."""
+    """Marks the runs that more than one chunk holds, where one of them is a reference block; passes on what chunks tell of themselves."""
     own = pc.is_null(asked.column("hashes"))
-    passed = asked.filter(own)
-    marks = [(int.from_bytes(k.as_py(), "little", signed=True), v.as_py()) for k, v in zip(passed.column("keys"), passed.column("at"), strict=True)]
+    out = asked.filter(own).select(_ANSWERS_ARROW.names).cast(_ANSWERS_ARROW)
     asked = asked.filter(pc.invert(own))
     if asked.num_rows:
-        h, at, block, keys, ends = _opened(asked, np.uint32)
+        h, at, row = _opened(asked, np.uint32)
         order, _, group = _groups(h)
         reference = np.bincount(group, (at & 1)[order]) > 0
         hit = np.zeros(len(h), bool)
         hit[order] = ((np.bincount(group) > 1) & reference)[group]
-        marks += _marks(block[hit], at[hit] >> 1, keys, ends)
+        out = pa.concat_tables([out, pa.Table.from_pylist(_answers(asked, row[hit], at[hit] >> 1), schema=_ANSWERS_ARROW)])
+    return out
+
+
+def _of_chunk(answers: pa.Table) -> pa.Table:
+    """Packed positions by document, from all answers to a chunk."""
+    head = answers.filter(answers.column("keys").is_valid())
+    keys, ends = unpack(head.column("keys")[0].as_py(), np.int64), _ends(head.column("ends")[0].as_py())
+    at = np.unique(np.concatenate([unpack(x.as_py(), np.uint32) for x in answers.column("at")]).astype(np.int64))
+    marks = _by_doc(keys, ends, at)
     return pa.Table.from_pydict({"key": [m[0] for m in marks], "at": [m[1] for m in marks]}, schema=_MARKS_ARROW)
 
 
-_SECOND = "kind string, part int, ids binary, keys binary, ends binary, hashes binary, at binary, starts binary, doc_id bigint, key bigint, n_words bigint, kept_sha256 string, text string"
-_SECOND_ARROW = pa.schema([("kind", pa.string()), ("part", pa.int32()), *[(x, pa.binary()) for x in ("ids", "keys", "ends", "hashes", "at", "starts")], ("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+_SECOND = "kind string, part int, chunk string, ids binary, keys binary, ends binary, hashes binary, at binary, doc_id bigint, key bigint, n_words bigint, kept_sha256 string, text string"
+_SECOND_ARROW = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("chunk", pa.string()), *[(x, pa.binary()) for x in ("ids", "keys", "ends", "hashes", "at")], ("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
 
 def _extend(parts: int):
@@ -141,7 +165,7 @@ def _extend(parts: int):
 
     def run(batches):
         hashed = Words()
-        for batch, texts in chunks(batches, "text", CHUNK_BYTES, CHUNK_ROWS):
+        for number, (batch, texts) in enumerate(chunks(batches, "text", CHUNK_BYTES, CHUNK_ROWS)):
             rows = []
             marks = batch.column("marks").to_pylist()
             split = [split_words(x) for x in texts]
@@ -168,11 +192,11 @@ def _extend(parts: int):
                 order, first, group = _groups(h, at - begin[doc], own_keys[doc], doc_ids[doc])
                 lead = order[first][group]
                 same = (own_keys[doc[order]] == own_keys[doc[lead]]) & (doc_ids[doc[order]] == doc_ids[doc[lead]]) & ((at - begin[doc])[order] == (at - begin[doc])[lead])
-                for key, packed in _by_doc(own_keys, ends, np.sort(at[order[~same]])):
-                    rows.append({"kind": "remove", "key": key, "at": packed})
+                name, packed_keys, packed_ends = _name(number, keys), pack(own_keys), _packed_ends(ends)
+                rows.append({"kind": "chunk", "chunk": name, "keys": packed_keys, "ends": packed_ends, "at": pack(np.sort(at[order[~same]]).astype(np.uint32))})
                 sent = np.sort(order[first])
-                for p, i, k, e, own, gaps in _dealt(parts, own_keys, doc_ids, ends, h[sent], at[sent], np.zeros(len(sent), np.int64)):
-                    rows.append({"kind": "windows", "part": p, "ids": i, "keys": k, "ends": e, "hashes": own.tobytes(), "at": pack(gaps.astype(np.uint32))})
+                for p, found, gaps in _dealt(parts, h[sent], at[sent], np.zeros(len(sent), np.int64)):
+                    rows.append({"kind": "windows", "part": p, "chunk": name, "ids": pack(np.diff(doc_ids, prepend=0)), "keys": packed_keys, "ends": packed_ends, "hashes": found.tobytes(), "at": gaps})
             yield pa.RecordBatch.from_pylist(rows, schema=_SECOND_ARROW)
 
     return run
@@ -180,22 +204,20 @@ def _extend(parts: int):
 
 def _answer_windows(asked: pa.Table) -> pa.Table:
     """The windows of each chunk that occur earlier in another."""
-    h, at, block, keys, ends = _opened(asked, np.uint64)
+    h, at, row = _opened(asked, np.uint64)
     at >>= 1
-    ids = [np.cumsum(unpack(x.as_py(), np.int64)) for x in asked.column("ids")]
     doc_id, key, start = (np.empty(len(h), np.int64) for _ in range(3))
-    bounds = np.searchsorted(block, np.arange(len(keys) + 1))
-    for b in range(len(keys)):
-        own = slice(bounds[b], bounds[b + 1])
-        doc = np.searchsorted(ends[b], at[own], side="right")
-        doc_id[own], key[own] = ids[b][doc], keys[b][doc]
-        start[own] = at[own] - np.concatenate([[0], ends[b][:-1]])[doc]
+    bounds = np.searchsorted(row, np.arange(asked.num_rows + 1))
+    for i, head in enumerate(asked.select(["ids", "keys", "ends"]).to_pylist()):
+        own, ends = slice(bounds[i], bounds[i + 1]), _ends(head["ends"])
+        doc = np.searchsorted(ends, at[own], side="right")
+        doc_id[own], key[own] = np.cumsum(unpack(head["ids"], np.int64))[doc], unpack(head["keys"], np.int64)[doc]
+        start[own] = at[own] - np.concatenate([[0], ends[:-1]])[doc]
     order, first, group = _groups(h, start, key, doc_id)
     lead = order[first][group]
     later = np.zeros(len(h), bool)
     later[order] = (doc_id[order] != doc_id[lead]) | (key[order] != key[lead]) | (start[order] != start[lead])
-    marks = _marks(block[later], at[later], keys, ends)
-    return pa.Table.from_pydict({"key": [m[0] for m in marks], "at": [m[1] for m in marks]}, schema=_MARKS_ARROW)
+    return pa.Table.from_pylist(_answers(asked, row[later], at[later]), schema=_ANSWERS_ARROW)
 
 
 _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
@@ -230,13 +252,14 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     probes = rows.mapInArrow(_probe(parts), _PROBES)
-    marks = cut(probes.groupBy("part").applyInArrow(_answer_probes, _MARKS), "repeat-marks")
+    answers = probes.groupBy("part").applyInArrow(_answer_probes, _ANSWERS)
+    marks = cut(answers.groupBy("chunk").applyInArrow(_of_chunk, _MARKS), "repeat-marks")
     per_doc = marks.groupBy("key").agg(F.collect_list("at").alias("marks"))
     joined = rows.join(per_doc, "key", "left").select("doc_id", "key", "text", "marks")
     second = cut(joined.mapInArrow(_extend(parts), _SECOND), "repeat-windows")
-    asked = second.where("kind = 'windows'").select("part", "ids", "keys", "ends", "hashes", "at")
-    later = asked.groupBy("part").applyInArrow(_answer_windows, _MARKS).unionAll(second.where("kind = 'remove'").select("key", "at"))
-    gone = later.groupBy("key").agg(F.collect_list("at").alias("marks"))
+    asked = second.where("kind = 'windows'").select("part", "chunk", "ids", "keys", "ends", "hashes", "at")
+    later = asked.groupBy("part").applyInArrow(_answer_windows, _ANSWERS).unionAll(second.where("kind = 'chunk'").select("chunk", "keys", "ends", "at"))
+    gone = later.groupBy("chunk").applyInArrow(_of_chunk, _MARKS).groupBy("key").agg(F.collect_list("at").alias("marks"))
     texts = second.where("kind = 'text'").select("doc_id", "key", "text").join(gone, "key", "left").select("doc_id", "text", "marks")
     added = ", kept string" if with_text else ""
     found = texts.mapInArrow(_remove(with_text), _RESULT + added)
