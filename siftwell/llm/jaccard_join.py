@@ -227,7 +227,7 @@ def _verify(batches):
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     joined = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
     joined = joined.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-    return cut(joined.mapInArrow(_verify, "a bigint, b bigint"), "jaccard-links")
+    return cut(joined.mapInArrow(_verify, "a bigint, b bigint"), "jaccard-links", free=True)
 
 
 def _blocks(asked: pa.Table) -> pa.Table:
@@ -277,21 +277,21 @@ def _large_links(stars: DataFrame, known: DataFrame, needs: DataFrame, sets: Dat
     own = needs.where("large >= need").join(known, "class", "left").select("class", "need", "groups", F.coalesce("component", "class").alias("component"))
     if own.isEmpty():
         return None
-    near = components(stars.join(own.select(F.col("class").alias("b")), "b").select("a", "b"))
+    near = components(stars.join(own.select(F.col("class").alias("b")), "b", "left_semi").select("a", "b"))
     own = own.join(near.select(F.col("id").alias("class"), F.col("component").alias("cluster")), "class")
     apart = own.groupBy("cluster").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("p <> q")
     full = own.join(apart.select("cluster", "blocks"), "cluster").join(sets, "class")
     full = full.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     each = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("cluster", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "own", "class", "component", "need", "groups", "set")
-    return cut(each.groupBy("cluster", "one", "two").applyInArrow(_blocks, "a bigint, b bigint"), "jaccard-links")
+    return cut(each.groupBy("cluster", "one", "two").applyInArrow(_blocks, "a bigint, b bigint"), "jaccard-links", free=True)
 
 
 def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, key (of id and text) and kept (one key of each component) of every row of docs (doc_id, text)."""
     parts = buckets(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    second = cut(rows.mapInArrow(_sign(parts), _FIRST).groupBy("part").applyInArrow(_pair(paired), _SECOND), "jaccard-candidates")
+    second = cut(rows.mapInArrow(_sign(parts), _FIRST).groupBy("part").applyInArrow(_pair(paired), _SECOND), "jaccard-candidates", free=True)
     members = second.where("kind = 'doc'").select(F.col("a").alias("class"), "key", "doc_id", "n", F.col("b").alias("need"))
     large = second.where("kind = 'large'").select(F.col("a").alias("group"), F.col("b").alias("class"))
     pairs = second.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -309,15 +309,16 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
     # the sets of classes that have a candidate
     in_large = needs.where("large >= need").select("class")
     ends = near.select(F.col("a").alias("class")).unionAll(near.select(F.col("b").alias("class")))
-    heads = stars.join(in_large.select(F.col("class").alias("a")), "a").join(in_large.select(F.col("class").alias("b")), "b")
     wanted = ends.unionAll(in_large).distinct().join(needs.select("class", "key"), "class")
     texts = rows.join(wanted, "key").dropDuplicates(["class"]).select("class", "text")
-    sets = cut(texts.mapInArrow(_load, "class bigint, set binary"), "jaccard-sets")
+    sets = cut(texts.mapInArrow(_load, "class bigint, set binary"), "jaccard-sets", free=True)
 
     # first each class with the candidate it shares most with, and with the head that it shares most large groups with
     both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = lambda x: x.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    heads = best(heads.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    heads = best(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    for x in "ab":
+        heads = heads.join(in_large.select(F.col("class").alias(x)), x, "left_semi")
     once = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _verified(once(best(both).unionAll(heads)), sets)
     known = components(links).withColumnRenamed("id", "class")
