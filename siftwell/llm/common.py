@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -32,11 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/siftwell-scratch"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again, so that a lost executor never repeats what stands above.
 
-    What was shuffled on the way is of no more use: a collection of the driver's garbage lets Spark delete it. The folder
-    goes when the driver ends.
+    What was shuffled on the way is of no more use then: with free, collections of the driver's garbage let Spark delete it
+    at once. The folder goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -46,7 +47,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     _written.append((spark, path))
     schema = df.schema
     del df
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2 * free):  # what the first round finds unused may hold more
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -253,10 +253,10 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     probes = rows.mapInArrow(_probe(parts), _PROBES)
     answers = probes.groupBy("part").applyInArrow(_answer_probes, _ANSWERS)
-    marks = cut(answers.groupBy("chunk").applyInArrow(_of_chunk, _MARKS), "repeat-marks")
+    marks = cut(answers.groupBy("chunk").applyInArrow(_of_chunk, _MARKS), "repeat-marks", free=True)
     per_doc = marks.groupBy("key").agg(F.collect_list("at").alias("marks"))
     joined = rows.join(per_doc, "key", "left").select("doc_id", "key", "text", "marks")
-    second = cut(joined.mapInArrow(_extend(parts), _SECOND), "repeat-windows")
+    second = cut(joined.mapInArrow(_extend(parts), _SECOND), "repeat-windows", free=True)
     asked = second.where("kind = 'windows'").select("part", "chunk", "ids", "keys", "ends", "hashes", "at")
     later = asked.groupBy("part").applyInArrow(_answer_windows, _ANSWERS).unionAll(second.where("kind = 'chunk'").select("chunk", "keys", "ends", "at"))
     gone = later.groupBy("chunk").applyInArrow(_of_chunk, _MARKS).groupBy("key").agg(F.collect_list("at").alias("marks"))
