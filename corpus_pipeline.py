@@ -18,7 +18,7 @@ from siftwell.llm.secrets import masked, secret_spans
 from siftwell.sources.session import ship
 
 #: A document goes if it has no language or its main language covers less of its letters than this.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
