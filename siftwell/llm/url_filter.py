@@ -2,7 +2,8 @@
 
 A unigram lexicon is counted over the text of all pages. Host names and path parts that run words together are split by
 Viterbi over the lexicon. Multinomial naive Bayes is trained on the pages that a rule decides, together with a short list
-of words that mark unwanted sites, and judges the others.
+of words that mark unwanted sites, and judges the others. Lexicon and class counts hold all words, as written tables: the
+substrings of distinct runs of letters and the words of distinct pieces of urls are joined to them.
 
 A null url or one without :// has an empty host and path and, as no rule fits and it has no words, is allowed; so is a tie.
 Pages without text add nothing to the lexicon. Empty tables give empty results. Rows with the same id or url stay separate
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, cut
 
 # Rules as (host, path, verdict).
 RULES = (
@@ -33,16 +34,12 @@ RULES = (
 UNWANTED = "adult ads bet bets casino cheap farm free loan loans lottery pills poker porn sex spam track viagra win xxx".split()
 #: Each of the unwanted words counts, as blocked, for this share of all the words that pages under rules have.
 UNWANTED_SHARE = 0.1
-#: Words of the lexicon and of the classifier, the most frequent first: both go to every executor.
-LEXICON_WORDS, CLASS_WORDS = 50_000, 50_000
 #: Letters of the longest word that a host is split into, and of the longest run that is split (a longer one is a word).
 LONGEST, LONGEST_RUN = 24, 256
-#: Hosts whose words a worker remembers; the memory starts anew when full.
-REMEMBERED = 50_000
 
 _TAG = re.compile(r"(?s)<(script|style)\b.*?</\1>|<[^>]*>")
 _WORD = re.compile(r"[^\W\d_]+")
-_COUNT = "kind string, word string, n bigint"
+_RUN = re.compile(r"[^\W\d_]+|\d+")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -63,25 +60,24 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    keys = list(counts)
-    return pa.RecordBatch.from_pydict({"kind": pa.array([k[0] for k in keys], pa.string()), "word": pa.array([k[1] for k in keys], pa.string()), "n": pa.array([counts[k] for k in keys], pa.int64())})
-
-
 def _page_words(batches):
     for _, texts in chunks(batches, "html", 8 << 20, 4096):
         counts = Counter()
         for x in texts:
             if x:
                 counts.update(_WORD.findall(_TAG.sub(" ", x).lower()))
-        yield _counted(Counter({("", w): n for w, n in counts.items() if 1 < len(w) <= LONGEST}))
+        words = [w for w in counts if 1 < len(w) <= LONGEST]
+        yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array([counts[w] for w in words], pa.int64())})
 
 
 class Segmenter:
-    """Splits a run of letters into the words with the highest product of unigram probabilities."""
+    """Splits a run of letters into the words with the highest product of unigram probabilities.
+
+    counts are those of all words, or of those alone that the runs to split hold, with the total of all words.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = max(1, sum(counts.values()) if total is None else total)
         self.costs = {w: -math.log(n / total) for w, n in counts.items()}
         self.unknown = [math.log(total) + k * math.log(10) for k in range(LONGEST_RUN + 1)]  # of a word of k letters
 
@@ -102,44 +98,54 @@ class Segmenter:
         return out[::-1]
 
     def words(self, text: str) -> list[str]:
-        return [w for run in re.findall(r"[^\W\d_]+|\d+", text.lower()) for w in ([run] if run[0].isdigit() else self.split(run))]
+        return [w for run in _RUN.findall(text.lower()) for w in ([run] if run[0].isdigit() else self.split(run))]
 
 
-class Tokens:
-    """The words of a url: those of the host once for each host, those of the path marked as such."""
+def _pieces(batches):
+    """Runs of letters and of digits of host and path, those of the path marked by a slash."""
+    for batch in batches:
+        texts = zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)
+        pieces = [_RUN.findall(host.lower()) + ["/" + x for x in _RUN.findall(path.lower())] for host, path in texts]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.list_(pa.string()))], [*batch.schema.names, "pieces"])
 
-    def __init__(self, segmenter: Segmenter):
-        self.segmenter, self.known = segmenter, {}
 
-    def of(self, host: str, path: str) -> list[str]:
-        if host not in self.known:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[host] = self.segmenter.words(host)
-        return self.known[host] + ["/" + w for w in self.segmenter.words(path)]
+def _candidates(batches):
+    """The substrings of each run that can be words of the lexicon."""
+    made = lambda rows: pa.RecordBatch.from_pydict({"run": pa.array([r for r, _ in rows], pa.string()), "word": pa.array([w for _, w in rows], pa.string())})
+    for batch in batches:
+        rows = []
+        for run in batch.column("run").to_pylist():
+            if not run[0].isdigit() and len(run) <= LONGEST_RUN:
+                rows += [(run, w) for w in sorted({run[a:b] for a in range(len(run)) for b in range(a + 2, min(len(run), a + LONGEST) + 1)})]
+            if len(rows) >= 100_000:
+                yield made(rows)
+                rows = []
+        yield made(rows)
 
 
-def _class_words(segmenter: Segmenter):
+def _split(total: int):
     def run(batches):
-        tokens = Tokens(segmenter)
         for batch in batches:
-            counts = Counter()
-            for host, path, verdict in zip(*(batch.column(x).to_pylist() for x in ("host", "path", "verdict")), strict=True):
-                counts.update((verdict, w) for w in tokens.of(host, path))
-            yield _counted(counts)
+            runs, found = batch.column("run").to_pylist(), batch.column("found").to_pylist()
+            segmenter = Segmenter({x["word"]: x["n"] for row in found for x in row or ()}, total)
+            words = [[x] if x[0].isdigit() else segmenter.split(x) for x in runs]
+            yield pa.RecordBatch.from_pydict({"run": pa.array(runs, pa.string()), "words": pa.array(words, pa.list_(pa.string()))})
 
     return run
 
 
 class NaiveBayes:
-    def __init__(self, rows: list[tuple[str, str, int]]):
+    """Weights of words: of all of them, or of a part with the sums of all: words allowed, words blocked, distinct words."""
+
+    def __init__(self, rows: list[tuple[str, str, int]], sums: tuple[int, int, int] | None = None):
         counts = {"allow": Counter(), "block": Counter()}
         for kind, word, n in rows:
             counts[kind][word] += n
-        share = max(1, round(UNWANTED_SHARE * sum(sum(c.values()) for c in counts.values())))
+        allowed, blocked, distinct = sums or (*(sum(c.values()) for c in counts.values()), len({*counts["allow"], *counts["block"], *UNWANTED}))
+        share = max(1, round(UNWANTED_SHARE * (allowed + blocked)))
         counts["block"].update({w: share for w in UNWANTED})
         known = set(counts["allow"]) | set(counts["block"])
-        totals = {k: sum(c.values()) + len(known) for k, c in counts.items()}
+        totals = {"allow": allowed + distinct, "block": blocked + share * len(UNWANTED) + distinct}
         self.weights = {w: math.log((counts["block"][w] + 1) / totals["block"]) - math.log((counts["allow"][w] + 1) / totals["allow"]) for w in sorted(known)}
 
     def score(self, words: list[str]) -> float:
@@ -147,31 +153,62 @@ class NaiveBayes:
         return sum(self.weights.get(w, 0.0) for w in words)
 
 
-def _judge(segmenter: Segmenter, bayes: NaiveBayes):
+def _weights(sums: tuple[int, int, int]):
     def run(batches):
-        tokens = Tokens(segmenter)
         for batch in batches:
-            rows = zip(*(batch.column(x).to_pylist() for x in ("host", "path", "verdict")), strict=True)
-            words = [tokens.of(h, p) if v is None else None for h, p, v in rows]
-            scores = [None if w is None else bayes.score(w) for w in words]
-            verdicts = [v if s is None else "block" if s > 0 else "allow" for v, s in zip(batch.column("verdict").to_pylist(), scores, strict=True)]
-            out = {x: batch.column(x) for x in ("page_id", "host", "path", "rule")}
-            yield pa.RecordBatch.from_pydict(out | {"verdict": pa.array(verdicts, pa.string()), "score": pa.array(scores, pa.float64())})
+            words = batch.column("word").to_pylist()
+            rows = [(kind, w, n) for kind in ("allow", "block") for w, n in zip(words, batch.column(kind).to_pylist(), strict=True)]
+            weights = NaiveBayes(rows, sums).weights
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "weight": pa.array([weights[w] for w in words], pa.float64())})
 
     return run
 
 
+def lexicon_of(pages: DataFrame) -> tuple[DataFrame, int]:
+    """word and n of all words of the pages' texts and of the unwanted ones, as a written table, and the sum of n."""
+    counted = pages.select(F.col("html").cast("string").alias("html")).mapInArrow(_page_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = cut(counted, "url-words")
+    middle, total = counted.agg(F.expr("percentile_disc(0.5) within group (order by n)").cast("long"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    middle = max(1, middle or 1)
+    seen = {r.word for r in counted.where(F.col("word").isin(UNWANTED)).select("word").collect()}
+    missing = [(w, middle) for w in UNWANTED if w not in seen]
+    if missing:
+        counted = counted.unionByName(pages.sparkSession.createDataFrame(missing, "word string, n bigint"))
+    return counted, total + middle * len(missing)
+
+
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (of naive Bayes, null under a rule) of every row of pages (page_id, url, html)."""
     host, path = parts(F.col("url").cast("string"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("verdict"))
-    top = lambda counted, n: [tuple(r) for r in counted.groupBy("kind", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "kind").limit(n).collect()]
-    lexicon = top(pages.select(F.col("html").cast("string").alias("html")).mapInArrow(_page_words, _COUNT), LEXICON_WORDS)
-    segmenter = Segmenter({w: n for _, w, n in lexicon} | {w: max(1, lexicon[len(lexicon) // 2][2] if lexicon else 1) for w in UNWANTED if w not in {x[1] for x in lexicon}})
-    ruled = urls.where("verdict is not null").select("host", "path", "verdict")
-    bayes = NaiveBayes(sorted(top(ruled.mapInArrow(_class_words(segmenter), _COUNT), CLASS_WORDS)))
-    return urls.mapInArrow(_judge(segmenter, bayes), "page_id bigint, host string, path string, rule string, verdict string, score double")
+    urls = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("verdict"))
+    urls = cut(urls.mapInArrow(_pieces, "row bigint, page_id bigint, host string, path string, rule string, verdict string, pieces array<string>"), "url-pieces")
+    lexicon, total = lexicon_of(pages)
+
+    # each distinct piece, how often pages under rules have it, and its words in order
+    of = lambda kind: F.count_if(F.col("verdict").eqNullSafe(kind)).alias(kind)
+    pieces = urls.select("verdict", F.explode("pieces").alias("piece")).groupBy("piece").agg(of("allow"), of("block"))
+    pieces = cut(pieces.withColumn("run", F.ltrim(F.col("piece"), F.lit("/"))), "url-runs")
+    runs = pieces.select("run").distinct()
+    matched = runs.mapInArrow(_candidates, "run string, word string").join(lexicon, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    runs = runs.join(matched, "run", "left").mapInArrow(_split(total), "run string, words array<string>")
+    words = pieces.join(runs, "run").select("piece", "allow", "block", F.posexplode("words").alias("at", "word"))
+    words = cut(words.withColumn("word", F.when(F.startswith("piece", F.lit("/")), F.concat(F.lit("/"), "word")).otherwise(F.col("word"))), "url-split")
+
+    counts = words.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).where((F.col("allow") + F.col("block") > 0) | F.col("word").isin(UNWANTED))
+    none = pages.sparkSession.createDataFrame([(w, 0, 0) for w in UNWANTED], "word string, allow bigint, block bigint")
+    counts = cut(counts.unionByName(none).groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-counts")
+    sums = tuple(counts.agg(F.sum("allow"), F.sum("block"), F.count("*")).first())
+    weights = counts.mapInArrow(_weights(sums), "word string, weight double")
+    weighed = words.join(weights, "word").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("at", "weight")))["weight"].alias("weights"))
+
+    asked = urls.where("verdict is null").select("row", F.posexplode("pieces").alias("at", "piece"))
+    scores = asked.join(weighed, "piece").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "weights")))["weights"].alias("weights"))
+    scores = scores.select("row", F.aggregate(F.flatten("weights"), F.lit(0.0), lambda a, x: a + x).alias("found"))  # in the order of the url
+    score = F.when(F.col("verdict").isNull(), F.coalesce("found", F.lit(0.0)))
+    judged = urls.drop("pieces").join(scores, "row", "left").withColumn("score", score)
+    verdict = F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def op9_url_filter(spark, sf_dir):

@@ -185,6 +185,26 @@ def test_url_rules_and_words(spark):
     assert url_filter.url_filter(spark.read.parquet(f"{SMALL}/pages.parquet").limit(0)).count() == 0
 
 
+def test_url_words_are_all_counted(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    html = [" ".join(f"{word(i)} {word(i)}" for i in range(a, a + 6000)) for a in range(0, 60_000, 6000)]
+    # the two words that the last url is made of are the rarest of over 50,000; page numbers crowd the class counts
+    urls = [f"http://a.org/{i}" for i in range(52_000)] + ["http://com/de/zzqxjv"] * 3 + ["http://com/fr/kkwwvv"] * 2 + ["http://x.net/zzqxjvkkwwvv", "http://x.net/zzqxjv", "http://x.net/" + "ß" * 30 + "/7", "nothing"]
+    rows = [(i, u, html[i] if i < len(html) else "zzqxjv kkwwvv" if i == 99 else None) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counted, total = url_filter.lexicon_of(pages)
+    assert counted.count() == 60_002 + len(url_filter.UNWANTED) and counted.agg(F.sum("n")).first()[0] == total
+    lexicon = {r.word: r.n for r in counted.collect()}
+    segmenter = url_filter.Segmenter(lexicon)
+    words = lambda r: segmenter.words(r.host) + ["/" + w for w in segmenter.words(r.path)]
+    got = url_filter.url_filter(pages).collect()
+    bayes = url_filter.NaiveBayes([(r.verdict, w, 1) for r in got if r.rule for w in words(r)])
+    asked = {r.path: r for r in got if not r.rule}
+    assert words(asked["/zzqxjvkkwwvv"])[-2:] == ["/zzqxjv", "/kkwwvv"]
+    for r in asked.values():
+        assert abs(r.score - bayes.score(words(r))) < 1e-9 and r.verdict == ("block" if r.score > 0 else "allow")
+
+
 def test_segmenter_is_the_best_split():
     s = url_filter.Segmenter({"cheap": 50, "pills": 40, "che": 5, "ap": 5, "the": 500})
     assert s.split("cheappills") == ["cheap", "pills"] and s.words("The-cheap12") == ["the", "cheap", "12"] and s.split("") == []
