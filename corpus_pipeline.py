@@ -17,8 +17,9 @@ from siftwell.llm.language_id import UND, fit, held_out, language_id
 from siftwell.llm.secrets import masked, secret_spans
 from siftwell.sources.session import ship
 
-#: A document goes if it has no language or its main language covers less of its letters than this.
-LEAST_SHARE = 0.25
+#: A document goes unless its main language covers more of its letters than this many even shares of all languages, or than
+#: the largest share that is asked for where there are few languages.
+EVEN_SHARES, MOST_ASKED = 1.2, 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
     found = language_id(docs, model, with_spans=False, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    least = min(MOST_ASKED, EVEN_SHARES / max(1, len(model.langs)))
+    return found.where((F.col("lang_pred") != UND) & (F.col("score") > least)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

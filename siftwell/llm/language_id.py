@@ -3,11 +3,12 @@
 A model holds, per language, the frequencies of character trigrams within words and the scripts that the language is
 written in. It is fitted on a bounded sample of labelled rows. A word's script narrows the candidate languages; its
 trigrams score them; Viterbi over the words of a text, with a penalty for each switch, labels spans. The language that
-covers most letters is the text's, and its share of the letters is the score.
+covers most letters is the text's, and its share of the letters is the score. Letters in a script of no language speak
+for none, but count among those that the share is of.
 
-A null text or one without letters gives `und`, score 0 and no spans. Empty tables give empty results; without any
-labelled row every text is `und`. Ties go to the language that sorts first. Rows with the same id or text stay separate
-rows, a null id stays null, and columns other than id, text and label are ignored.
+A null text or one without letters in a script of some language gives `und`, score 0 and no spans. Empty tables give empty
+results; without any labelled row every text is `und`. Ties go to the language that sorts first. Rows with the same id or
+text stay separate rows, a null id stays null, and columns other than id, text and label are ignored.
 """
 
 from __future__ import annotations
@@ -193,18 +194,19 @@ def _predict(model: Model, switch: float, with_spans: bool, keep: list[str]):
                 table = np.concatenate([table, model.score(names)])
             if not model.langs:
                 found = [[] for _ in found]
-            paths = viterbi([table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))] for words in found], switch)
+            scores = [table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))] for words in found]
             langs, shares, spans = [], [], []
-            for words, path, text in zip(found, paths, texts, strict=True):
-                if not words:
+            for words, scored, path, text in zip(found, scores, viterbi(scores, switch), texts, strict=True):
+                sizes = np.fromiter(map(len, words), np.int64, len(words))
+                letters = np.bincount(path, sizes * (scored[:, 0] != 0), len(model.langs))  # log probabilities are below 0
+                if not letters.any():
                     langs.append(UND)
                     shares.append(0.0)
                     spans.append([])
                     continue
-                letters = np.bincount(path, np.fromiter(map(len, words), np.int64, len(words)), len(model.langs))
                 top = int(letters.argmax())
                 langs.append(model.langs[top])
-                shares.append(float(letters[top] / letters.sum()))
+                shares.append(float(letters[top] / sizes.sum()))
                 if with_spans:
                     spans.append(_spans(text, path, model.langs))
             out = {x: batch.column(x) for x in keep} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(shares, pa.float64())}

@@ -188,5 +188,24 @@ def test_pipeline_stages_against_plain_versions(spark):
             assert all((now[k] != t) >= bool(plain_secrets(t)) and not plain_secrets(now[k]) for k, t in before.items())
 
 
+def test_pipeline_drops_texts_without_a_main_language(spark):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    clean = spark.read.parquet(f"{SMALL}/documents.parquet")
+    by_lang = {r.lang: r.text for r in clean.where("length(text) > 3000").collect()}
+    assert len(by_lang) == 4
+    foreign = "Съешь же ещё этих мягких французских булок да выпей чаю "
+    even = "\n".join(re.sub(r"[^A-Za-z ]", "", by_lang[k])[:1000] for k in sorted(by_lang))
+    gone = {-1: foreign * 20, -2: "天地玄黄宇宙洪荒 " * 20, -3: "السلام عليكم ورحمة الله " * 20, -4: foreign * 20 + by_lang["en"][:200], -5: even, -6: "12 $$", -7: None}
+    stay = {-8: by_lang["en"][:1000] + foreign * 5, -9: by_lang["fr"][:800] + " " + by_lang["de"][:400]}
+    first = clean.limit(1)
+    planted = [first.withColumn("doc_id", F.lit(k).cast(clean.schema["doc_id"].dataType)).withColumn("text", F.lit(t).cast("string")).withColumn("lang", F.lit(None).cast("string")) for k, t in {**gone, **stay}.items()]
+    for df in planted:
+        clean = clean.unionByName(df)
+    before = {r.doc_id for r in clean.collect()}
+    assert before - {r.doc_id for r in p.language(spark, clean, SMALL).collect()} == set(gone)
+
+
 def decontamination_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
