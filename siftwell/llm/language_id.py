@@ -62,6 +62,11 @@ def script_of(word: str) -> str:
     return next((name for name, ranges in SCRIPTS.items() if any(a <= c <= b for a, b in ranges)), "other")
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, each lower-cased by itself: lower-casing a whole text can change where its words end."""
+    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+
+
 def trigrams(word: str) -> list[str]:
     w = f"^{word}$"
     return [w[i : i + 3] for i in range(len(w) - 2)]
@@ -72,7 +77,7 @@ def _count(batches):
     for batch, texts in chunks(batches, "text", 8 << 20, 4096):
         words: dict[tuple[str, str], int] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
-            for w in _WORD.findall(text.lower()):
+            for w in words_of(text):
                 words[lang, w] = words.get((lang, w), 0) + 1
         seen: dict[tuple[str, str, str], int] = {}
         for (lang, w), n in words.items():
@@ -181,7 +186,7 @@ def _predict(model: Model, switch: float, with_spans: bool, keep: list[str]):
     def run(batches):
         nonlocal table
         for batch, texts in chunks(batches, "text", 12 << 20, 4096):
-            found = [_WORD.findall(x.lower()) if x else [] for x in texts]
+            found = [words_of(x) if x else [] for x in texts]
             if len(known) > REMEMBERED:
                 known.clear()
                 table = table[:0]
@@ -219,8 +224,6 @@ def _predict(model: Model, switch: float, with_spans: bool, keep: list[str]):
 
 def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
     at = [m.span() for m in _WORD.finditer(text)]
-    if len(at) != len(path):  # lower-casing changed the words of a text in a rare script
-        return []
     cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
     return [{"start": at[a][0], "end": at[b - 1][1], "lang": langs[path[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
 

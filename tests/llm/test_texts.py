@@ -78,6 +78,15 @@ def test_language_edges_and_spans(spark):
     assert language_id.language_id(frame(spark, texts).limit(0), model).count() == 0
 
 
+def test_language_spans_of_letters_that_change_in_lower_case(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    text = "İstanbul İİ " + docs.where("lang = 'en' and length(text) > 3000").first().text[:1000]
+    got = language_id.language_id(frame(spark, [text]), language_id.fit(docs)).first()
+    words = [m.span() for m in re.finditer(r"[^\W\d_]+", text)]
+    assert got.spans and (got.spans[0].start, got.spans[-1].end) == (0, words[-1][1])
+    assert {s.start for s in got.spans} <= {a for a, _ in words} and {s.end for s in got.spans} <= {b for _, b in words}
+
+
 def test_viterbi_finds_the_best_path():
     import itertools
 
