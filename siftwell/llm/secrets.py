@@ -3,7 +3,8 @@
 Base rules find assignments, access keys and hexadecimal strings. Beyond them, candidate strings are judged by their
 Shannon entropy: a window slides over the characters of one class (hexadecimal, letters and digits, base 64), the counts of
 its characters and the sum of c*log2(c) change by one character in and one out, and a candidate whose highest window
-entropy reaches the threshold of its class is a secret, unless the allow-list knows its form or it overlaps a base span.
+entropy reaches the threshold of a class is a secret. What base spans leave uncovered of it is added, unless the allow-list
+knows its form.
 
 Null texts count as empty and have no spans; their digest is that of an empty string. Rows with the same id or text stay
 separate rows, a null id stays null, and columns other than the id and the text are ignored.
@@ -25,11 +26,16 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Characters in a window.
 WINDOW = 20
-#: Class of characters -> (its characters, least entropy in bits of a window of them).
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Class of characters -> (its characters, least entropy in bits of a window of them: 99% of random windows have more).
 CLASSES = {
-    "hexadecimal": ("0123456789abcdef", 3.3),
-    "alphanumeric": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 3.9),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 4.0),
+    "hexadecimal": (_DIGITS + "abcdef", 2.9),
+    "upper-case hexadecimal": (_DIGITS + "ABCDEF", 2.9),
+    "mixed hexadecimal": (_DIGITS + "abcdefABCDEF", 3.1),
+    "lower-case": (_LOWER + _DIGITS, 3.4),
+    "upper-case": (_UPPER + _DIGITS, 3.4),
+    "alphanumeric": (_UPPER + _LOWER + _DIGITS, 3.64),
+    "base64": (_UPPER + _LOWER + _DIGITS + "+/=_-", 3.64),
 }
 #: Forms that are no secrets: without a digit, words joined by marks, UUIDs, numbers, dates, paths of words, repeated marks.
 ALLOWED = (
@@ -100,16 +106,23 @@ def secret_spans(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] =
     base = F.array_sort(F.concat(_mark(assign, "assign", 1), _mark(access, "access", 2), _mark(hexes, "hex", 3)))
     rows = docs.select(*dict.fromkeys([*keep]), base.alias("__base"), spans_of(text, CANDIDATE, has_digit).alias("__candidates"))
 
-    def secret(s: Column) -> Column:
-        x = s["text"]
-        allowed = F.regexp_like(x, F.lit("|".join(ALLOWED)))
-        random = F.lit(False)
+    def rest(s: Column) -> Column:
+        """The parts of a candidate that no base span covers and whose form isn't allowed."""
+        part = lambda start, end: F.struct(start.alias("start"), end.alias("end"), F.substring(s["text"], (start - s["start"] + 1).cast("int"), (end - start).cast("int")).alias("text"))
+        more = lambda acc, end: F.when(end > acc["at"], F.concat(acc["out"], F.array(part(acc["at"], end)))).otherwise(acc["out"])
+        over = F.filter(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        start = F.struct(s["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,text:string>>").alias("out"))
+        parts = F.aggregate(over, start, lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), more(acc, b["start"]).alias("out")), lambda acc: more(acc, s["end"]))
+        return F.filter(parts, lambda x: ~F.regexp_like(x["text"], F.lit("|".join(ALLOWED))))
+
+    def random(x: Column) -> Column:
+        found = F.lit(False)
         for alphabet, least in CLASSES.values():
-            random = random | (window_entropy(x, alphabet, window) >= least)
-        overlaps = F.exists(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return ~allowed & ~overlaps & random
+            found = found | (window_entropy(x, alphabet, window) >= least)
+        return found
 
-    found = _mark(F.filter(F.col("__candidates"), secret), "entropy", 4)
+    likely = F.filter(F.transform("__candidates", lambda s: F.struct(s["text"].alias("text"), rest(s).alias("rest"))), lambda s: F.size(s["rest"]) > 0)
+    found = _mark(F.flatten(F.transform(F.filter(likely, lambda s: random(s["text"])), lambda s: s["rest"])), "entropy", 4)
     return rows.select(*keep, F.col("__base").alias("base"), found.alias("found"))
 
 
