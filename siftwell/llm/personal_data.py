@@ -1,10 +1,11 @@
 """4. Personal data by bootstrapped contextual extraction, with built-in functions alone.
 
 Base rules find e-mail addresses, IP addresses, payment cards and phone numbers: the seeds. Every other string that looks
-like an identifier (five digits or an @) is a candidate. The word before a span and the span's form make a lexical pattern;
-patterns and instances make a bipartite graph, on which Spark scores both sides in turn: a pattern by the share of its
-instances that are known, an instance by the patterns that propose it. Candidates whose instance ends up with a high score,
-through a pattern that enough seeds induced, are added as spans of the kind of those seeds. Base spans always stay.
+like an identifier (five digits, spaced or bracketed numbers, an @) is a candidate. The word before a span, and it together
+with the word after, are its lexical patterns; patterns and instances make a bipartite graph, on which Spark scores both
+sides in turn: a pattern by the share of its instances that are known, an instance by the patterns that propose it. How
+much a candidate's form is like that of the pattern's seeds (digits, @, size) lowers its score, and decides between their
+kinds. Candidates with a high score, through a pattern that enough seeds induced, are added. Base spans always stay.
 
 Null texts count as empty and have no spans; their digest is that of an empty string. Rows with the same id or text stay
 separate rows, a null id stays null, and columns other than the id and the text are ignored.
@@ -25,14 +26,18 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-#: Candidates: runs of identifier characters with a digit in them.
+#: Candidates: runs of identifier characters with a digit in them, spaced or bracketed numbers, strings with an @.
 CANDIDATE = r"(?<![A-Za-z0-9@._+-])[A-Za-z@._+-]*+[0-9][A-Za-z0-9@._+-]*+"
-#: Code points before a span in which the word before it is looked for.
+SPACED = r"(?<![A-Za-z0-9@._+-])[+(]{0,2}+[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++(?![A-Za-z0-9@_+])"
+AT = r"(?<![A-Za-z0-9@._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+#: Code points before and after a span in which the word next to it is looked for.
 CONTEXT = 48
 #: Rounds of scoring.
 ROUNDS = 2
 #: Seeds that must have induced a pattern, least score of a pattern, least score of an instance.
 MIN_SEEDS, MIN_PATTERN, MIN_INSTANCE = 5, 0.8, 0.8
+#: Share of an instance's score that hangs on its form.
+FORM = 0.3
 
 
 def _digits(x: Column) -> Column:
@@ -65,46 +70,65 @@ def base_spans(text: Column) -> Column:
     return F.concat(mark(email, "email"), mark(ip, "ip"), mark(card, "card"), mark(phone, "phone"))
 
 
-def _pattern(text: Column, start: Column, found: Column) -> Column:
-    """The word before a span, lower-cased, and the form of the span: runs of letters and digits each become one mark."""
+def _patterns(text: Column, start: Column, end: Column) -> Column:
+    """The word before a span, lower-cased, and the words before and after it; none where no word stands before."""
     before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int"))
-    form = F.regexp_replace(F.regexp_replace(found, "[A-Za-z]+", "a"), "[0-9]+", "9")
-    return F.concat_ws("|", F.lower(F.regexp_extract(before, r"([^\s]+)\s*$", 1)), F.substring(form, 1, 64))
+    before = F.lower(F.regexp_extract(before, r"([^\s]+)\s*$", 1))
+    after = F.lower(F.regexp_extract(F.substring(text, end.cast("int") + 1, F.lit(CONTEXT)), r"^\s*([^\s]+)", 1))
+    return F.filter(F.array(F.when(before != "", F.concat(before, F.lit(" "))), F.when((before != "") & (after != ""), F.concat_ws(" ", before, after))), lambda x: x.isNotNull())
 
 
 def _scored(edges: DataFrame, rounds: int) -> DataFrame:
     """pattern, instance, kind of the accepted instances. edges: pattern, instance, kind (of a seed, else null), distinct."""
-    score = F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)
-    now = edges.withColumn("instance_score", score)
+    x = F.col("instance")
+    edges = edges.select("*", F.length(_digits(x)).alias("digits"), F.length(F.regexp_replace(x, "[^A-Za-z0-9]", "")).alias("size"), F.contains(x, F.lit("@")).cast("int").alias("at"))
+
+    def of_seeds(kind: str) -> Column:
+        mine = F.col("kind") == kind
+        return F.struct(F.lit(kind).alias("kind"), F.count_if(mine).alias("seeds"), *[F.sum(F.when(mine, F.col(c))).alias(c) for c in ("digits", "size", "at")])
+
+    seeded = edges.groupBy("pattern").agg(F.array(*map(of_seeds, KINDS)).alias("kinds")).select("pattern", F.filter("kinds", lambda k: k["seeds"] >= MIN_SEEDS).alias("kinds"))
+    edges = cut(edges.join(seeded.where(F.size("kinds") > 0), "pattern"), "personal-data-edges")
+
+    def fit(k: Column) -> Column:
+        share = 1 - F.abs(F.col("digits") / F.greatest("size", F.lit(1)) - k["digits"] / F.greatest(k["size"], F.lit(1)))
+        usual = k["size"] / k["seeds"]
+        like = share * (1 - F.abs(F.col("at") - k["at"] / k["seeds"])) * F.least(F.col("size"), usual) / F.greatest(F.col("size"), usual, F.lit(1))
+        return F.struct((1 - FORM + FORM * like).alias("fit"), k["kind"].alias("kind"))
+
+    edges = edges.withColumn("form", F.array_max(F.transform("kinds", fit))).drop("kinds", "digits", "size", "at")
+    now = edges.withColumn("instance_score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
     for _ in range(rounds):
-        patterns = now.groupBy("pattern").agg((F.sum("instance_score") / F.count("*")).alias("share"), F.count("kind").alias("seeds"), F.max("kind").alias("pattern_kind"))
-        patterns = patterns.withColumn("pattern_score", F.when(F.col("seeds") >= MIN_SEEDS, F.col("share")).otherwise(0.0)).drop("share")
-        judged = edges.join(patterns, "pattern")
-        instances = judged.groupBy("instance").agg(F.max("pattern_score").alias("top"), F.max_by("pattern_kind", "pattern_score").alias("instance_kind"))
-        now = judged.join(instances, "instance").withColumn("instance_score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("top")))
-        now = cut(now, "personal-data-scores").drop("top") if rounds > 1 else now.drop("top")
-        kept = now
-        now = now.drop("pattern_score", "seeds", "pattern_kind", "instance_kind")
-    return kept.where(F.col("kind").isNull() & (F.col("pattern_score") >= MIN_PATTERN) & (F.col("instance_score") >= MIN_INSTANCE)).select("pattern", "instance", F.col("instance_kind").alias("found_kind"))
+        shares = now.groupBy("pattern").agg((F.sum("instance_score") / F.count("*")).alias("pattern_score"))
+        judged = edges.join(shares, "pattern").withColumn("score", F.col("pattern_score") * F.col("form.fit"))
+        instances = judged.groupBy("instance").agg(F.max(F.struct("score", "form.kind")).alias("top"))
+        now = judged.join(instances, "instance").withColumn("instance_score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("top.score")))
+        now = cut(now, "personal-data-scores") if rounds > 1 else now
+    return now.where(F.col("kind").isNull() & (F.col("pattern_score") >= MIN_PATTERN) & (F.col("instance_score") >= MIN_INSTANCE)).select("pattern", "instance", F.col("top.kind").alias("found_kind"))
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, base and found of every row of docs (doc_id, text): arrays of spans by kind, then start."""
     text = F.col("text")
     likely = F.filter(spans_of(text, CANDIDATE, F.regexp_like(text, F.lit("[0-9]"))), lambda s: (F.length(_digits(s["text"])) >= 5) & (F.length(s["text"]) <= 128))
+    spaced = F.filter(spans_of(text, SPACED), lambda s: F.length(_digits(s["text"])).between(7, 19) & (F.length(s["text"]) <= 128) & F.regexp_like(s["text"], F.lit("[\\x20()]")))
+    at = F.filter(spans_of(text, AT, F.contains(text, F.lit("@"))), lambda s: F.length(s["text"]) <= 128)
+    likely = F.array_distinct(F.concat(likely, spaced, at))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", base_spans(text).alias("base"), likely.alias("likely"))
     free = F.filter("likely", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    context = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("instance"), _pattern(text, s["start"], s["text"]).alias("pattern")))
-    seeds = F.transform("base", lambda s: F.struct(s["text"].alias("instance"), _pattern(text, s["start"], s["text"]).alias("pattern"), s["kind"].alias("kind")))
+    context = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("instance"), _patterns(text, s["start"], s["end"]).alias("patterns")))
+    seeds = F.transform("base", lambda s: F.struct(s["text"].alias("instance"), _patterns(text, s["start"], s["end"]).alias("patterns"), s["kind"].alias("kind")))
     rows = cut(rows.select("row", "doc_id", "base", context(free).alias("likely"), seeds.alias("seeds")), "personal-data")
 
     seen = rows.select(F.inline("seeds"))
-    new = rows.select(F.inline("likely")).select("instance", "pattern", F.lit(None).cast("string").alias("kind"))
-    edges = seen.unionByName(new).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    new = rows.select(F.inline("likely")).select("instance", "patterns", F.lit(None).cast("string").alias("kind"))
+    edges = seen.unionByName(new).select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     accepted = _scored(edges, rounds)
-    hits = rows.select("row", F.inline("likely")).join(accepted, ["pattern", "instance"])
+    hits = rows.select("row", F.inline("likely")).select("*", F.explode("patterns").alias("pattern")).join(accepted, ["pattern", "instance"])
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("found_kind")).cast("int")
     found = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(order.alias("order"), "start", "end", F.col("found_kind").alias("kind"), F.col("instance").alias("text")))).alias("found"))
+    wider = lambda s: F.exists("found", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
+    found = found.select("row", F.filter("found", lambda s: ~wider(s)).alias("found"))
     none = F.array().cast(found.schema["found"].dataType)
     return rows.select("row", "doc_id", "base").join(found, "row", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"))
 

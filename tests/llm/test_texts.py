@@ -196,6 +196,16 @@ def test_personal_data_patterns_discover_identifiers(spark):
     assert found == {100: [("phone", "+1555010")]}
 
 
+def test_personal_data_is_discovered_by_its_context_whatever_its_form(spark):
+    known = [(i, f"call phone: +1555010{i:04d} now") for i in range(60)] + [(100 + i, f"write to mail: name{i}@example.org today") for i in range(60)]
+    new = {300: ("phone", "555-010-1234"), 301: ("phone", "(555) 010 1234"), 302: ("phone", "1 555 010 9876"), 303: ("email", "user@localhost")}
+    texts = {300: "the phone: 555-010-1234 rings", 301: "my phone: (555) 010 1234.", 302: "phone: 1 555 010 9876", 303: "mail: user@localhost now"}
+    other = [(400, "room 555-010-1234 on floor 3"), (401, "page (555) 010 1234"), (402, "see user@localhost"), (403, "phone: mynameisverylongindeedbutnonumber12345xyz")]
+    rows = personal_data.personal_data(spark.createDataFrame([*known, *texts.items(), *other], "doc_id long, text string")).collect()
+    assert {r.doc_id: [(s.kind, s.text) for s in r.found] for r in rows if r.found} == {k: [v] for k, v in new.items()}
+    assert all(texts[r.doc_id][s.start : s.end] == s.text for r in rows for s in r.found)
+
+
 def test_url_rules_and_words(spark):
     rules = [("org/", "org", "/"), ("example.org/es/", "example.org", "/es/"), ("example.org/en/1", "example.org", "/en/1"), ("com/fr/", "com", "/fr/"), ("com/de/", "com", "/de/")]
     verdicts = dict(zip([r[0] for r in rules], ["allow", "block", "block", "allow", "block"], strict=True))
