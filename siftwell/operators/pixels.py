@@ -150,17 +150,23 @@ def _webp(d: bytes):
 
 
 def headers(files: DataFrame, prefix: int = 1 << 16) -> DataFrame:
-    """files (path, content, ...) with width, height, format, mode and error; Python sees the first bytes alone."""
+    """files (path, content, ...) with width, height, format, mode and error.
+
+    Python sees the first bytes alone, and the whole content of files that run out of bytes there.
+    """
     from pyspark.sql import functions as F
 
     keep = [c for c in files.columns if c != "content"]
-
-    def run(batches):
-        for batch in batches:
-            found = [header(x) for x in batch.column("head").to_pylist()]
-            types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            added = {n: pa.array([f[i] for f in found], t) for i, (n, t) in enumerate(zip(("width", "height", "format", "mode", "error"), types, strict=True))}
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | added)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name in keep)
-    return files.select(*keep, F.substring("content", 1, prefix).alias("head")).mapInArrow(run, f"{schema}, width int, height int, format string, mode string, error string")
+    names, types = ("width", "height", "format", "mode", "error"), (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+    kind = pa.struct(list(zip(names, types, strict=True)))
+
+    def rows(found):
+        return pa.array([f and dict(zip(names, f, strict=True)) for f in found], kind)
+
+    schema = "width int, height int, format string, mode string, error string"
+    first = F.arrow_udf(lambda heads: rows([header(x) for x in heads.to_pylist()]), schema)
+    again = F.arrow_udf(lambda contents: rows([None if x is None else header(x) for x in contents.to_pylist()]), schema)
+    read = files.withColumn("__found", first(F.substring("content", 1, prefix)))
+    short = F.regexp_like("__found.error", F.lit("^(IndexError|error):")) & (F.length("content") > prefix)
+    read = read.withColumn("__found", F.coalesce(again(F.when(short, F.col("content"))), "__found"))
+    return read.select(*keep, "__found.*")

@@ -78,6 +78,19 @@ def test_headers(spark):
     assert got["bad"].error and got["none"].error and got["bad"].width is None
 
 
+def test_headers_behind_long_metadata(spark):
+    segment = b"\xff\xe2" + struct.pack(">H", 65_535) + b"x" * 65_533
+    end = b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 30, 50, 3) + b"y" * 100
+    rows = [(f"{n}", bytearray(b"\xff\xd8\xff" + (segment * n)[1:] + (end if n else end[1:]))) for n in (0, 1, 3, 20)]
+    rows += [("cut", bytearray(b"\xff\xd8" + segment * 3)), ("junk", bytearray(b"z" * 200_000)), ("none", None)]
+    df = spark.createDataFrame([(n, d, 7) for n, d in rows], "path string, content binary, other int")
+    got = pixels.headers(df)
+    assert got.columns == ["path", "other", "width", "height", "format", "mode", "error"]
+    got = {r.path: r for r in got.collect()}
+    assert all((got[n].width, got[n].height, got[n].format, got[n].error) == (50, 30, "JPEG", None) for n in ("0", "1", "3", "20"))
+    assert all(got[n].error and got[n].width is None and got[n].other == 7 for n in ("cut", "junk", "none"))
+
+
 def test_leaks_between_unreadable_and_empty_sides(spark):
     schema = "class string, name string, emb array<double>, ok boolean"
     train = spark.createDataFrame([("a", "t1", [1.0, 0.0], True), ("a", "t2", [0.0, 1.0], False), ("b", "t3", [1.0, 0.0], True)], schema)
