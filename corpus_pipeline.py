@@ -1,6 +1,9 @@
 """A training corpus from documents: language, near duplicates, benchmark passages, secrets, token ids.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
+docs needs doc_id and text (the language stage, to learn from, lang too); all columns are carried along, whatever their
+names. Empty tables give empty results. A null id stays null. What stages do with null texts, ties and repeated rows stands
+at each of them.
 """
 
 from __future__ import annotations
@@ -10,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.llm.byte_bpe import byte_bpe_encode
-from siftwell.llm.common import cut, table
+from siftwell.llm.common import columns, cut, free_name, table
 from siftwell.llm.decontamination import decontaminate
 from siftwell.llm.jaccard_join import jaccard_components
-from siftwell.llm.language_id import UND, fit, held_out, language_id
-from siftwell.llm.secrets import masked, secret_spans
+from siftwell.llm.language_id import UND, fit, held_out, judge
+from siftwell.llm.secrets import masked, spans_in
 from siftwell.sources.session import ship
 
 #: A document goes unless its main language covers more of its letters than this many even shares of all languages, or than
@@ -23,41 +26,66 @@ EVEN_SHARES, MOST_ASKED = 1.2, 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language."""
+    """Documents with a main language. Null texts and texts without letters of a learned script go; a tie of languages goes
+    too, if neither covers enough; repeated rows are judged alike. Where no row has a label, nothing can be told and all rows go.
+    """
     ship(spark)
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    found = language_id(docs, model, with_spans=False, keep=tuple(docs.columns))
     least = min(MOST_ASKED, EVEN_SHARES / max(1, len(model.langs)))
-    return found.where((F.col("lang_pred") != UND) & (F.col("score") > least)).select(docs.columns)
+    found = free_name(docs, "found")
+    judged = docs.withColumn(found, judge(model, with_spans=False)(F.col("text").cast("string")))
+    return judged.where((F.col(found)["lang_pred"] != UND) & (F.col(found)["score"] > least)).select(columns(docs))
+
+
+def _identity(docs: DataFrame) -> tuple[str, str, DataFrame]:
+    """docs with what tells a document: its id and a hash of its id and text, under names that docs doesn't have."""
+    own_id, key = free_name(docs, "own_id"), free_name(docs, "own_key")
+    number = F.col("doc_id").cast("long")
+    return own_id, key, docs.withColumns({own_id: number, key: F.xxhash64(number, F.col("text").cast("string"))})
+
+
+def _without(rows: DataFrame, own_id: str, key: str, gone: DataFrame) -> DataFrame:
+    """rows but for those whose id (a null one too) and key are among gone's first two columns."""
+    gone = gone.toDF("gone_id", "gone_key").distinct()
+    return rows.join(gone, rows[own_id].eqNullSafe(gone["gone_id"]) & (rows[key] == gone["gone_key"]), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
+    """One document of each group of near duplicates, that with the smallest id (null ids come last; among texts of one id,
+    the smallest hash). Null texts and texts without words are no duplicates and stay. Rows of equal id and text are one
+    document, of which one row stays.
+    """
     ship(spark)
-    gone = jaccard_components(docs).where("not kept").select(F.col("key").alias("__key")).distinct()
-    rest = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(gone, "__key", "left_anti")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))  # rows of equal id and text are one document
-    return rest.withColumn("__nth", first).where("__nth = 1").select(docs.columns)
+    own_id, key, rows = _identity(docs)
+    gone = jaccard_components(docs).where("not kept").select("doc_id", "key")
+    rest = _without(rows, own_id, key, gone)
+    nth = free_name(rest, "nth")
+    first = F.row_number().over(Window.partitionBy(own_id, key).orderBy(key))
+    return rest.withColumn(nth, first).where(F.col(nth) == 1).select(columns(docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Null and empty texts stay; repeated rows stay or go together."""
     ship(spark)
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    hit = decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=("__key",)).where("n_hit > 0").select("__key").distinct()
-    return rows.join(hit, "__key", "left_anti").select(docs.columns)
+    own_id, key, rows = _identity(docs)
+    hit = decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=(own_id, key)).where("n_hit > 0").select(own_id, key)
+    return _without(rows, own_id, key, hit).select(columns(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked."""
+    """All documents, with their secrets masked and n_chars, if there is one, told anew. Null texts stay null."""
     ship(spark)
-    found = secret_spans(docs, keep=tuple(docs.columns))
-    text = masked(F.col("text"), F.array_sort(F.concat("base", "found")))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    text = F.col("text").cast("string")
+    spans, new = free_name(docs, "own_spans"), free_name(docs, "masked")
+    rows = docs.withColumn(spans, spans_in(text))
+    every = F.array_sort(F.concat(F.col(spans)["base"], F.col(spans)["found"]))
+    rows = rows.withColumn(new, F.when(text.isNotNull(), masked(text, every)))
+    told = {"text": F.col(new), "n_chars": F.length(F.col(new))}
+    return rows.select(*[told[c].cast(docs.schema[c].dataType).alias(c) if c in told else x for c, x in zip(docs.columns, columns(docs), strict=True)])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of tokens and digests of the ids and of the decoded bytes."""
+    """doc_id, number of tokens and digests of the ids and of the decoded bytes, of every row. A null text has no tokens."""
     import public_tokenizers
 
     ship(spark)

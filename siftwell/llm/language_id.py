@@ -13,15 +13,17 @@ text stay separate rows, a null id stays null, and columns other than id, text a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, free_name
 
 #: Labelled rows that the model is fitted on, for each language: all of them, or about this many by a hash of the id.
 ROWS_PER_LANGUAGE = 1500
@@ -31,8 +33,11 @@ TRIGRAMS = 40_000
 SCRIPT_SHARE = 0.01
 #: What a switch of language between two words costs, in nats.
 SWITCH = 8.0
-#: Words whose scores a worker remembers; the memory starts anew when full.
-REMEMBERED = 200_000
+#: Bytes that a worker spends on words whose scores it remembers (the memory starts anew when full), those that an entry
+#: takes beside its letters and scores, and words that are scored at once.
+REMEMBERED_BYTES, _WORD_BYTES, _SCORED = 24 << 20, 160, 20_000
+#: Bytes of text that are judged at once.
+CHUNK_BYTES = 2 << 20
 UND = "und"
 
 # The first and last code points of blocks of the scripts.
@@ -148,9 +153,10 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     packed = np.empty((offsets[-1], langs), np.float32)
     for k, i in enumerate(order):
         packed[offsets[: lengths[k]] + k] = scores[i]
-    back = np.empty((offsets[-1], langs), np.int8)
-    own = np.arange(langs, dtype=np.int8)
-    last = np.zeros(len(order), np.int8)
+    kind = np.min_scalar_type(langs)  # of labels: as small as their number allows
+    back = np.empty((offsets[-1], langs), kind)
+    own = np.arange(langs, dtype=kind)
+    last = np.zeros(len(order), kind)
     best = np.zeros((len(order), langs), np.float64)
     for t in range(longest):
         k, at = active[t], offsets[t]
@@ -167,59 +173,87 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
             best[:k] += packed[at : at + k]
     if longest:
         last[: active[-1]] = best[: active[-1]].argmax(1)
-    path = np.empty(offsets[-1], np.int8)
+    path = np.empty(offsets[-1], kind)
     for t in range(longest - 1, -1, -1):
         k, at = active[t], offsets[t]
         path[at : at + k] = last[:k]
         if t:
             last[:k] = back[at : at + k][np.arange(k), last[:k]]
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, kind)] * len(scores)
     for k, i in enumerate(order):
         out[i] = path[offsets[: lengths[k]] + k]
     return out
 
 
-def _predict(model: Model, switch: float, with_spans: bool, keep: list[str]):
-    known: dict[str, int] = {}
-    table = np.zeros((0, max(1, len(model.langs))), np.float32)
-
-    def run(batches):
-        nonlocal table
-        for batch, texts in chunks(batches, "text", 12 << 20, 4096):
-            found = [words_of(x) if x else [] for x in texts]
-            if len(known) > REMEMBERED:
-                known.clear()
-                table = table[:0]
-            new: dict[str, None] = {}
-            for words in found:
-                new.update(dict.fromkeys(w for w in words if w not in known))
-            if new and model.langs:
-                names = list(new)
-                known.update(zip(names, range(len(table), len(table) + len(names)), strict=True))
-                table = np.concatenate([table, model.score(names)])
-            if not model.langs:
-                found = [[] for _ in found]
-            scores = [table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))] for words in found]
-            langs, shares, spans = [], [], []
-            for words, scored, path, text in zip(found, scores, viterbi(scores, switch), texts, strict=True):
-                sizes = np.fromiter(map(len, words), np.int64, len(words))
-                letters = np.bincount(path, sizes * (scored[:, 0] != 0), len(model.langs))  # log probabilities are below 0
-                if not letters.any():
-                    langs.append(UND)
-                    shares.append(0.0)
-                    spans.append([])
-                    continue
+def _slices(column: pa.Array, max_bytes: int, max_rows: int) -> Iterator[list[str | None]]:
+    """The texts of a column in runs of about max_bytes (one longer text stands alone)."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > max_bytes or i - start >= max_rows):
+            yield column.slice(start, i - start).to_pylist()
+            start, total = i, 0
+        total += n
+    if start < len(column):
+        yield column.slice(start).to_pylist()
+
+
+class _Judge:
+    """Languages of texts by a model; remembers the scores of words, up to REMEMBERED_BYTES of them."""
+
+    def __init__(self, model: Model, switch: float):
+        self.model, self.switch = model, switch
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, max(1, len(model.langs))), np.float32)
+        self.bytes = 0
+
+    def learn(self, found: list[list[str]]) -> None:
+        if self.bytes > REMEMBERED_BYTES:
+            self.known.clear()
+            self.table, self.bytes = self.table[:0], 0
+        known = self.known
+        new = list(dict.fromkeys(w for words in found for w in words if w not in known))
+        for i in range(0, len(new), _SCORED):
+            names = new[i : i + _SCORED]
+            known.update(zip(names, range(len(self.table), len(self.table) + len(names)), strict=True))
+            self.table = np.concatenate([self.table, self.model.score(names)])
+        self.bytes += sum(map(len, new)) + len(new) * (_WORD_BYTES + 4 * self.table.shape[1])
+
+    def judged(self, texts: list[str | None], with_spans: bool) -> list[tuple]:
+        """(language, share of letters, spans) of each text."""
+        langs = self.model.langs
+        if not langs:
+            return [(UND, 0.0, [])] * len(texts)
+        found = [words_of(x) if x else [] for x in texts]
+        self.learn(found)
+        at = self.known.__getitem__
+        scores = [self.table[np.fromiter(map(at, words), np.int64, len(words))] for words in found]
+        out = []
+        for words, scored, path, text in zip(found, scores, viterbi(scores, self.switch), texts, strict=True):
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            letters = np.bincount(path, sizes * (scored[:, 0] != 0), len(langs))  # log probabilities are below 0
+            if letters.any():
                 top = int(letters.argmax())
-                langs.append(model.langs[top])
-                shares.append(float(letters[top] / sizes.sum()))
-                if with_spans:
-                    spans.append(_spans(text, path, model.langs))
-            out = {x: batch.column(x) for x in keep} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(shares, pa.float64())}
-            if with_spans:
-                out["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))
-            yield pa.RecordBatch.from_pydict(out)
+                out.append((langs[top], float(letters[top] / sizes.sum()), _spans(text, path, langs) if with_spans else None))
+            else:
+                out.append((UND, 0.0, []))
+        return out
+
+
+def judge(model: Model, switch: float = SWITCH, with_spans: bool = True):
+    """A function of a text column that gives a struct of lang_pred, score and, with_spans, spans. Only texts go to Python and only verdicts come back."""
+    fields = [("lang_pred", pa.string()), ("score", pa.float64())]
+    fields += [("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))] * with_spans
+    kind = pa.struct(fields)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = _Judge(model, switch)
+        for column in columns:
+            verdicts = [v for texts in _slices(column, CHUNK_BYTES, 4096) for v in own.judged(texts, with_spans)]
+            yield pa.StructArray.from_arrays([pa.array([v[i] for v in verdicts], t) for i, (_, t) in enumerate(fields)], fields=list(kind))
 
-    return run
+    returned = "struct<lang_pred:string,score:double" + ",spans:array<struct<start:bigint,end:bigint,lang:string>>" * with_spans + ">"
+    return F.arrow_udf(run, returned).asNondeterministic()  # asked once for each row, whatever stands on top
 
 
 def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
@@ -230,10 +264,9 @@ def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
 
 def language_id(docs: DataFrame, model: Model, switch: float = SWITCH, with_spans: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns named in keep, lang_pred, score and spans (code points, end exclusive) of every row of docs, judged by its text."""
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    added = "lang_pred string, score double" + ", spans array<struct<start:bigint,end:bigint,lang:string>>" * with_spans
-    schema = ", ".join(f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in keep)
-    return rows.mapInArrow(_predict(model, switch, with_spans, list(keep)), f"{schema}, {added}")
+    found = free_name(docs, "found")
+    rows = docs.withColumn(found, judge(model, switch, with_spans)(F.col("text").cast("string")))
+    return rows.select(*keep, F.col(f"{found}.*"))
 
 
 def held_out() -> Column:
