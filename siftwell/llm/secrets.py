@@ -1,10 +1,10 @@
 """8. Secret scans, with built-in functions alone.
 
 Base rules find assignments, access keys and hexadecimal strings. Beyond them, candidate strings are judged by their
-Shannon entropy: a window slides over the characters of one class (hexadecimal, letters and digits, base 64), the counts of
-its characters and the sum of c*log2(c) change by one character in and one out, and a candidate whose highest window
-entropy reaches the threshold of a class is a secret. What base spans leave uncovered of it is added, unless the allow-list
-knows its form.
+Shannon entropy: a window slides over its characters, the counts of the characters in it and the sum of c*log2(c) change by
+one character in and one out, and a candidate in which a window of one class of characters (hexadecimal, letters and
+digits, base 64) reaches the threshold of that class is a secret. What base spans leave uncovered of it is added, unless the
+allow-list knows its form. All of it takes time in proportion to a text's length, but for sorting its spans.
 
 Null texts count as empty and have no spans; their digest is that of an empty string. Rows with the same id or text stay
 separate rows, a null id stays null, and columns other than the id and the text are ignored.
@@ -12,10 +12,13 @@ separate rows, a null id stays null, and columns other than the id and the text
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, spans_of
+from .common import bind, digest, free_name, leaves, piece, scan, spans_of, uncovered
 
 # The base rules. Possessive quantifiers match as greedy ones do here, in linear time and constant stack.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?+\x20*+[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)"""
@@ -47,43 +50,74 @@ ALLOWED = (
 )
 
 
-def window_entropy(s: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The highest entropy, in bits, of a window of that many successive characters of the alphabet in s; 0 where there is none.
+#: Bits of a count, counts in a word, and the unit of the terms that are summed, so that sums are exact.
+_COUNT_BITS, _UNIT = 5, 1 << 40
+_PER_WORD = 60 // _COUNT_BITS
+
 
-    The fold keeps, for each letter of the alphabet, its count in the window, and the sum of c*log2(c): a character that
-    enters or leaves changes one count and one term.
+def best_entropies(s: Column, alphabets: Sequence[str], window: int = WINDOW) -> Column:
+    """struct<best_0,...>: for each alphabet, the highest entropy, in bits, of a window of that many successive characters of it in s; 0 where there is none.
+
+    One fold over the characters serves all alphabets. It keeps the counts of the characters in the window, packed into a
+    few numbers, and the sum of c*log2(c): a character that enters and one that leaves each change one count and one term.
+    A window counts for an alphabet in which as many characters in a row have been.
     """
-    n = len(alphabet)
-    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c))
-    # log2 terms are looked up, so that a sum that a character enters and leaves comes back to what it was
-    terms = F.array(*[F.lit(float(0 if c < 2 else c * _log2(c))) for c in range(window + 2)])
-
-    def bump(counts: Column, at: Column, by: int) -> Column:
-        return F.concat(F.slice(counts, F.lit(1), at - 1), F.array(F.element_at(counts, at) + F.lit(by)), F.slice(counts, at + 1, F.lit(n)))
-
-    def step(acc: Column, i: Column) -> Column:
-        code = F.element_at(codes, i)
-        entered = F.when(code > 0, F.element_at(acc["counts"], F.greatest(code, F.lit(1))))
-        in_counts = bump(acc["counts"], F.greatest(code, F.lit(1)), 1)
-        in_sum = acc["sum"] + F.element_at(terms, entered + 2) - F.element_at(terms, entered + 1)
-        full = acc["run"] >= window
-        left = F.element_at(codes, F.greatest(i - window, F.lit(1)))
-        was = F.element_at(in_counts, F.greatest(left, F.lit(1)))
-        counts = F.when(full, bump(in_counts, F.greatest(left, F.lit(1)), -1)).otherwise(in_counts)
-        total = F.when(full, in_sum - F.element_at(terms, was + 1) + F.element_at(terms, was)).otherwise(in_sum)
-        run = acc["run"] + 1
-        entropy = F.when(run >= window, F.lit(_log2(window)) - total / window).otherwise(F.lit(0.0))
-        inside = F.struct(counts.alias("counts"), total.alias("sum"), run.alias("run"), F.greatest(acc["best"], entropy).alias("best"))
-        outside = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("run"), acc["best"].alias("best"))
-        return F.when(code > 0, inside).otherwise(outside)
-
-    start = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("run"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: acc["best"])
+    if window >= 1 << _COUNT_BITS:
+        raise ValueError("counts of longer windows don't fit")
+    known = "".join(sorted(set("".join(alphabets))))
+    words = -(-len(known) // _PER_WORD)
+    long = lambda x: F.lit(x).cast("long")
+    most = long((1 << 62) - 1)
+    looked_up = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
+    places = range(len(known))
+    word_of = looked_up([-1, *[i // _PER_WORD for i in places]], "int")
+    shift_of = looked_up([0, *[i % _PER_WORD * _COUNT_BITS for i in places]], "int")
+    one_of = looked_up([0, *[1 << i % _PER_WORD * _COUNT_BITS for i in places]], "long")
+    in_alphabets = looked_up([0, *[sum((c in a) << k for k, a in enumerate(alphabets)) for c in known]], "int")
+    terms = looked_up([round(c * _log2(c) * _UNIT) if c > 1 else 0 for c in range(window + 2)], "long")
+
+    def coded(code: Column) -> Column:
+        at = lambda values: F.element_at(values, code + 1)
+        return F.struct(at(word_of).alias("word"), at(shift_of).alias("shift"), at(one_of).alias("one"), at(in_alphabets).alias("of"))
+
+    def count(acc: Column, x: Column) -> Column:
+        own = F.lit(0).cast("long")
+        for k in range(words):
+            own = F.when(x["word"] == k, acc[f"w{k}"]).otherwise(own)
+        return F.call_function("shiftright", own, x["shift"]).bitwiseAND((1 << _COUNT_BITS) - 1).cast("int")
+
+    def judged(acc: Column) -> list[Column]:
+        """For each alphabet the least sum of a window, of which the highest entropy follows."""
+        return [F.when(acc[f"run_{k}"] >= window, F.least(acc[f"least_{k}"], acc["sum"])).otherwise(acc[f"least_{k}"]).alias(f"least_{k}") for k in range(len(alphabets))]
+
+    def step(acc: Column, x: Column) -> Column:
+        new, old = x["new"], x["old"]
+        packed = [(acc[f"w{k}"] + F.when(new["word"] == k, new["one"]).otherwise(long(0)) - F.when(old["word"] == k, old["one"]).otherwise(long(0))).alias(f"w{k}") for k in range(words)]
+        term = lambda n: F.element_at(terms, n + 1)
+        more = F.when(new["word"] >= 0, term(count(acc, new) + 1) - term(count(acc, new))).otherwise(long(0))
+        less = F.when(old["word"] >= 0, term(count(acc, old)) - term(count(acc, old) - 1)).otherwise(long(0))
+        total = acc["sum"] + F.when((new["word"] == old["word"]) & (new["shift"] == old["shift"]), long(0)).otherwise(more - less)
+        runs = [F.when(F.call_function("getbit", new["of"], F.lit(k)) == 1, acc[f"run_{k}"] + 1).otherwise(0).alias(f"run_{k}") for k in range(len(alphabets))]
+        return F.struct(*packed, total.alias("sum"), *runs, *judged(acc))
+
+    def finished(acc: Column) -> Column:
+        return F.struct(*[F.when(x < most, F.lit(_log2(window)) - x / float(_UNIT * window)).otherwise(F.lit(0.0)).alias(f"best_{k}") for k, x in enumerate(judged(acc))])
+
+    def folded(codes: Column) -> Column:
+        gone = F.concat(F.array_repeat(F.lit(0), window), codes)
+        steps = F.zip_with(codes, F.slice(gone, F.lit(1), F.size(codes)), lambda new, old: F.struct(coded(new).alias("new"), coded(old).alias("old")))
+        start = F.struct(*[long(0).alias(f"w{k}") for k in range(words)], long(0).alias("sum"), *[F.lit(0).alias(f"run_{k}") for k in range(len(alphabets))], *[most.alias(f"least_{k}") for k in range(len(alphabets))])
+        return F.aggregate(steps, start, step, finished)
+
+    return bind(F.transform(F.split(s, ""), lambda c: F.instr(F.lit(known), c)), folded)
 
 
-def _log2(x: int) -> float:
-    import math
+def window_entropy(s: Column, alphabet: str, window: int = WINDOW) -> Column:
+    """The highest entropy, in bits, of a window of that many successive characters of the alphabet in s; 0 where there is none."""
+    return best_entropies(s, [alphabet], window)["best_0"]
+
 
+def _log2(x: int) -> float:
     return math.log2(x)
 
 
@@ -96,47 +130,61 @@ def written(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
 
 
-def secret_spans(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep, base and found: arrays of spans (start, order, end, kind, text) by start, then kind."""
-    text = F.col("text")
+def spans_in(text: Column, window: int = WINDOW) -> Column:
+    """struct<base,found> of a text: arrays of spans (start, order, end, kind, text) by start, then kind."""
     has_digit = F.regexp_like(text, F.lit("[0-9]"))
     assign = F.filter(spans_of(text, ASSIGN, F.regexp_like(text, F.lit("[:=]"))), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= 8)
     access = F.filter(spans_of(text, ACCESS, F.contains(text, F.lit("AKIA"))), lambda s: F.length(s["text"]) >= 16)
-    hexes = spans_of(text, HEX)
-    base = F.array_sort(F.concat(_mark(assign, "assign", 1), _mark(access, "access", 2), _mark(hexes, "hex", 3)))
-    rows = docs.select(*dict.fromkeys([*keep]), base.alias("__base"), spans_of(text, CANDIDATE, has_digit).alias("__candidates"))
-
-    def rest(s: Column) -> Column:
-        """The parts of a candidate that no base span covers and whose form isn't allowed."""
-        part = lambda start, end: F.struct(start.alias("start"), end.alias("end"), F.substring(s["text"], (start - s["start"] + 1).cast("int"), (end - start).cast("int")).alias("text"))
-        more = lambda acc, end: F.when(end > acc["at"], F.concat(acc["out"], F.array(part(acc["at"], end)))).otherwise(acc["out"])
-        over = F.filter(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        start = F.struct(s["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,text:string>>").alias("out"))
-        parts = F.aggregate(over, start, lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), more(acc, b["start"]).alias("out")), lambda acc: more(acc, s["end"]))
-        return F.filter(parts, lambda x: ~F.regexp_like(x["text"], F.lit("|".join(ALLOWED))))
+    every = F.array_sort(F.concat(_mark(assign, "assign", 1), _mark(access, "access", 2), _mark(spans_of(text, HEX), "hex", 3)))
 
     def random(x: Column) -> Column:
         found = F.lit(False)
-        for alphabet, least in CLASSES.values():
-            found = found | (window_entropy(x, alphabet, window) >= least)
+        for k, (_, least) in enumerate(CLASSES.values()):
+            found = found | (x[f"best_{k}"] >= least)
         return found
 
-    likely = F.filter(F.transform("__candidates", lambda s: F.struct(s["text"].alias("text"), rest(s).alias("rest"))), lambda s: F.size(s["rest"]) > 0)
-    found = _mark(F.flatten(F.transform(F.filter(likely, lambda s: random(s["text"])), lambda s: s["rest"])), "entropy", 4)
-    return rows.select(*keep, F.col("__base").alias("base"), found.alias("found"))
+    def judged(s: Column) -> Column:
+        mixed = F.regexp_like(s["text"], F.lit("[A-Za-z]")) & F.regexp_like(s["text"], F.lit("[0-9]"))  # all parts of others are allowed
+        covered = F.regexp_like(s["text"], F.lit(r"\A[0-9a-f]{32,}+\z"))  # by a base span
+        return mixed & ~covered & bind(best_entropies(s["text"], [a for a, _ in CLASSES.values()], window), random)
+
+    def rest(likely: Column, base: Column) -> Column:
+        """The parts of likely candidates that no base span covers and whose form isn't allowed."""
+
+        def part(x: Column) -> Column:
+            own = F.get(likely, x["i"].cast("int"))
+            text = F.substring(own["text"], (x["start"] - own["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), text.alias("text"))
+
+        return F.filter(F.transform(uncovered(likely, base), part), lambda x: ~F.regexp_like(x["text"], F.lit("|".join(ALLOWED))))
+
+    def both(base: Column) -> Column:
+        likely = F.filter(spans_of(text, CANDIDATE, has_digit), judged)
+        return F.struct(base.alias("base"), bind(likely, lambda x: F.when(F.size(x) > 0, _mark(rest(x, base), "entropy", 4)).otherwise(F.slice(base, 1, 0))).alias("found"))
+
+    return bind(every, both)
+
+
+def secret_spans(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns named in keep, base and found: arrays of spans (start, order, end, kind, text) by start, then kind."""
+    name = free_name(docs, "spans")
+    return docs.withColumn(name, spans_in(F.col("text").cast("string"), window)).select(*keep, F.col(name)["base"].alias("base"), F.col(name)["found"].alias("found"))
 
 
 def masked(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
     """text with every span (sorted by start; they may overlap) replaced."""
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, acc["end"].cast("int") + 1, F.greatest(s["start"] - acc["end"], F.lit(0)).cast("int"))
-        more = F.when(s["start"] >= acc["end"], F.concat(acc["out"], between, F.lit(by))).otherwise(acc["out"])
-        return F.struct(more.alias("out"), F.greatest(acc["end"], s["end"]).alias("end"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("end"))
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["end"].cast("int") + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    def done(own: Column, cut_up: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(text).cast("long").alias("end")))
+        left = uncovered(whole, own)
+        # what stays, and one mark for each run of spans that overlap or touch at no gap
+        reach = lambda ends: F.transform(own, lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(ends, i - 1), F.lit(-1).cast("long")).alias("before")))
+        ends = scan(F.transform(own, lambda s: s["end"]), F.lit(0).cast("long"), F.greatest)
+        marks = F.transform(F.filter(bind(ends, reach), lambda s: s["start"] >= s["before"]), lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("kind"), F.lit(by).alias("text")))
+        kept = F.transform(left, lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("kind"), piece(cut_up, x["start"], x["end"]).alias("text")))
+        return F.array_join(F.transform(F.array_sort(F.concat(marks, kept)), lambda x: x["text"]), "")
+
+    return F.when(F.size(spans) > 0, bind(spans, lambda own: bind(leaves(text), lambda cut_up: done(own, cut_up)))).otherwise(text)
 
 
 def op8_secret_scan(spark, sf_dir):
