@@ -4,8 +4,12 @@ Base rules find e-mail addresses, IP addresses, payment cards and phone numbers:
 like an identifier (five digits, spaced or bracketed numbers, an @) is a candidate. The word before a span, and it together
 with the word after, are its lexical patterns; patterns and instances make a bipartite graph, on which Spark scores both
 sides in turn: a pattern by the share of its instances that are known, an instance by the patterns that propose it. How
-much a candidate's form is like that of the pattern's seeds (digits, @, size) lowers its score, and decides between their
-kinds. Candidates with a high score, through a pattern that enough seeds induced, are added. Base spans always stay.
+much a candidate's form is like that of the pattern's known instances (digits, @, size) lowers its score, and decides
+between their kinds. Candidates with a high score, through a pattern that enough known instances induced, are known from
+then on and induce patterns themselves, until a round finds nothing. Base spans always stay.
+
+All texts are searched whole, in time that grows with their length; words and identifiers may be of any length. Patterns
+and instances that very many rows share are joined by broadcast, and all others by a shuffle.
 
 Null texts count as empty and have no spans; their digest is that of an empty string. Rows with the same id or text stay
 separate rows, a null id stays null, and columns other than the id and the text are ignored.
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, digest, spans_of
+from .common import apart, cut, digest, join_hot, leaves, piece, scan, spans_of
 
 # The base rules. Possessive quantifiers match as greedy ones do here, in linear time and constant stack; a
 # match starts where a run of its first class starts or the last match ended, which any leftmost match does.
@@ -30,14 +34,19 @@ KINDS = ("email", "ip", "card", "phone")
 CANDIDATE = r"(?<![A-Za-z0-9@._+-])[A-Za-z@._+-]*+[0-9][A-Za-z0-9@._+-]*+"
 SPACED = r"(?<![A-Za-z0-9@._+-])[+(]{0,2}+[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++(?![A-Za-z0-9@_+])"
 AT = r"(?<![A-Za-z0-9@._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
-#: Code points before and after a span in which the word next to it is looked for.
-CONTEXT = 48
-#: Rounds of scoring.
-ROUNDS = 2
-#: Seeds that must have induced a pattern, least score of a pattern, least score of an instance.
+#: A word of a pattern: a run of letters or of digits; the one before a span is taken with the marks that follow it.
+BEFORE = r"((?:(?<!\p{L})\p{L}++|(?<!\p{N})\p{N}++)[^\p{L}\p{N}\s]*+)\s*+\z"
+AFTER = r"\A[^\p{L}\p{N}]*+(\p{L}++|\p{N}++)"
+#: Code points in which a word next to a span is looked for first, then next; at last it is looked for in the whole text.
+REACH = (64, 4096, 262_144)
+#: Rounds of bootstrapping, at most; they end when one finds nothing.
+ROUNDS = 4
+#: Known instances that must have induced a pattern, least score of a pattern, least score of an instance.
 MIN_SEEDS, MIN_PATTERN, MIN_INSTANCE = 5, 0.8, 0.8
 #: Share of an instance's score that hangs on its form.
 FORM = 0.3
+#: Code points up to which an instance is told by its text; a longer one is told by its digest.
+TOLD = 64
 
 
 def _digits(x: Column) -> Column:
@@ -70,25 +79,55 @@ def base_spans(text: Column) -> Column:
     return F.concat(mark(email, "email"), mark(ip, "ip"), mark(card, "card"), mark(phone, "phone"))
 
 
-def _patterns(text: Column, start: Column, end: Column) -> Column:
-    """The word before a span, lower-cased, and the words before and after it; none where no word stands before."""
-    before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int"))
-    before = F.lower(F.regexp_extract(before, r"([^\s]+)\s*$", 1))
-    after = F.lower(F.regexp_extract(F.substring(text, end.cast("int") + 1, F.lit(CONTEXT)), r"^\s*([^\s]+)", 1))
-    return F.filter(F.array(F.when(before != "", F.concat(before, F.lit(" "))), F.when((before != "") & (after != ""), F.concat_ws(" ", before, after))), lambda x: x.isNotNull())
+def _beside(cut_up: Column, size: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """The words before and after a span, lower-cased; empty where there is none."""
+
+    def before(reach: tuple[int, ...]) -> Column:
+        if not reach:
+            return F.regexp_extract(piece(cut_up, F.lit(0).cast("long"), start), BEFORE, 1)
+        near = piece(cut_up, F.greatest(start - reach[0], F.lit(0)), start)
+        whole = F.regexp_extract(near, r"(?<=[\s\S])" + BEFORE, 1)  # not cut off by the window
+        return F.when(start <= reach[0], F.regexp_extract(near, BEFORE, 1)).when(whole != "", whole).otherwise(before(reach[1:]))
+
+    def after(reach: tuple[int, ...]) -> Column:
+        if not reach:
+            return F.regexp_extract(piece(cut_up, end, size), AFTER, 1)
+        near = piece(cut_up, end, F.least(end + reach[0], size))
+        whole = F.regexp_extract(near, AFTER + r"(?=[\s\S])", 1)
+        return F.when(end + reach[0] >= size, F.regexp_extract(near, AFTER, 1)).when(whole != "", whole).otherwise(after(reach[1:]))
+
+    return F.lower(before(REACH)), F.lower(after(REACH))
+
+
+def _instance(cut_up: Column, size: Column, s: Column, kind: Column) -> Column:
+    """A span as an instance with its form and its lexical patterns: the word before, and that together with the word after."""
+    before, after = _beside(cut_up, size, s["start"], s["end"])
+    told = F.when(F.length(s["text"]) <= TOLD, s["text"]).otherwise(F.sha2(s["text"], 256))
+    form = [F.length(_digits(s["text"])).alias("digits"), F.length(F.regexp_replace(s["text"], "[^A-Za-z0-9]", "")).alias("size"), F.contains(s["text"], F.lit("@")).cast("int").alias("at")]
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), told.alias("instance"), *form, before.alias("before"), after.alias("after"), kind.alias("kind"))
+
 
+def _edges(instances: DataFrame) -> DataFrame:
+    """instances with each of their patterns."""
+    pair = F.when(F.col("after") != "", F.concat_ws(" ", "before", "after"))
+    each = F.filter(F.array(F.concat("before", F.lit(" ")), pair), lambda x: x.isNotNull())
+    return instances.where("before <> ''").select("*", F.explode(each).alias("pattern")).drop("before", "after")
 
-def _scored(edges: DataFrame, rounds: int) -> DataFrame:
-    """pattern, instance, kind of the accepted instances. edges: pattern, instance, kind (of a seed, else null), distinct."""
-    x = F.col("instance")
-    edges = edges.select("*", F.length(_digits(x)).alias("digits"), F.length(F.regexp_replace(x, "[^A-Za-z0-9]", "")).alias("size"), F.contains(x, F.lit("@")).cast("int").alias("at"))
 
-    def of_seeds(kind: str) -> Column:
+def _patterns(edges: DataFrame) -> DataFrame:
+    """pattern, kinds (what is known of each kind that enough known instances are of), pattern_score and n (its instances)."""
+
+    def known(kind: str) -> Column:
         mine = F.col("kind") == kind
         return F.struct(F.lit(kind).alias("kind"), F.count_if(mine).alias("seeds"), *[F.sum(F.when(mine, F.col(c))).alias(c) for c in ("digits", "size", "at")])
 
-    seeded = edges.groupBy("pattern").agg(F.array(*map(of_seeds, KINDS)).alias("kinds")).select("pattern", F.filter("kinds", lambda k: k["seeds"] >= MIN_SEEDS).alias("kinds"))
-    edges = cut(edges.join(seeded.where(F.size("kinds") > 0), "pattern"), "personal-data-edges")
+    found = edges.groupBy("pattern").agg(F.array(*map(known, KINDS)).alias("kinds"), (F.sum("score") / F.count("*")).alias("pattern_score"), F.count("*").alias("n"))
+    found = found.withColumn("kinds", F.filter("kinds", lambda k: k["seeds"] >= MIN_SEEDS))
+    return found.where((F.size("kinds") > 0) & (F.col("pattern_score") >= MIN_PATTERN))
+
+
+def _fit() -> Column:
+    """How well an instance's form fits that of the known instances of a pattern, and their kind: the best of the pattern's kinds."""
 
     def fit(k: Column) -> Column:
         share = 1 - F.abs(F.col("digits") / F.greatest("size", F.lit(1)) - k["digits"] / F.greatest(k["size"], F.lit(1)))
@@ -96,39 +135,57 @@ def _scored(edges: DataFrame, rounds: int) -> DataFrame:
         like = share * (1 - F.abs(F.col("at") - k["at"] / k["seeds"])) * F.least(F.col("size"), usual) / F.greatest(F.col("size"), usual, F.lit(1))
         return F.struct((1 - FORM + FORM * like).alias("fit"), k["kind"].alias("kind"))
 
-    edges = edges.withColumn("form", F.array_max(F.transform("kinds", fit))).drop("kinds", "digits", "size", "at")
-    now = edges.withColumn("instance_score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
+    return F.array_max(F.transform("kinds", fit))
+
+
+def bootstrapped(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """pattern, instance, kind, rows of what patterns discover. edges: distinct pattern and instance, digits, size, at, rows (that have it), kind (of a seed, else null).
+
+    Each round scores patterns by the scores of their instances (known ones have some, others 0), and unknown instances by
+    the best pattern that proposes them; those with a high score are known from then on, with that score, and induce
+    patterns of their own in the next round.
+    """
+    edges = cut(edges.withColumns({"score": F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0), "seed": F.col("kind").isNotNull()}), "personal-data-edges")
     for _ in range(rounds):
-        shares = now.groupBy("pattern").agg((F.sum("instance_score") / F.count("*")).alias("pattern_score"))
-        judged = edges.join(shares, "pattern").withColumn("score", F.col("pattern_score") * F.col("form.fit"))
-        instances = judged.groupBy("instance").agg(F.max(F.struct("score", "form.kind")).alias("top"))
-        now = judged.join(instances, "instance").withColumn("instance_score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("top.score")))
-        now = cut(now, "personal-data-scores") if rounds > 1 else now
-    return now.where(F.col("kind").isNull() & (F.col("pattern_score") >= MIN_PATTERN) & (F.col("instance_score") >= MIN_INSTANCE)).select("pattern", "instance", F.col("top.kind").alias("found_kind"))
+        patterns = cut(_patterns(edges), "personal-data-patterns")
+        judged = join_hot(edges.where("kind is null").drop("kind"), patterns, "pattern", "n").withColumn("form", _fit())
+        judged = judged.groupBy("instance").agg(F.max(F.struct((F.col("pattern_score") * F.col("form")["fit"]).alias("score"), F.col("form")["kind"].alias("kind"))).alias("top"))
+        new = cut(judged.where(F.col("top")["score"] >= MIN_INSTANCE).select("instance", F.col("top")["score"].alias("new_score"), F.col("top")["kind"].alias("new_kind")), "personal-data-found")
+        if new.isEmpty():
+            break
+        sizes = edges.groupBy("instance").agg(F.count("*").alias("n"))  # combined within tasks: no instance is gathered in one
+        told = join_hot(edges, new.join(sizes, "instance"), "instance", "n", "left")
+        edges = cut(told.select("pattern", "instance", "digits", "size", "at", "rows", F.coalesce("kind", "new_kind").alias("kind"), F.when(F.col("kind").isNull(), F.coalesce("new_score", "score")).otherwise(F.col("score")).alias("score"), "seed"), "personal-data-edges")
+    found = edges.where("kind is not null and not seed").select("pattern", "instance", "kind", "rows")
+    return join_hot(found, _patterns(edges).select("pattern", "n"), "pattern", "n")
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, base and found of every row of docs (doc_id, text): arrays of spans by kind, then start."""
     text = F.col("text")
-    likely = F.filter(spans_of(text, CANDIDATE, F.regexp_like(text, F.lit("[0-9]"))), lambda s: (F.length(_digits(s["text"])) >= 5) & (F.length(s["text"]) <= 128))
-    spaced = F.filter(spans_of(text, SPACED), lambda s: F.length(_digits(s["text"])).between(7, 19) & (F.length(s["text"]) <= 128) & F.regexp_like(s["text"], F.lit("[\\x20()]")))
-    at = F.filter(spans_of(text, AT, F.contains(text, F.lit("@"))), lambda s: F.length(s["text"]) <= 128)
-    likely = F.array_distinct(F.concat(likely, spaced, at))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", base_spans(text).alias("base"), likely.alias("likely"))
-    free = F.filter("likely", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    context = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("instance"), _patterns(text, s["start"], s["end"]).alias("patterns")))
-    seeds = F.transform("base", lambda s: F.struct(s["text"].alias("instance"), _patterns(text, s["start"], s["end"]).alias("patterns"), s["kind"].alias("kind")))
-    rows = cut(rows.select("row", "doc_id", "base", context(free).alias("likely"), seeds.alias("seeds")), "personal-data")
-
-    seen = rows.select(F.inline("seeds"))
-    new = rows.select(F.inline("likely")).select("instance", "patterns", F.lit(None).cast("string").alias("kind"))
-    edges = seen.unionByName(new).select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    accepted = _scored(edges, rounds)
-    hits = rows.select("row", F.inline("likely")).select("*", F.explode("patterns").alias("pattern")).join(accepted, ["pattern", "instance"])
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("found_kind")).cast("int")
-    found = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(order.alias("order"), "start", "end", F.col("found_kind").alias("kind"), F.col("instance").alias("text")))).alias("found"))
-    wider = lambda s: F.exists("found", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
-    found = found.select("row", F.filter("found", lambda s: ~wider(s)).alias("found"))
+    likely = F.filter(spans_of(text, CANDIDATE, F.regexp_like(text, F.lit("[0-9]"))), lambda s: F.length(_digits(s["text"])) >= 5)
+    spaced = F.filter(spans_of(text, SPACED), lambda s: F.length(_digits(s["text"])).between(7, 19) & F.regexp_like(s["text"], F.lit("[\\x20()]")))
+    every = F.concat(likely, spaced, spans_of(text, AT, F.contains(text, F.lit("@"))))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("*", base_spans(text).alias("base"), every.alias("likely"))
+    rows = rows.select("row", "doc_id", "base", apart(F.col("likely"), F.col("base")).alias("likely"), F.when((F.size("likely") > 0) | (F.size("base") > 0), leaves(text)).alias("leaves"), F.length("text").cast("long").alias("size"))
+    known = lambda spans, kind: F.transform(spans, lambda s: _instance(F.col("leaves"), F.col("size"), s, kind(s)))
+    rows = rows.select("row", "doc_id", "base", known(F.col("likely"), lambda s: F.lit(None).cast("string")).alias("likely"), known(F.col("base"), lambda s: s["kind"]).alias("seeds"))
+    rows = cut(rows, "personal-data")
+
+    every = _edges(rows.select(F.inline(F.concat("seeds", "likely"))))
+    edges = every.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("digits", "size", "at")])
+    accepted = cut(bootstrapped(edges, rounds), "personal-data-accepted")
+    hits = _edges(rows.select("row", F.inline("likely")).drop("kind")).withColumn("edge", F.struct("pattern", "instance"))
+    hits = join_hot(hits, accepted.select(F.struct("pattern", "instance").alias("edge"), "kind", "rows"), "edge", "rows")
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    span = F.struct("start", (-F.col("end")).alias("minus"), order.alias("order"), "end", "kind", "text")
+    found = hits.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("found"))
+    reach = lambda f: scan(F.transform(f, lambda s: s["end"]), F.lit(-1).cast("long"), F.greatest)
+    # by start, the longest first: a span lies within a wider one if an earlier one reaches as far
+    outer = F.zip_with("found", F.concat(F.array(F.lit(-1).cast("long")), F.slice(reach(F.col("found")), F.lit(1), F.size("found") - 1)), lambda s, r: F.when(s["end"] > r, s))
+    outer = F.transform(F.filter(outer, lambda s: s.isNotNull()), lambda s: F.struct(*[s[c].alias(c) for c in ("order", "start", "end", "kind", "text")]))
+    found = found.select("row", F.array_sort(outer).alias("found"))
     none = F.array().cast(found.schema["found"].dataType)
     return rows.select("row", "doc_id", "base").join(found, "row", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"))
 
