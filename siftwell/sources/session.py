@@ -9,10 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch of rows that Spark hands to Python at once, so that what a worker holds doesn't follow the rows' width.
+BATCH_BYTES = 4 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application; needless where it is installed there."""
+    """Sends this package to the executors, once for each application; needless where it is installed there. Bounds Arrow batches by bytes, unless the session sets a bound of its own."""
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
