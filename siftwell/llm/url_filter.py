@@ -1,13 +1,20 @@
 """9. URL filters: rules first, then naive Bayes over the words of segmented hosts and paths.
 
-A unigram lexicon is counted over the text of all pages. Host names and path parts that run words together are split by
-Viterbi over the lexicon. Multinomial naive Bayes is trained on the pages that a rule decides, together with a short list
-of words that mark unwanted sites, and judges the others. Lexicon and class counts hold all words, as written tables: the
-substrings of distinct runs of letters and the words of distinct pieces of urls are joined to them.
+A unigram lexicon is counted over the text of all pages. Runs of letters in host names and paths are split into words by
+Viterbi over the lexicon: the substrings of distinct runs are joined to it. Nobody has labelled the pages, so the classifier
+is trained on weak labels that have nothing to do with the rules: a host that has one of a short list of seed words among
+its words is an example of a blocked one, all others are examples of allowed ones. Multinomial naive Bayes learns from them
+how much every word of a host, counted once for each distinct host, and every word of a path, counted once for each page
+and apart from the words of hosts, speaks for one or the other. The classes' word frequencies are smoothed by those of all
+words together, so that rare words of the larger class aren't taken for the smaller one's. A page's score is the log odds of
+the classes among hosts, plus what its host's words add, which equal hosts share, and its path's; above 0 it is blocked.
+
+Lexicon, class counts and weights hold all words, as written tables; nothing but a few sums is collected. Runs and words may
+have any length.
 
 A null url or one without :// has an empty host and path and, as no rule fits and it has no words, is allowed; so is a tie.
-Pages without text add nothing to the lexicon. Empty tables give empty results. Rows with the same id or url stay separate
-rows, a null id stays null, and columns other than the id, the url and the html are ignored.
+Numbers are no words. Pages without text add nothing to the lexicon. Empty tables give empty results. Rows with the same id
+or url stay separate rows, a null id stays null, and columns other than the id, the url and the html are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut
+from .common import chunks, cut, join_hot
 
 # Rules as (host, path, verdict).
 RULES = (
@@ -30,16 +37,18 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-# Words of unwanted sites.
-UNWANTED = "adult ads bet bets casino cheap farm free loan loans lottery pills poker porn sex spam track viagra win xxx".split()
-#: Each of the unwanted words counts, as blocked, for this share of all the words that pages under rules have.
-UNWANTED_SHARE = 0.1
-#: Letters of the longest word that a host is split into, and of the longest run that is split (a longer one is a word).
-LONGEST, LONGEST_RUN = 24, 256
+# Words that make a host an example of a blocked one.
+SEEDS = "adult ads bet bets betting casino cheap farm free gambling loan loans lottery pharma pills poker porn sex spam viagra xxx".split()
+#: Letters of the longest word that is found as a whole among the substrings of a run; a longer one is found by so many first letters.
+ANCHOR = 24
+#: Words of so many letters are in so many runs that their rows are dealt to this many keys each.
+SHORT, SALTS = 2, 32
+#: Words that each class is given besides its own, in the proportions of all words together.
+SMOOTHING = 50.0
 
 _TAG = re.compile(r"(?s)<(script|style)\b.*?</\1>|<[^>]*>")
 _WORD = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"[^\W\d_]+|\d+")
+RUN = r"\p{L}+"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -61,63 +70,56 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _page_words(batches):
-    for _, texts in chunks(batches, "html", 8 << 20, 4096):
+    for _, texts in chunks(batches, "html", 2 << 20, 4096):
         counts = Counter()
         for x in texts:
             if x:
                 counts.update(_WORD.findall(_TAG.sub(" ", x).lower()))
-        words = [w for w in counts if 1 < len(w) <= LONGEST]
-        yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array([counts[w] for w in words], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"word": pa.array(counts, pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
 
 class Segmenter:
-    """Splits a run of letters into the words with the highest product of unigram probabilities.
+    """Splits a run of letters into the words with the highest product of unigram probabilities; of equal ones, that with the longest last word.
 
-    counts are those of all words, or of those alone that the runs to split hold, with the total of all words.
+    counts are those of all words, or of those alone that the run holds, with the total of all words. A word that isn't
+    known is ten times less likely with each letter.
     """
 
     def __init__(self, counts: dict[str, int], total: int | None = None):
         total = max(1, sum(counts.values()) if total is None else total)
         self.costs = {w: -math.log(n / total) for w, n in counts.items()}
-        self.unknown = [math.log(total) + k * math.log(10) for k in range(LONGEST_RUN + 1)]  # of a word of k letters
+        self.rare, self.letter = math.log(total), math.log(10)
+        self.longest = max(ANCHOR, max(map(len, counts), default=0))
 
     def split(self, run: str) -> list[str]:
         n = len(run)
-        if n > LONGEST_RUN:
-            return [run]
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        # of the unknown words that end somewhere the best one is that which extends the best unknown word so far
+        open_cost, open_start = math.inf, 0
         for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
-                cost = best[start] + self.costs.get(run[start:end], self.unknown[end - start])
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
+            if best[end - 1] + self.rare < open_cost:
+                open_cost, open_start = best[end - 1] + self.rare, end - 1
+            open_cost += self.letter
+            best[end], back[end] = open_cost, open_start
+            for start in range(max(0, end - self.longest), end):
+                cost = self.costs.get(run[start:end])
+                if cost is not None and best[start] + cost < best[end]:
+                    best[end], back[end] = best[start] + cost, start
         out = []
         while n:
             out.append(run[back[n] : n])
             n = back[n]
         return out[::-1]
 
-    def words(self, text: str) -> list[str]:
-        return [w for run in _RUN.findall(text.lower()) for w in ([run] if run[0].isdigit() else self.split(run))]
-
-
-def _pieces(batches):
-    """Runs of letters and of digits of host and path, those of the path marked by a slash."""
-    for batch in batches:
-        texts = zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)
-        pieces = [_RUN.findall(host.lower()) + ["/" + x for x in _RUN.findall(path.lower())] for host, path in texts]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.list_(pa.string()))], [*batch.schema.names, "pieces"])
-
 
 def _candidates(batches):
-    """The substrings of each run that can be words of the lexicon."""
+    """The substrings of each run that can be words of the lexicon, or the first letters of longer ones."""
     made = lambda rows: pa.RecordBatch.from_pydict({"run": pa.array([r for r, _ in rows], pa.string()), "word": pa.array([w for _, w in rows], pa.string())})
     for batch in batches:
         rows = []
         for run in batch.column("run").to_pylist():
-            if not run[0].isdigit() and len(run) <= LONGEST_RUN:
-                rows += [(run, w) for w in sorted({run[a:b] for a in range(len(run)) for b in range(a + 2, min(len(run), a + LONGEST) + 1)})]
-            if len(rows) >= 100_000:
+            rows += [(run, w) for w in sorted({run[a:b] for a in range(len(run)) for b in range(a + 1, min(len(run), a + ANCHOR) + 1)})]
+            if len(rows) >= 50_000:
                 yield made(rows)
                 rows = []
         yield made(rows)
@@ -127,86 +129,92 @@ def _split(total: int):
     def run(batches):
         for batch in batches:
             runs, found = batch.column("run").to_pylist(), batch.column("found").to_pylist()
-            segmenter = Segmenter({x["word"]: x["n"] for row in found for x in row or ()}, total)
-            words = [[x] if x[0].isdigit() else segmenter.split(x) for x in runs]
+            words = [Segmenter({x["word"]: x["n"] for x in own or ()}, total).split(r) for r, own in zip(runs, found, strict=True)]
             yield pa.RecordBatch.from_pydict({"run": pa.array(runs, pa.string()), "words": pa.array(words, pa.list_(pa.string()))})
 
     return run
 
 
-class NaiveBayes:
-    """Weights of words: of all of them, or of a part with the sums of all: words allowed, words blocked, distinct words."""
-
-    def __init__(self, rows: list[tuple[str, str, int]], sums: tuple[int, int, int] | None = None):
-        counts = {"allow": Counter(), "block": Counter()}
-        for kind, word, n in rows:
-            counts[kind][word] += n
-        allowed, blocked, distinct = sums or (*(sum(c.values()) for c in counts.values()), len({*counts["allow"], *counts["block"], *UNWANTED}))
-        share = max(1, round(UNWANTED_SHARE * (allowed + blocked)))
-        counts["block"].update({w: share for w in UNWANTED})
-        known = set(counts["allow"]) | set(counts["block"])
-        totals = {"allow": allowed + distinct, "block": blocked + share * len(UNWANTED) + distinct}
-        self.weights = {w: math.log((counts["block"][w] + 1) / totals["block"]) - math.log((counts["allow"][w] + 1) / totals["allow"]) for w in sorted(known)}
-
-    def score(self, words: list[str]) -> float:
-        """Above 0: block."""
-        return sum(self.weights.get(w, 0.0) for w in words)
-
-
-def _weights(sums: tuple[int, int, int]):
-    def run(batches):
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            rows = [(kind, w, n) for kind in ("allow", "block") for w, n in zip(words, batch.column(kind).to_pylist(), strict=True)]
-            weights = NaiveBayes(rows, sums).weights
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "weight": pa.array([weights[w] for w in words], pa.float64())})
-
-    return run
-
-
 def lexicon_of(pages: DataFrame) -> tuple[DataFrame, int]:
-    """word and n of all words of the pages' texts and of the unwanted ones, as a written table, and the sum of n."""
+    """word and n of all words of the pages' texts and of the seeds, as a written table, and the sum of n. A seed that no text has is as frequent as the median word."""
     counted = pages.select(F.col("html").cast("string").alias("html")).mapInArrow(_page_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counted = cut(counted, "url-words")
     middle, total = counted.agg(F.expr("percentile_disc(0.5) within group (order by n)").cast("long"), F.coalesce(F.sum("n"), F.lit(0))).first()
     middle = max(1, middle or 1)
-    seen = {r.word for r in counted.where(F.col("word").isin(UNWANTED)).select("word").collect()}
-    missing = [(w, middle) for w in UNWANTED if w not in seen]
+    seen = {r.word for r in counted.where(F.col("word").isin(SEEDS)).select("word").collect()}
+    missing = [(w, middle) for w in SEEDS if w not in seen]
     if missing:
         counted = counted.unionByName(pages.sparkSession.createDataFrame(missing, "word string, n bigint"))
     return counted, total + middle * len(missing)
 
 
+def segmented(runs: DataFrame, lexicon: DataFrame, total: int) -> DataFrame:
+    """run and words of every row of runs (run, distinct)."""
+    salt = F.when(F.length("word") <= SHORT, F.pmod(F.hash("run"), F.lit(SALTS))).otherwise(0)
+    salts = F.when(F.length("key") <= SHORT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    asked = runs.mapInArrow(_candidates, "run string, word string").select("run", F.col("word").alias("key"), salt.alias("salt"))
+    known = lexicon.select(F.substring("word", 1, ANCHOR).alias("key"), "word", "n").select("*", F.explode(salts).alias("salt"))
+    # a word longer than its key is in the run or not: that of its first letters alone isn't enough
+    matched = asked.join(known, ["key", "salt"]).where((F.length("word") <= ANCHOR) | F.contains("run", F.col("word")))
+    matched = matched.groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    return runs.join(matched, "run", "left").mapInArrow(_split(total), "run string, words array<string>")
+
+
+def _weights(counts: DataFrame) -> DataFrame:
+    """word and weight (above 0: speaks for blocking) of counts (word, block, allow)."""
+    block, allow = counts.agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0))).first()
+    share = (F.col("block") + F.col("allow")) * (SMOOTHING / max(1, block + allow))
+    return counts.select("word", (F.log((F.col("block") + share) / (block + SMOOTHING)) - F.log((F.col("allow") + share) / (allow + SMOOTHING))).alias("weight"))
+
+
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (of naive Bayes, null under a rule) of every row of pages (page_id, url, html)."""
     host, path = parts(F.col("url").cast("string"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     urls = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("verdict"))
-    urls = cut(urls.mapInArrow(_pieces, "row bigint, page_id bigint, host string, path string, rule string, verdict string, pieces array<string>"), "url-pieces")
+    urls = cut(urls, "url-parts")
     lexicon, total = lexicon_of(pages)
 
-    # each distinct piece, how often pages under rules have it, and its words in order
-    of = lambda kind: F.count_if(F.col("verdict").eqNullSafe(kind)).alias(kind)
-    pieces = urls.select("verdict", F.explode("pieces").alias("piece")).groupBy("piece").agg(of("allow"), of("block"))
-    pieces = cut(pieces.withColumn("run", F.ltrim(F.col("piece"), F.lit("/"))), "url-runs")
-    runs = pieces.select("run").distinct()
-    matched = runs.mapInArrow(_candidates, "run string, word string").join(lexicon, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("found"))
-    runs = runs.join(matched, "run", "left").mapInArrow(_split(total), "run string, words array<string>")
-    words = pieces.join(runs, "run").select("piece", "allow", "block", F.posexplode("words").alias("at", "word"))
-    words = cut(words.withColumn("word", F.when(F.startswith("piece", F.lit("/")), F.concat(F.lit("/"), "word")).otherwise(F.col("word"))), "url-split")
-
-    counts = words.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).where((F.col("allow") + F.col("block") > 0) | F.col("word").isin(UNWANTED))
-    none = pages.sparkSession.createDataFrame([(w, 0, 0) for w in UNWANTED], "word string, allow bigint, block bigint")
-    counts = cut(counts.unionByName(none).groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-counts")
-    sums = tuple(counts.agg(F.sum("allow"), F.sum("block"), F.count("*")).first())
-    weights = counts.mapInArrow(_weights(sums), "word string, weight double")
-    weighed = words.join(weights, "word").groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("at", "weight")))["weight"].alias("weights"))
-
-    asked = urls.where("verdict is null").select("row", F.posexplode("pieces").alias("at", "piece"))
-    scores = asked.join(weighed, "piece").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "weights")))["weights"].alias("weights"))
-    scores = scores.select("row", F.aggregate(F.flatten("weights"), F.lit(0.0), lambda a, x: a + x).alias("found"))  # in the order of the url
-    score = F.when(F.col("verdict").isNull(), F.coalesce("found", F.lit(0.0)))
-    judged = urls.drop("pieces").join(scores, "row", "left").withColumn("score", score)
+    # the distinct hosts, and the distinct runs of letters of hosts and paths with their words
+    runs_of = lambda c: F.regexp_extract_all(F.lower(c), F.lit(RUN), F.lit(0))
+    hosts = cut(urls.groupBy("host").agg(F.count("*").alias("pages")), "url-hosts")
+    of_host = hosts.select("host", F.posexplode(runs_of("host")).alias("at", "run"))
+    of_path = urls.select("row", "host", F.posexplode(runs_of("path")).alias("at", "run"))
+    sizes = of_host.groupBy("run").agg(F.count("*").alias("in_hosts")).join(of_path.groupBy("run").agg(F.count("*").alias("in_paths")), "run", "full")
+    runs = cut(segmented(sizes.select("run"), lexicon, total).join(sizes, "run"), "url-runs")
+
+    # hosts with their words, and the weak label that these give
+    words = join_hot(of_host, runs.where("in_hosts is not null").select("run", "words", F.col("in_hosts").alias("n")), "run", "n")
+    words = words.groupBy("host").agg(F.flatten(F.array_sort(F.collect_list(F.struct("at", "words")))["words"]).alias("words"))
+    words = words.withColumn("block", F.arrays_overlap("words", F.array(*map(F.lit, SEEDS))))
+    hosts = cut(hosts.join(words, "host", "left").withColumns({"words": F.coalesce("words", F.array().cast("array<string>")), "block": F.coalesce("block", F.lit(False))}), "url-labels")
+
+    # how often words are in hosts, and in paths of pages, of either label
+    of = lambda label: F.count_if(F.col("block") == F.lit(label)).alias("block" if label else "allow")
+    in_hosts = hosts.select("block", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(of(True), of(False))
+    labelled = join_hot(of_path.select("host", "run"), hosts.select("host", "block", "pages"), "host", "pages")
+    by_run = labelled.groupBy("run").agg(of(True), of(False)).join(runs.select("run", "words"), "run")
+    in_paths = by_run.select("block", "allow", F.explode("words").alias("word")).groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+    blocked, every = hosts.agg(F.count_if("block"), F.count("*")).first()
+    odds = math.log((blocked + 1) / (every - blocked + 1))
+    host_weights, path_weights = cut(_weights(in_hosts), "url-host-weights"), cut(_weights(in_paths), "url-path-weights")
+
+    # scores of hosts, of the runs of paths, and of pages
+    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    each = hosts.select("host", F.posexplode("words").alias("at", "word"))
+    sizes = each.groupBy("word").agg(F.count("*").alias("n"))
+    scored = join_hot(each, host_weights.join(sizes, "word"), "word", "n")
+    scored = scored.groupBy("host").agg(summed(F.array_sort(F.collect_list(F.struct("at", "weight")))["weight"]).alias("host_score"))
+    hosts = cut(hosts.select("host", "pages").join(scored, "host", "left"), "url-host-scores")
+    of_run = runs.where("in_paths is not null").select("run", F.posexplode("words").alias("at", "word"))
+    sizes = of_run.groupBy("word").agg(F.count("*").alias("n"))
+    of_run = join_hot(of_run, path_weights.join(sizes, "word"), "word", "n").groupBy("run").agg(summed(F.array_sort(F.collect_list(F.struct("at", "weight")))["weight"]).alias("weight"))
+    of_run = cut(of_run.join(runs.select("run", F.col("in_paths").alias("n")), "run"), "url-run-weights")
+    paths = join_hot(of_path.select("row", "at", "run"), of_run, "run", "n").groupBy("row").agg(summed(F.array_sort(F.collect_list(F.struct("at", "weight")))["weight"]).alias("path_score"))
+    judged = join_hot(urls, hosts, "host", "pages").join(paths, "row", "left")
+    found = F.when(F.coalesce("host_score", "path_score").isNotNull(), F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)) + odds)
+    score = F.when(F.col("verdict").isNull(), F.coalesce(found, F.lit(0.0)))
+    judged = judged.withColumn("score", score)
     verdict = F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
