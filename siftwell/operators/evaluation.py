@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, round_label, wrong_confidence
 
+#: Ranges of confidence in which failures are ranked.
+RANGES = 4096
 METRICS = ("accuracy", "precision", "recall", "f1", "real_accuracy", "aigen_accuracy")
 
 
@@ -44,6 +46,19 @@ def round_results(predictions: DataFrame) -> DataFrame:
     return out.withColumn("round", round_label(F.col("augment"), F.col("variant")))
 
 
+def with_throughput(rounds: DataFrame, seconds: DataFrame) -> DataFrame:
+    """rounds with seconds and images_per_second, from the time that each (augment, variant) took; null without a time above 0."""
+    out = rounds.join(seconds.select("augment", "variant", "seconds"), ["augment", "variant"], "left")
+    return out.withColumn("images_per_second", F.when(F.col("seconds") > 0, F.col("total") / F.col("seconds")))
+
+
+def running_accuracy(predictions: DataFrame, batch: str = "batch") -> DataFrame:
+    """batch, n, accuracy: over all rows up to the end of each batch, from the batches' sums."""
+    sums = predictions.groupBy(batch).agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label")).alias("right"))
+    upto = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
+    return sums.select(batch, F.sum("n").over(upto).alias("n"), (F.sum("right").over(upto) / F.sum("n").over(upto)).alias("accuracy"))
+
+
 def mean_metrics(rounds: DataFrame, by: tuple[str, ...] = ("augment",)) -> DataFrame:
     """The unweighted mean of the rounds' rates."""
     return rounds.groupBy(*by).agg(*[F.avg(m).alias(m) for m in METRICS], F.count("*").alias("rounds"))
@@ -51,19 +66,32 @@ def mean_metrics(rounds: DataFrame, by: tuple[str, ...] = ("augment",)) -> DataF
 
 def failures(predictions: DataFrame) -> DataFrame:
     """Wrong predictions; order_in_label counts from the most confident one of each label."""
-    name = lambda c: F.when(F.col(c) == 1, "ai_gen").otherwise("real")
     wrong = predictions.where("pred <> label").withColumn("confidence", wrong_confidence(F.col("prob"), F.col("pred")))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("confidence"), "path"))
-    return wrong.select("path", "label", name("label").alias("label_name"), "pred", name("pred").alias("pred_name"), F.col("prob").alias("prob_aigen"), "confidence", rank.alias("order_in_label"))
+    # a label is ranked in ranges of confidence, so that no task sorts all of it; what stands ahead of a range is counted
+    wrong = wrong.withColumn("range", F.floor(F.col("confidence") * RANGES))
+    sizes = wrong.groupBy("label", "range").agg(F.count("*").alias("size"))
+    ahead = F.sum("size").over(Window.partitionBy("label").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1))
+    wrong = wrong.join(sizes.select("label", "range", F.coalesce(ahead, F.lit(0)).alias("ahead")), ["label", "range"])
+    rank = F.row_number().over(Window.partitionBy("label", "range").orderBy(F.desc("confidence"), "path")) + F.col("ahead")
+    return _shown(wrong, rank)
+
+
+def _shown(wrong: DataFrame, rank: Column) -> DataFrame:
+    name = lambda c: F.when(F.col(c) == 1, "ai_gen").otherwise("real")
+    return wrong.select("path", "label", name("label").alias("label_name"), "pred", name("pred").alias("pred_name"), F.col("prob").alias("prob_aigen"), "confidence", rank.cast("int").alias("order_in_label"))
 
 
 def top_failures(predictions: DataFrame, k: int) -> DataFrame:
-    return failures(predictions).where(F.col("order_in_label") <= k)
+    """The k most confident failures of each label: tasks keep their own k before any row moves."""
+    wrong = predictions.where("pred <> label").withColumn("confidence", wrong_confidence(F.col("prob"), F.col("pred")))
+    wrong = wrong.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("confidence"), "path"))).where(F.col("rank") <= k)
+    return _shown(wrong, F.col("rank"))
 
 
 def limit_per_class(samples: DataFrame, n: int) -> DataFrame:
-    """The first n of each label in the order of their paths."""
-    return samples.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("path"))).where(F.col("nth") <= n).drop("nth")
+    """The first n of each label in the order of their paths; rows of one path by their other columns."""
+    order = ["path", *[c for c in samples.columns if c not in ("path", "label")]]
+    return samples.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("nth") <= n).drop("nth")
 
 
 def rounds_of(samples: DataFrame, grid: DataFrame) -> DataFrame:

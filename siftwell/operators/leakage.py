@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Evidence, strongest first.
 EVIDENCE = ("byte", "pixel", "siglip")
-#: Rows of a block of embeddings, and bytes of references that a task multiplies with at once.
+#: Rows of a block of embeddings.
 BLOCK = 1024
 
 
@@ -38,21 +38,34 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _blocked(items: DataFrame, names: tuple[str, str, str], rows: int) -> DataFrame:
-    """Readable embeddings gathered into blocks of about so many rows of one class: (class, block, names, matrix)."""
-    key, name, emb = names
-    sizes = items.where("ok").groupBy(key).agg(F.ceil(F.count("*") / rows).alias("blocks"))
-    placed = items.where("ok").join(sizes, key).withColumn("block", F.pmod(F.xxhash64(name), F.col("blocks")))
-    return placed.groupBy(key, "block").agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col(emb).alias("emb"))).alias("rows"))
+def _block_pairs(train: DataFrame, val: DataFrame, rows: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """class, left, right: readable rows (name, emb and extra ones of val) in blocks of about so many of a class, each block of train with each of val.
+
+    A pair of blocks is a key of its own, so that a large class is dealt over as many tasks as it has pairs. Neither side is
+    broadcast or gathered as a whole; a block travels once for each block of the other side, as all pairs ask for.
+    """
+    sizes = lambda df, name: df.where("ok").groupBy("class").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    counts = sizes(train, "lefts").join(sizes(val, "rights"), "class")
+
+    def gathered(df: DataFrame, own: str, name: str, cols: tuple[str, ...]) -> DataFrame:
+        placed = df.where("ok").join(counts, "class").withColumn(f"{own}_at", F.pmod(F.xxhash64("name"), F.col(f"{own}s")).cast("int"))
+        return placed.groupBy("class", f"{own}_at", "lefts", "rights").agg(F.collect_list(F.struct(*cols)).alias(name))
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = gathered(train, "left", "left", ("name", "emb")).withColumn("right_at", every("rights")).select("class", "left_at", "right_at", "left")
+    b = gathered(val, "right", "right", ("name", "emb", *extra)).withColumn("left_at", every("lefts")).select("class", "left_at", "right_at", "right")
+    return a.join(b, ["class", "left_at", "right_at"]).select("class", "left", "right")
+
+
+def _scores(left: list[dict], right: list[dict]) -> np.ndarray:
+    return np.array([r["emb"] for r in left], np.float64) @ np.array([r["emb"] for r in right], np.float64).T
 
 
 def _similar(threshold: float):
     def run(batches):
         for batch in batches:
             for cls, left, right in zip(*(batch.column(c).to_pylist() for c in ("class", "left", "right")), strict=True):
-                a = np.array([r["emb"] for r in left], np.float64)
-                b = np.array([r["emb"] for r in right], np.float64)
-                scores = a @ b.T
+                scores = _scores(left, right)
                 i, j = np.nonzero(scores > threshold)
                 yield pa.RecordBatch.from_pydict({"class": pa.array([cls] * len(i), batch.schema.field("class").type), "train_image": pa.array([left[k]["name"] for k in i], pa.string()), "val_image": pa.array([right[k]["name"] for k in j], pa.string()), "cosine_sim": pa.array(scores[i, j], pa.float64())})
 
@@ -62,20 +75,17 @@ def _similar(threshold: float):
 def cosine_pairs(train: DataFrame, val: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """class, train_image, val_image, cosine_sim of all pairs above the threshold; unreadable rows (ok false) have none.
 
-    Both sides are cut into blocks; each pair of blocks of a class is one matrix product, so that neither side is
-    broadcast or gathered as a whole.
+    Each pair of blocks of a class is one matrix product.
     """
-    a = _blocked(train, ("class", "name", "emb"), block).select("class", F.col("rows").alias("left"))
-    b = _blocked(val, ("class", "name", "emb"), block).select("class", F.col("rows").alias("right"))
     kind = train.schema["class"].dataType.simpleString()
-    return a.join(b, "class").select("class", "left", "right").mapInArrow(_similar(threshold), f"class {kind}, train_image string, val_image string, cosine_sim double")
+    return _block_pairs(train, val, block).mapInArrow(_similar(threshold), f"class {kind}, train_image string, val_image string, cosine_sim double")
 
 
-def cosine_pairs_sql(train: DataFrame, val: DataFrame, threshold: float) -> DataFrame:
-    """The same pairs by a join on class and built-in functions; for small sides."""
-    a = train.where("ok").select("class", F.col("name").alias("train_image"), F.col("emb").alias("a"))
-    b = val.where("ok").select("class", F.col("name").alias("val_image"), F.col("emb").alias("b"))
-    return a.join(b, "class").select("class", "train_image", "val_image", dot(F.col("a"), F.col("b")).alias("cosine_sim")).where(F.col("cosine_sim") > threshold)
+def cosine_pairs_sql(train: DataFrame, val: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """The same pairs by built-in functions: pairs of blocks are exploded and scored row by row."""
+    pairs = _block_pairs(train, val, block).select("class", F.explode("left").alias("t"), "right").select("class", "t", F.explode("right").alias("v"))
+    scored = pairs.select("class", F.col("t.name").alias("train_image"), F.col("v.name").alias("val_image"), dot(F.col("t.emb"), F.col("v.emb")).alias("cosine_sim"))
+    return scored.where(F.col("cosine_sim") > threshold)
 
 
 def backfilled(pairs: DataFrame, train: DataFrame, val: DataFrame) -> DataFrame:
@@ -109,18 +119,38 @@ def leak_lines(leaks: DataFrame) -> DataFrame:
     return leaks.select("class", "match_type", cosine.alias("cosine_sim"), "train_image", "val_image")
 
 
-def nearest(train: DataFrame, references: DataFrame, splits: tuple[str, ...]) -> DataFrame:
+def _best(splits: tuple[str, ...]):
+    """For each row of the left block, the nearest row of each split in the right block; of equal ones, that of the first name."""
+
+    def run(batches):
+        for batch in batches:
+            for cls, left, right in zip(*(batch.column(c).to_pylist() for c in ("class", "left", "right")), strict=True):
+                right = sorted(right, key=lambda r: r["name"])
+                scores = _scores(left, right)
+                out = []
+                for place, split in enumerate(splits):
+                    own = np.array([k for k, r in enumerate(right) if r["split"] == split], np.int64)
+                    if len(own):
+                        top = own[scores[:, own].argmax(1)]
+                        out += [(a["name"], float(scores[i, k]), place, right[k]["name"], split) for i, (a, k) in enumerate(zip(left, top, strict=True))]
+                names = ("train_image", "cos", "place", "matched_image", "matched_split")
+                kinds = (pa.string(), pa.float64(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([cls] * len(out), batch.schema.field("class").type), *[pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]], names=["class", *names])
+
+    return run
+
+
+def nearest(train: DataFrame, references: DataFrame, splits: tuple[str, ...], block: int = BLOCK) -> DataFrame:
     """class, train_image, cosine_sim, matched_image, matched_split, best_<split> of every train row.
 
     references has a split; ties go to the first split named, then the first name. Without a readable vector on either
     side the cosine is -1 and nothing is matched.
     """
-    a = train.where("ok").select("class", F.col("name").alias("train_image"), F.col("emb").alias("a"))
-    b = references.where("ok").select("class", F.col("split").alias("matched_split"), F.col("name").alias("matched_image"), F.col("emb").alias("b"))
-    scored = a.join(b, "class").select("class", "train_image", "matched_split", "matched_image", dot(F.col("a"), F.col("b")).alias("cos"))
-    order = F.array_position(F.array(*map(F.lit, splits)), F.col("matched_split"))
-    best = F.min(F.struct((-F.col("cos")).alias("minus"), order.alias("order"), "matched_image", "matched_split"))
-    found = scored.groupBy("class", "train_image").agg(best.alias("best"), *[F.max(F.when(F.col("matched_split") == s, F.col("cos"))).alias(f"best_{s}") for s in splits])
+    kind = train.schema["class"].dataType.simpleString()
+    pairs = _block_pairs(train, references, block, ("split",))
+    best = pairs.mapInArrow(_best(splits), f"class {kind}, train_image string, cos double, place int, matched_image string, matched_split string")
+    top = F.min(F.struct((-F.col("cos")).alias("minus"), "place", "matched_image", "matched_split"))
+    found = best.groupBy("class", "train_image").agg(top.alias("best"), *[F.max(F.when(F.col("matched_split") == s, F.col("cos"))).alias(f"best_{s}") for s in splits])
     found = found.select("class", "train_image", (-F.col("best.minus")).alias("cosine_sim"), "best.matched_image", "best.matched_split", *[f"best_{s}" for s in splits])
     every = train.select("class", F.col("name").alias("train_image")).join(found, ["class", "train_image"], "left")
     return every.na.fill(-1.0, ["cosine_sim", *[f"best_{s}" for s in splits]])

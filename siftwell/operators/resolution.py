@@ -9,6 +9,8 @@ from ..functions.scalars import log2_distance, seeded_order, strip_augmented
 
 #: Distinct resolutions of a reference up to which they are broadcast: 1,000,000 of 24 bytes are some 24 MB.
 BROADCAST_RESOLUTIONS = 1_000_000
+#: Resolutions of a block where there are more.
+BLOCK = 4096
 # Settings of the grid.
 TOLERANCES = (0.1, 0.15, 0.2, 0.25, 0.3, 0.4)
 SHARES = (0.001, 0.002, 0.005, 0.01, 0.02)
@@ -19,12 +21,22 @@ def histogram(headers: DataFrame) -> DataFrame:
 
 
 def _distances(candidates: DataFrame, reference: DataFrame) -> DataFrame:
-    """width, height, ref_n, d of every pair of distinct resolutions: both are histograms, not images."""
+    """width, height, ref_n, d of every pair of distinct resolutions: both are histograms, not images.
+
+    Few references are broadcast; of many, each block meets each block of candidates under a key of its own.
+    """
     pairs = candidates.select("width", "height").distinct()
     ref = reference.select(F.col("width").alias("rw"), F.col("height").alias("rh"), F.col("n").alias("ref_n"))
-    if reference.count() > BROADCAST_RESOLUTIONS:
-        raise ValueError("too many distinct reference resolutions to compare all of them; round them first")
-    return pairs.crossJoin(F.broadcast(ref)).select("width", "height", "ref_n", log2_distance(F.col("width"), F.col("height"), F.col("rw"), F.col("rh")).alias("d"))
+    known = reference.count()
+    if known <= BROADCAST_RESOLUTIONS:
+        both = pairs.crossJoin(F.broadcast(ref))
+    else:
+        lefts, rights = (-(-n // BLOCK) for n in (pairs.count(), known))
+        own = lambda a, b, n: F.pmod(F.xxhash64(a, b), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = pairs.withColumn("left", own("width", "height", max(1, lefts))).withColumn("right", every(rights))
+        both = left.join(ref.withColumn("right", own("rw", "rh", rights)).withColumn("left", every(max(1, lefts))), ["left", "right"])
+    return both.select("width", "height", "ref_n", log2_distance(F.col("width"), F.col("height"), F.col("rw"), F.col("rh")).alias("d"))
 
 
 def reference_shares(candidates: DataFrame, reference: DataFrame, tolerances=TOLERANCES) -> DataFrame:
