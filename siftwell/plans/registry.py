@@ -155,14 +155,6 @@ def auroc(spark, d):
     return evaluation.auroc(predictions(spark, d))
 
 
-@query()
-def grid_rounds(spark, d):
-    """Images under every round of the grid, with their steps."""
-    stems = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
-    steps = planning.round_steps(stems, planning.round_grid_frame(spark))
-    return steps.select("stem", "round", fn.plan_label(F.col("steps")).alias("label"))
-
-
 # calibration ------------------------------------------------------------------------------------------------------------
 HIST = f"(SELECT i.idx, coalesce(r, 0) AS count_real, coalesce(a, 0) AS count_aigen FROM (SELECT CAST(range AS INT) AS idx FROM range({K})) i LEFT JOIN (SELECT CAST(least(floor(prob * {K}), {K - 1}) AS INT) AS idx, count(*) FILTER (WHERE label = 0) AS r, count(*) FILTER (WHERE label = 1) AS a FROM {PRED} GROUP BY 1) c ON c.idx = i.idx)"
 TABLE = f"(SELECT idx + 1 AS bucket, idx / {K} AS lower, (idx + 1) / {K} AS upper, count_real, count_aigen, lr AS p_c_given_real, la AS p_c_given_aigen, 1 - post AS p_real_given_c, post AS p_aigen_given_c, count_aigen / nullif(count_real + count_aigen, 0) AS empirical_p_aigen, CASE WHEN post >= 0.5 THEN 'ai_gen' WHEN post < 0.5 THEN 'real' END AS predicted_label, greatest(post, 1 - post) AS confidence FROM (SELECT *, la * prior / nullif(la * prior + lr * (1 - prior), 0) AS post FROM (SELECT *, (count_real + 1) / (sum(count_real) OVER () + {K}) AS lr, (count_aigen + 1) / (sum(count_aigen) OVER () + {K}) AS la, sum(count_aigen) OVER () / (sum(count_real) OVER () + sum(count_aigen) OVER ()) AS prior FROM {HIST})))"
@@ -671,22 +663,71 @@ def image_seeds(spark, d):
     return t(spark, d, "documents").select("doc_id", planning.image_seed_column(F.col("doc_id").cast("string"), F.lit(1234)).cast("string").alias("seed"))
 
 
-@query()
+def u_sql(*key: str) -> str:
+    """The draw that planning.drawn gives under seed 1234."""
+    return f"CAST('0x' || md5('1234:' || {" || ':' || ".join(key)})[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+def step_sql(key: str) -> str:
+    """The label of the step of augmentation number i, with its parameters drawn under a key."""
+    o = planning.Options()
+    pick = lambda name, what, values: f"'{name}({what}=' || [{', '.join(repr(str(v)) for v in values)}][CAST(floor({u_sql(key, repr(name), repr(what))} * {len(values)}) AS INT) + 1] || ')'"
+    axes = " || ',".join([""] + [f"{a}=' || printf('%.4f', {1 - getattr(o, a)}::DOUBLE + {2 * getattr(o, a)}::DOUBLE * {u_sql(key, repr('jitter'), repr(a))})" for a in planning.AXES])[len(" || ',") :]
+    cases = [pick("jpeg", "quality", o.quality), pick("blur", "sigma", o.blur_sigma), pick("resize", "scale", o.scale), pick("noise", "sigma", o.noise_sigma), f"'jitter({axes} || ')'", pick("crop", "fraction", o.fraction)]
+    return "CASE i " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)) + " END"
+
+
+STEMS = "(SELECT CAST(doc_id AS VARCHAR) AS stem FROM documents)"
+NAMES_SQL = "(SELECT unnest(range(6)) AS i, unnest(['jpeg', 'blur', 'resize', 'noise', 'jitter', 'crop']) AS name)"
+TRIED = f"(SELECT stem, t, list(i ORDER BY u, i)[1:any_value(2 + CAST(floor({u_sql('stem', chr(39) + 'try' + chr(39) + ' || CAST(t AS VARCHAR)', repr('size'))} * 5) AS INT))] AS chosen FROM (SELECT stem, t, i, {u_sql('stem', chr(39) + 'try' + chr(39) + ' || CAST(t AS VARCHAR)', 'name')} AS u FROM {STEMS}, (SELECT unnest(range(16)) AS t), {NAMES_SQL}) GROUP BY stem, t)"
+CHAINS = f"(SELECT stem, CAST(row_number() OVER (PARTITION BY stem ORDER BY n > 1, t) AS INT) + 6 AS idx, chosen FROM (SELECT *, row_number() OVER (PARTITION BY stem, list_sort(chosen) ORDER BY t) AS n FROM {TRIED}))"
+ORDERS = f"(SELECT stem, idx, unnest(chosen) AS i, unnest(range(len(chosen))) AS place FROM (SELECT * FROM {CHAINS} WHERE idx <= 9 UNION ALL SELECT stem, i + 1 AS idx, [i] AS chosen FROM {STEMS}, {NAMES_SQL}))"
+
+
+@query(f"SELECT stem, CAST(idx AS INT) AS idx, string_agg(label, ' -> ' ORDER BY place) AS plan FROM (SELECT stem, idx, place, {step_sql('stem || chr(58) || CAST(idx AS VARCHAR)')} AS label FROM {ORDERS}) GROUP BY stem, idx")
 def augmentation_plans(spark, d):
     stems = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
     return planning.plans(stems).select("stem", "idx", fn.plan_label(F.col("steps")).alias("plan"))
 
 
-@query()
+ONLINE = f"(SELECT stem, {u_sql('stem', repr('kind'))} AS u, CAST(floor({u_sql('stem', repr('one'))} * 6) AS INT) AS one, [{', '.join(map(str, planning.subsets(2, 6)))}][CAST(floor({u_sql('stem', repr('subset'))} * {len(planning.subsets(2, 6))}) AS INT) + 1] AS mask FROM {STEMS})"
+
+
+@query(f"SELECT stem, coalesce(string_agg(label, ' -> ' ORDER BY place) FILTER (WHERE label IS NOT NULL), 'identity') AS plan FROM (SELECT stem, CASE WHEN u < 0.1 THEN NULL WHEN u < 0.5 AND i <> one THEN NULL WHEN u >= 0.5 AND (mask >> i) & 1 = 0 THEN NULL ELSE {step_sql('stem')} END AS label, {u_sql('stem', repr('order'), 'name')} AS place FROM {ONLINE}, {NAMES_SQL}) GROUP BY stem")
 def online_plans(spark, d):
     stems = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
     return planning.online_plans(stems).select("stem", fn.plan_label(F.col("steps")).alias("plan"))
 
 
-@query()
+GRID = "(VALUES " + ", ".join(f"({i}, '{a}', '{fn_label}')" for i, (a, fn_label) in enumerate((a, "identity" if a == "none" else "" if p.get("random") else a + "(" + ",".join(f"{k}={x}" for k, x in p.items()) + ")") for a, _, p in planning.round_grid())) + ") g(round, augment, label)"
+
+
+@query(f"SELECT stem, CAST(round AS INT) AS round, CASE WHEN label = '' THEN {step_sql('stem').replace('CASE i', 'CASE 4')} ELSE label END AS label FROM {STEMS}, {GRID}")
+def grid_rounds(spark, d):
+    """Images under every round of the grid, with their steps."""
+    stems = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
+    steps = planning.round_steps(stems, planning.round_grid_frame(spark))
+    return steps.select("stem", "round", fn.plan_label(F.col("steps")).alias("label"))
+
+
+def crop_u(*key: str) -> str:
+    return u_sql("src", *key).replace("1234:", "1:")
+
+
+CROPS = f"(SELECT DISTINCT path AS name, path || '|' || CAST(width * 40 AS VARCHAR) || '|' || CAST(height * 200 AS VARCHAR) AS src, width * 40 AS w, height * 200 AS h FROM {DIMS})"
+TARGETS = f"(SELECT src, name, w, h, t, CAST(greatest(1, round_even(tw + z * cos(a) * 8.0, 0)) AS INT) AS tw, CAST(greatest(1, round_even(th + z * sin(a) * 8.0, 0)) AS INT) AS th FROM (SELECT src, name, w, h, t, [1024, 512, 640][k] AS tw, [768, 512, 1280][k] AS th, sqrt(-2.0::DOUBLE * ln(1 - {crop_u('CAST(t AS VARCHAR)', repr('size'))})) AS z, {crop_u('CAST(t AS VARCHAR)', repr('angle'))} * 2 * pi() AS a FROM (SELECT *, CAST(floor({crop_u('CAST(t AS VARCHAR)', repr('dims'))} * 3) AS INT) + 1 AS k FROM {CROPS}, (SELECT unnest(range(21)) AS t))))"
+COVERS = f"(SELECT *, least(w::DOUBLE / h / (tw::DOUBLE / th), (tw::DOUBLE / th) / (w::DOUBLE / h)) AS plain, CASE WHEN tw = th THEN -1.0::DOUBLE ELSE least(w::DOUBLE / h / (th::DOUBLE / tw), (th::DOUBLE / tw) / (w::DOUBLE / h)) END AS turned FROM {TARGETS})"
+TURNS = f"(SELECT *, CASE WHEN turn THEN turned ELSE plain END AS most FROM (SELECT *, CASE WHEN least(plain, turned) >= 0.5 THEN {crop_u('CAST(t AS VARCHAR)', repr('turn'))} >= 0.5 ELSE turned > plain END AS turn FROM {COVERS}))"
+BEST = f"(SELECT * FROM (SELECT *, most >= 0.5 AS feasible, CASE WHEN most >= 0.5 THEN 0.5::DOUBLE + (most - 0.5) * {crop_u('CAST(t AS VARCHAR)', repr('cover'))} ELSE most END AS cover FROM {TURNS}) QUALIFY row_number() OVER (PARTITION BY src, w, h ORDER BY feasible DESC, CASE WHEN feasible THEN t ELSE -cover END, t) = 1)"
+BOXED = f"(SELECT *, CAST(least(w, greatest(1, round_even(sqrt(cover * w * h * a), 0))) AS INT) AS cw FROM (SELECT *, CASE WHEN turn THEN th::DOUBLE / tw ELSE tw::DOUBLE / th END AS a FROM {BEST}))"
+
+
+@query(f"SELECT name AS src, w AS width, h AS height, tw, th, (w - cw) // 2 AS l, (h - ch) // 2 AS t, (w - cw) // 2 + cw AS r, (h - ch) // 2 + ch AS b, CASE WHEN turn THEN [90, 270][CAST(floor({crop_u(repr('rotation'))} * 2) AS INT) + 1] END AS rotation, turn AS transpose, cover, feasible, CASE WHEN feasible THEN tries ELSE 20 END AS resamples FROM (SELECT * EXCLUDE (t), CAST(t AS INT) AS tries, CAST(least(h, greatest(1, round_even(cw / a, 0))) AS INT) AS ch FROM {BOXED})", "cover")
 def crop_jobs(spark, d):
-    rows = headers(spark, d).select(F.col("path").alias("src"), (F.col("width") * 40).alias("width"), (F.col("height") * 200).alias("height"))
-    return planning.crop_jobs(rows, [(1024, 768), (512, 512), (640, 1280)], seed=1, sigma=8.0)
+    rows = headers(spark, d).select(F.col("path").alias("src"), (F.col("width") * 40).alias("width"), (F.col("height") * 200).alias("height")).distinct()
+    jobs = planning.crop_jobs(rows.withColumn("src", F.concat_ws("|", "src", F.col("width").cast("string"), F.col("height").cast("string"))), [(1024, 768), (512, 512), (640, 1280)], seed=1, sigma=8.0)
+    size = F.split("src", r"\|")
+    return jobs.select(size[0].alias("src"), size[1].cast("int").alias("width"), size[2].cast("int").alias("height"), F.col("target.w").alias("tw"), F.col("target.h").alias("th"), "box.l", "box.t", "box.r", "box.b", "rotation", "transpose", "cover", "feasible", "resamples")
 
 
 @query()

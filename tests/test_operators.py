@@ -1,6 +1,6 @@
 """Plans, pixels, headers, leaks, samples, sources and streams on small inputs."""
 
-import random
+
 import struct
 
 import numpy as np
@@ -18,10 +18,23 @@ def test_plans_depend_on_the_name_alone(spark):
     got = {(r.stem, r.idx): [(s.name, s.params) for s in r.steps] for r in planning.plans(stems.repartition(2)).collect()}
     assert len(got) == 18
     for stem in "ab":
-        for i, steps in planning.offline_plans(stem, 1234, planning.Options()):
-            assert got[stem, i] == [(n, {k: str(v) for k, v in p.items()}) for n, p in steps]
+        assert [[n for n, _ in got[stem, i + 1]] for i in range(6)] == [[a] for a in planning.AUGMENTS]
         chains = [frozenset(n for n, _ in got[stem, i]) for i in (7, 8, 9)]
         assert len(set(chains)) == 3 and all(2 <= len(c) <= 6 for c in chains)
+        assert all(float(p["quality"]) in (90, 70, 50, 30) for steps in (got[stem, i] for i in range(1, 10)) for n, p in steps if n == "jpeg")
+    only = planning.plans(stems, o=planning.Options(least=6, most=6)).where("idx > 6").collect()
+    assert len(only) == 6 and all(len(r.steps) == 6 for r in only)  # there is one subset: chains repeat it
+
+
+def test_online_plans_mix_as_asked(spark):
+    stems = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("stem"))
+    sizes = [len(r.steps) for r in planning.online_plans(stems).collect()]
+    assert 230 < sizes.count(0) < 370 and 1080 < sizes.count(1) < 1320 and max(sizes) == 6
+    assert min(len(r.steps) for r in planning.online_plans(stems, retry_identity=True).collect()) == 1
+    drawn = planning.draw_plans(stems.limit(5), 2).collect()
+    assert len(drawn) == 15 and all((r.variant == 0) == (not r.steps) for r in drawn)
+    one, two = ({r.stem: str(r.steps) for r in planning.epoch_plans(stems, e).collect()} for e in (1, 2))
+    assert one != two and one == {r.stem: str(r.steps) for r in planning.epoch_plans(stems.repartition(5), 1).collect()}
 
 
 def test_grid_and_options():
@@ -33,8 +46,6 @@ def test_grid_and_options():
         planning.options({"qualty": 1})
     with pytest.raises(ValueError):
         planning.selected_rounds(grid, ["blurr"])
-    u = [len(planning.online_plan(random.Random(i), planning.Options())) for i in range(2000)]
-    assert 120 < u.count(0) < 280 and 650 < u.count(1) < 950
 
 
 def test_seed_is_unsigned(spark):
