@@ -82,3 +82,29 @@ def received(weights: DataFrame, tokens: int, how: str = "mean") -> DataFrame:
 
     kind = weights.schema["image"].dataType.simpleString()
     return weights.select("image", "weights").mapInArrow(run, f"image {kind}, attn array<double>")
+
+
+def pair_rows(pairs: DataFrame, plans: DataFrame) -> DataFrame:
+    """stem, label, path, variant, steps: both images of every pair (stem, real, fake) under every variant (stem, variant, steps) of the pair."""
+    sides = F.array(F.struct(F.lit(0).alias("label"), F.col("real").alias("path")), F.struct(F.lit(1).alias("label"), F.col("fake").alias("path")))
+    return pairs.select("stem", F.inline(sides)).join(plans, "stem")
+
+
+def pair_summary(scored: DataFrame) -> DataFrame:
+    """The lines of the summary of scored images (stem, label, variant, plan, rows, cols, prob, attn): top patch, attention on the border."""
+    cell = cells(scored.withColumn("image", F.struct("stem", "label", "variant")))
+    best = cell.groupBy("image").agg(F.max("score").alias("attn_max"), F.min_by("token", F.struct((-F.col("score")).alias("minus"), "token")).alias("top_token"))
+    edge = ring_mass(scored.withColumn("image", F.struct("stem", "label", "variant")))
+    told = scored.select(F.struct("stem", "label", "variant").alias("image"), "plan", "rows", "cols", "prob").join(best, "image").join(edge, "image")
+    show = lambda c, n: F.format_string(f"%.{n}f", F.col(c))
+    return told.select("image.*", "plan", F.col("rows").alias("grid_h"), F.col("cols").alias("grid_w"), show("prob", 6).alias("p_ai"), show("attn_max", 6).alias("attn_max"), "top_token", F.floor(F.col("top_token") / F.col("cols")).cast("int").alias("top_row"), (F.col("top_token") % F.col("cols")).alias("top_col"), show("mass", 4).alias("border_mass"), show("share", 4).alias("border_share"))
+
+
+def pair_stats(summary: DataFrame) -> DataFrame:
+    """label, variants, p_ai, border_mass and border_share: means over the lines of a summary."""
+    return summary.groupBy("label").agg(F.count("*").alias("variants"), *[F.avg(F.col(c).cast("double")).alias(c) for c in ("p_ai", "border_mass", "border_share")])
+
+
+def matching(files: DataFrame, part: str) -> DataFrame:
+    """Files whose name holds a text; an empty text leaves all."""
+    return files.where(F.contains("name", F.lit(part))) if part else files

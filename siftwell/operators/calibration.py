@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket_of
+from .evaluation import class_counts, confusion, metrics
 
 
 def histogram(predictions: DataFrame, buckets: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -60,3 +61,21 @@ def read_deployed(spark: SparkSession, path: str) -> DataFrame:
 def deployed_json(calibration: DataFrame) -> str:
     rows = [r.asDict() for r in calibration.orderBy("bucket").select("predicted_label", "confidence").collect()]
     return json.dumps({"num_buckets": len(rows), "table": rows}, indent=2)
+
+
+def seeded_rounds(images: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """images under each of so many rounds: round (1 and on) and its seed (seed + round - 1). Rounds are few and broadcast."""
+    numbers = images.sparkSession.range(1, rounds + 1).select(F.col("id").cast("int").alias("round"), (F.col("id") + (seed - 1)).alias("seed"))
+    return images.crossJoin(F.broadcast(numbers))
+
+
+def round_tables(predictions: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The cells, rates and class sizes of every round of predictions (round, label, prob, pred), and its histogram, in one pass each."""
+    cells = metrics(confusion(predictions, ("round",))).join(class_counts(predictions, ("round",)), "round")
+    return cells, histogram(predictions, buckets, ("round",))
+
+
+def demo(score: float, calibration: DataFrame, buckets: int) -> dict:
+    """label and confidence of one score by a table."""
+    found = lookup(calibration.sparkSession.createDataFrame([(float(score),)], "prob double"), calibration, buckets).first()
+    return {"prob": float(score), "label": found["predicted_label"], "confidence": found["confidence"]}

@@ -135,3 +135,70 @@ def next_turns(turns: DataFrame) -> DataFrame:
     u = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return u.join(a, ["conv_id", "turn"])
+
+
+def caption_sections(records: DataFrame) -> DataFrame:
+    """image_id and sections: the KEY: value lines of each analysis as a map; of a repeated key the last line counts."""
+    lines = F.filter(F.split(F.coalesce("analysis", F.lit("")), r"\n"), lambda x: F.regexp_like(x, F.lit(r"\A\s*[A-Za-z][A-Za-z0-9 _/-]*:")))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"\A([^:]*):", 1)).alias("key"), F.trim(F.regexp_extract(x, r"\A[^:]*:(.*)", 1)).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return records.select("image_id", F.map_from_entries(last).alias("sections"))
+
+
+def messages(images: DataFrame, prompt: str, question: str) -> DataFrame:
+    """image_id and the chat payload (JSON) of rows (image_id, url: of the image, inline or not)."""
+    system = F.struct(F.lit("system").alias("role"), F.lit(prompt).alias("content"))
+    user = F.struct(F.lit("user").alias("role"), F.to_json(F.array(F.to_json(F.struct(F.lit("text").alias("type"), F.lit(question).alias("text"))), F.to_json(F.struct(F.lit("image_url").alias("type"), F.struct(F.col("url")).alias("image_url"))))).alias("content"))
+    return images.select("image_id", F.to_json(F.array(system, user)).alias("messages"))
+
+
+def called(requests: DataFrame, build, attempts: int = 3) -> DataFrame:
+    """image_id, raw_output, attempts, error of requests (image_id, messages). build gives, once for each task, a client: a function from messages to an answer.
+
+    A failing call is tried again; a request whose last try fails is a row with the error.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        client = build()
+        for batch in batches:
+            rows = []
+            for image_id, message in zip(batch.column("image_id").to_pylist(), batch.column("messages").to_pylist(), strict=True):
+                for n in range(1, attempts + 1):
+                    try:
+                        rows.append((image_id, client(message), n, None))
+                        break
+                    except Exception as e:  # the client's failures are rows
+                        if n == attempts:
+                            rows.append((image_id, None, n, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], names=["image_id", "raw_output", "attempts", "error"])
+
+    return requests.select("image_id", "messages").mapInArrow(run, "image_id string, raw_output string, attempts int, error string")
+
+
+def out_dir(prefix: str, alias: str) -> str:
+    return f"{prefix}_detactify_{alias}"
+
+
+def title(text: str, width: int = 100) -> str:
+    """A section's title between two lines."""
+    return "\n".join(["", "=" * width, text, "=" * width])
+
+
+def counter_lines(counts: dict[str, int], top: int = 10) -> str:
+    """name: n (share), the most frequent first."""
+    total = max(1, sum(counts.values()))
+    ordered = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:top]
+    return "\n".join(f"{k}: {n} ({n / total:.1%})" for k, n in ordered)
+
+
+def grid_text(cells: list[dict], current: tuple[float, float], pool: tuple[float, float]) -> str:
+    """A table of images by tol (rows) and max_share (columns): * marks the current setting, + those outside of the pool."""
+    tols, shares = sorted({c["tol"] for c in cells}), sorted({c["max_share"] for c in cells})
+    found = {(c["tol"], c["max_share"]): c["images"] for c in cells}
+
+    def shown(tol: float, share: float) -> str:
+        mark = "*" if (tol, share) == current else "+" if tol < pool[0] or share > pool[1] else ""
+        return f"{found.get((tol, share), 0)}{mark}".rjust(10)
+
+    return "\n".join(["tol".rjust(6) + "".join(f"{s:.1%}".rjust(10) for s in shares), *[f"{t:.2f}".rjust(6) + "".join(shown(t, s) for s in shares) for t in tols]])

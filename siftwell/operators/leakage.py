@@ -181,3 +181,54 @@ def cache_split(items: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def sorted_removals(flags: DataFrame) -> DataFrame:
+    """Flagged rows, most similar first; of equal ones by name."""
+    return flags.orderBy(F.desc("cosine_sim"), "class", "train_image")
+
+
+def removal_lines(flags: DataFrame, splits: tuple[str, ...]) -> DataFrame:
+    """What the file of removals holds, as text: a column for the best of each split."""
+    show = lambda c: F.format_string("%.6f", F.col(c)).alias(c)
+    return sorted_removals(flags).select("class", "train_image", show("cosine_sim"), "matched_image", "matched_split", *[show(f"best_{s}") for s in splits])
+
+
+def guarded_deletes(flags: DataFrame, folder: str, unsafe: bool = False) -> DataFrame:
+    """path and status of the files that flags name under a folder whose name must say "toremove", unless unsafe. Nothing is deleted: whoever runs it decides.
+
+    Names that would leave the folder are refused.
+    """
+    if "toremove" not in folder.rstrip("/").rpartition("/")[2] and not unsafe:
+        raise ValueError(f"{folder} isn't marked as one to remove from")
+    outside = F.startswith("train_image", F.lit("/")) | F.array_contains(F.split("train_image", "/"), "..")
+    return flags.select(F.concat(F.lit(folder.rstrip("/") + "/"), "train_image").alias("path"), F.when(outside, "refused").otherwise("to delete").alias("status"))
+
+
+def both_hashes(files: DataFrame, pixels) -> DataFrame:
+    """files (name, content) with byte_hash, pixel_hash and ok. pixels gives a picture's bytes, as (width, height, raw bytes), or fails.
+
+    The pixel hash tells the size and the pixels, whatever they are coded in; a content that can't be read has none.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for content in batch.column("content").to_pylist():
+                try:
+                    width, height, raw = pixels(content)
+                    out.append(hashlib.sha256(f"{width}x{height}:".encode() + bytes(raw)).hexdigest())
+                except Exception:  # unreadable
+                    out.append(None)
+            yield pa.RecordBatch.from_pydict({"name": batch.column("name"), "byte_hash": batch.column("byte_hash"), "pixel_hash": pa.array(out, pa.string()), "ok": pa.array([x is not None for x in out])})
+
+    rows = files.select("name", "content", content_hash(F.col("content")).alias("byte_hash"))
+    return rows.mapInArrow(run, "name string, byte_hash string, pixel_hash string, ok boolean")
+
+
+def hash_groups(items: DataFrame) -> DataFrame:
+    """pixel_hash and the names that have it, sorted."""
+    return items.where("pixel_hash is not null").groupBy("pixel_hash").agg(F.sort_array(F.collect_list("name")).alias("names"))

@@ -1,4 +1,4 @@
-"""Pixel operations on arrays of height x width x 3 bytes, and headers of encoded images. Codecs aren't part of this library."""
+"""Pixel operations on arrays of height x width x 3 bytes, and headers of encoded images. Files are raw pixels here: codecs aren't part of this library."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def noised(img: np.ndarray, sigma: float, seed: int, per_channel: bool = True) -> np.ndarray:
@@ -70,8 +71,47 @@ def jittered(img: np.ndarray, brightness: float, contrast: float, saturation: fl
     return step(a, np.rint(luma(a))[..., None], saturation).astype(np.uint8)
 
 
-def applied(img: np.ndarray, steps: list[tuple[str, dict]]) -> np.ndarray:
-    """A plan's steps in a row. jpeg needs a codec and is an error."""
+# The standard quantisation tables, for quality 50, of brightness and of colour.
+QUANTISERS = (
+    (16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99),
+    (17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99, *[99] * 32),
+)
+
+
+def quantisers(quality: float) -> list[np.ndarray]:
+    """The tables of a quality from 1 to 100."""
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    return [np.clip((np.array(t) * scale + 50) // 100, 1, 255).reshape(8, 8) for t in QUANTISERS]
+
+
+def compressed(img: np.ndarray, quality: float) -> np.ndarray:
+    """What a JPEG round trip leaves of an image: colour at half the resolution, and rounded coefficients of blocks of 8 x 8. Coding them loses nothing and is left out."""
+    h, w = img.shape[:2]
+    whole = np.pad(img, ((0, -h % 16), (0, -w % 16), (0, 0)), mode="edge").astype(np.float64)
+    red, green, blue = np.moveaxis(whole, -1, 0)
+    grey = luma(whole)
+    half = lambda c: c.reshape(c.shape[0] // 2, 2, c.shape[1] // 2, 2).mean((1, 3))
+    planes = [grey - 128, half((blue - grey) / 1.772), half((red - grey) / 1.402)]
+    k = np.arange(8)
+    basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 16) / 2
+    basis[0] /= np.sqrt(2)
+
+    def rounded(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
+        blocks = plane.reshape(plane.shape[0] // 8, 8, plane.shape[1] // 8, 8).swapaxes(1, 2)
+        kept = np.rint(basis @ blocks @ basis.T / table) * table
+        return (basis.T @ kept @ basis).swapaxes(1, 2).reshape(plane.shape)
+
+    bright, colour = quantisers(quality)
+    y, cb, cr = (rounded(p, t) for p, t in zip(planes, (bright, colour, colour), strict=True))
+    cb, cr = (c.repeat(2, 0).repeat(2, 1) for c in (cb, cr))
+    y = y + 128
+    r, b = y + 1.402 * cr, y + 1.772 * cb
+    g = (y - 0.299 * r - 0.114 * b) / 0.587
+    return np.clip(np.rint(np.stack([r, g, b], -1)), 0, 255).astype(np.uint8)[:h, :w]
+
+
+def applied(img: np.ndarray, steps: list[tuple[str, dict]], resize_back: bool = False) -> np.ndarray:
+    """A plan's steps in a row; with resize_back, crops are scaled up to the size they came from."""
     for name, p in steps:
         q = {k: float(v) for k, v in p.items() if k != "seed"}
         if name == "noise":
@@ -83,12 +123,92 @@ def applied(img: np.ndarray, steps: list[tuple[str, dict]]) -> np.ndarray:
         elif name == "jitter":
             img = jittered(img, q["brightness"], q["contrast"], q["saturation"])
         elif name == "crop":
+            h, w = img.shape[:2]
             img = cropped(img, q["fraction"])
+            img = resized(img, w, h) if resize_back else img
+        elif name == "jpeg":
+            img = compressed(img, q["quality"])
         else:
             raise ValueError(f"{name} can't be applied here")
     return img
 
 
+# jobs -------------------------------------------------------------------------------------------------------------------
+_MADE = "file string, width int, height int, content binary, error string"
+_MADE_ARROW = pa.schema([("file", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("content", pa.binary()), ("error", pa.string())])
+
+
+def pixels_of(content: bytes, width: int, height: int) -> np.ndarray:
+    return np.frombuffer(content, np.uint8).reshape(height, width, 3)
+
+
+def _made(todo) -> DataFrame:
+    """Rows (content, width, height, outputs) mapped to files; outputs of a row are made by todo(img, output) one by one, and a failure is a row."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():  # one image at a time: its outputs are as large as it is
+                rows = []
+                for output in row["outputs"]:
+                    try:
+                        img = todo(pixels_of(row["content"], row["width"], row["height"]), output)
+                        rows.append({"file": output["file"], "width": img.shape[1], "height": img.shape[0], "content": np.ascontiguousarray(img).tobytes(), "error": None})
+                    except Exception as e:
+                        rows.append({"file": output["file"], "width": None, "height": None, "content": None, "error": f"{type(e).__name__}: {e}"})
+                yield pa.RecordBatch.from_pylist(rows, schema=_MADE_ARROW)
+
+    return run
+
+
+def _by_image(images: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
+    """images with all their outputs as one array: an image travels once, whatever is made of it."""
+    gathered = outputs.groupBy(key).agg(F.collect_list(F.struct(*[c for c in outputs.columns if c != key])).alias("outputs"))
+    return images.select(key, "content", "width", "height").join(gathered, key).select("content", "width", "height", "outputs")
+
+
+def _steps(output: dict) -> list[tuple[str, dict]]:
+    return [(s["name"], dict(s["params"])) for s in output["steps"]]
+
+
+def augmented(images: DataFrame, plans: DataFrame, existing: DataFrame | None = None, ext: str = ".png", resize_back: bool = False) -> DataFrame:
+    """file, width, height, content, error of every plan (stem, idx, steps) applied to images (stem, width, height, content: raw pixels).
+
+    Files are named <stem>_a<idx>; those that existing (file) has are left out, so that a broken run goes on where it ended.
+    """
+    named = plans.withColumn("file", F.format_string(f"%s_a%d{ext}", "stem", "idx")).select("stem", "file", "steps")
+    named = named if existing is None else named.join(existing.select("file"), "file", "left_anti")
+    return _by_image(images, named, "stem").mapInArrow(_made(lambda img, output: applied(img, _steps(output), resize_back)), _MADE)
+
+
+def converted(images: DataFrame, jobs: DataFrame, ext: str = ".png") -> DataFrame:
+    """file, width, height, content, error of crop jobs (src, box, rotation, size) applied to images (src, width, height, content): cut, turned, resized."""
+
+    def convert(img: np.ndarray, job: dict) -> np.ndarray:
+        box = job["box"]
+        part = img[box["t"] : box["b"], box["l"] : box["r"]]
+        return resized(np.rot90(part, (job["rotation"] or 0) // 90), job["size"]["w"], job["size"]["h"])
+
+    named = jobs.select("src", F.concat("src", F.lit(ext)).alias("file"), "box", "rotation", "size")
+    return _by_image(images, named, "src").mapInArrow(_made(convert), _MADE)
+
+
+def compared(image: DataFrame, steps: DataFrame) -> DataFrame:
+    """file, width, height, content, error of images under every round (planning.round_steps): one file <stem>_r<round> each."""
+    named = steps.select("stem", F.format_string("%s_r%02d", "stem", "round").alias("file"), "steps")
+    return _by_image(image, named, "stem").mapInArrow(_made(lambda img, output: applied(img, _steps(output))), _MADE)
+
+
+def denormalised(x: np.ndarray) -> np.ndarray:
+    """Bytes of values in -1..1."""
+    return np.clip(np.rint((np.asarray(x, np.float64) + 1) * 127.5), 0, 255).astype(np.uint8)
+
+
+def unpatched(rows: np.ndarray, high: int, wide: int, patch: int = 16, channels: int = 3) -> np.ndarray:
+    """The image of high x wide patches, each a row of patch x patch x channels numbers; further rows are padding."""
+    grid = np.asarray(rows)[: high * wide].reshape(high, wide, patch, patch, channels)
+    return grid.swapaxes(1, 2).reshape(high * patch, wide * patch, channels)
+
+
 # headers ----------------------------------------------------------------------------------------------------------------
 def header(data: bytes | None) -> tuple[int | None, int | None, str | None, str | None, str | None]:
     """(width, height, format, mode, error) from the first bytes of a file; an error leaves the others empty."""

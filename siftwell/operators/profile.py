@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.percentiles import PERCENTILES
-from ..functions.scalars import EXTENSION_FORMATS, aspect_bucket, long_bucket, measures, orientation
+from ..functions.scalars import EXTENSION_FORMATS, aspect_bucket, long_bucket, measures, orientation, patch_grid, scale_direction
 
 
 def dims_profile(headers: DataFrame, by: str = "split", percents=PERCENTILES) -> DataFrame:
@@ -104,3 +104,44 @@ def head_buckets(headers: DataFrame, coverage: float) -> DataFrame:
     """The first coverage of the buckets, one at least."""
     n = F.count("*").over(Window.partitionBy())
     return ranked_buckets(headers).withColumn("kept", F.col("rank") <= F.greatest(F.lit(1), F.ceil(coverage * n))).drop("before", "total")
+
+
+def scale_profile(resolutions: DataFrame, patch: int = 16, most: int = 256) -> DataFrame:
+    """width, height, n, rows, cols, tokens, scale and direction of a histogram (width, height, n): what a patch grid makes of each size."""
+    w, h = F.col("width"), F.col("height")
+    grid = patch_grid(w, h, patch, most)
+    rows = resolutions.select("width", "height", "n", grid.alias("grid")).select("width", "height", "n", "grid.rows", "grid.cols")
+    scale = F.sqrt(F.col("rows") * F.col("cols") * float(patch * patch) / (w * h))
+    return rows.withColumns({"tokens": F.col("rows") * F.col("cols"), "scale": scale, "direction": scale_direction(scale)})
+
+
+def scale_shares(profile: DataFrame) -> DataFrame:
+    """direction, images and share of a scale_profile."""
+    sums = profile.groupBy("direction").agg(F.sum("n").alias("images"))
+    return sums.withColumn("share", F.col("images") / F.sum("images").over(Window.partitionBy()))
+
+
+def common_grids(profile: DataFrame, k: int = 8) -> DataFrame:
+    """rows, cols, images and share of the k most common grids."""
+    sums = profile.groupBy("rows", "cols").agg(F.sum("n").alias("images"))
+    total = F.sum("images").over(Window.partitionBy())
+    return sums.withColumn("share", F.col("images") / total).orderBy(F.desc("images"), "rows", "cols").limit(k)
+
+
+def grid_is_maximal(w: Column, h: Column, rows: Column, cols: Column, patch: int = 16, most: int = 256) -> Column:
+    """Whether the grid fits and the next larger one, where the tighter side gains a patch, doesn't."""
+    beyond = F.least(rows * patch / h, cols * patch / w) * (1 + 1e-9) + 1e-12
+    count = lambda side: F.greatest(F.lit(1), F.ceil(side * beyond / patch))
+    return (rows * cols <= most) & (count(h) * count(w) > most)
+
+
+def dataset_info(df: DataFrame) -> DataFrame:
+    """name, type and nullable of every column, nested ones by their paths."""
+
+    def walk(kind, path: str, nullable: bool):
+        yield path, kind.simpleString(), nullable
+        for f in getattr(kind, "fields", []):
+            yield from walk(f.dataType, f"{path}.{f.name}", f.nullable)
+
+    rows = [x for f in df.schema.fields for x in walk(f.dataType, f.name, f.nullable)]
+    return df.sparkSession.createDataFrame(rows, "name string, type string, nullable boolean")
