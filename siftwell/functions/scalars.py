@@ -56,7 +56,7 @@ def sniffed_extension(content: Column) -> Column:
 
 
 def data_url(content: Column, mime: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+    return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(content), "\r\n", ""))  # without line breaks
 
 
 def picked_extension(url: Column, content_type: Column) -> Column:
@@ -68,6 +68,7 @@ def picked_extension(url: Column, content_type: Column) -> Column:
 
 # sizes ------------------------------------------------------------------------------------------------------------------
 def long_bucket(w: Column, h: Column) -> Column:
+    # The names of the buckets, here and below.
     n = F.greatest(w, h)
     return F.when(n < 512, "long<512").when(n < 1024, "512<=long<1024").when(n == 1024, "long=1024").when(n < 2048, "1024<long<2048").otherwise("long>=2048")
 
@@ -175,6 +176,7 @@ def without_thinking(text: Column) -> Column:
 
 
 def cleaned(text: Column) -> Column:
+    # Fixed value: a line that opens or closes a block of code.
     plain = F.regexp_replace(text, r"(?m)^\s*```[a-zA-Z0-9_-]*\s*$", "")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 

@@ -96,3 +96,9 @@ def chosen(rows: DataFrame, n: int, seed: int, farthest: bool = False) -> DataFr
 def manifest(rows: DataFrame) -> DataFrame:
     """The lines of the manifest, numbers as text."""
     return rows.select("stem", "width", "height", F.format_string("%.6f", "share").alias("ref_share"), F.format_string("%.4f", "radius").alias("radius"), F.lit("planned").alias("status"))
+
+
+def pooled(images: DataFrame, shares: DataFrame, max_share: float) -> DataFrame:
+    """images with pooled: whether at most max_share of the reference lies near. Told once for each distinct resolution (shares of one tolerance) and joined back."""
+    flags = shares.select("width", "height", (F.col("share") <= max_share).alias("pooled"))
+    return images.join(flags, ["width", "height"], "left").na.fill(False, ["pooled"])

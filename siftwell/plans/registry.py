@@ -737,3 +737,179 @@ def score_embeddings(spark, d):
     return scoring.scored(rows, scoring.logistic_baseline(rows.where(learned)))
 
 
+
+
+# smaller operators ------------------------------------------------------------------------------------------------------
+@query(f"SELECT path, CAST(r AS INT) AS round, CAST(41 + r AS BIGINT) AS seed FROM {PRED}, (SELECT unnest([1, 2, 3]) AS r)")
+def rounds_seed(spark, d):
+    return calibration.seeded_rounds(predictions(spark, d).select("path"), 3, 42)
+
+
+ROUND = f"(SELECT *, CAST(variant AS INT) AS round FROM {PRED})"
+
+
+@query(f"SELECT round, {CELLS}, count(*) FILTER (WHERE label = 0) AS real, count(*) FILTER (WHERE label = 1) AS ai_gen, count(*) AS total FROM {ROUND} GROUP BY round")
+def calibration_round(spark, d):
+    rows = evaluation.classify(predictions(spark, d)).withColumn("round", F.col("variant").cast("int"))
+    return calibration.round_tables(rows, K)[0].drop(*NAMES.split())
+
+
+@query(f"SELECT i.round, i.idx, coalesce(count_real, 0) AS count_real, coalesce(count_aigen, 0) AS count_aigen FROM (SELECT round, idx FROM (SELECT DISTINCT round FROM {ROUND}), (SELECT CAST(unnest(range({K})) AS INT) AS idx)) i LEFT JOIN (SELECT round, CAST(least(floor(prob * {K}), {K - 1}) AS INT) AS idx, count(*) FILTER (WHERE label = 0) AS count_real, count(*) FILTER (WHERE label = 1) AS count_aigen FROM {ROUND} GROUP BY 1, 2) c ON c.round = i.round AND c.idx = i.idx")
+def calibration_round_histogram(spark, d):
+    rows = evaluation.classify(predictions(spark, d)).withColumn("round", F.col("variant").cast("int"))
+    return calibration.round_tables(rows, K)[1]
+
+
+@query(f"SELECT batch, CAST(sum(n) OVER w AS BIGINT) AS n, sum(correct) OVER w / sum(n) OVER w AS accuracy FROM (SELECT CAST(variant AS INT) AS batch, count(*) AS n, count(*) FILTER (WHERE pred = label) AS correct FROM {PRED} GROUP BY 1) WINDOW w AS (ORDER BY batch ROWS UNBOUNDED PRECEDING)", "accuracy")
+def running_accuracy(spark, d):
+    return evaluation.running_accuracy(evaluation.classify(predictions(spark, d)).withColumn("batch", F.col("variant").cast("int")))
+
+
+@query(f"SELECT augment, variant, total, CAST(variant AS DOUBLE) * 2 AS seconds, total / (CAST(variant AS DOUBLE) * 2) AS images_per_second FROM {ROUNDS}", "seconds images_per_second")
+def round_throughput(spark, d):
+    rounds = evaluation.round_results(evaluation.classify(predictions(spark, d)))
+    seconds = predictions(spark, d).select("augment", "variant").distinct().withColumn("seconds", F.col("variant").cast("double") * 2)
+    return evaluation.with_throughput(rounds, seconds).select("augment", "variant", "total", "seconds", "images_per_second")
+
+
+@query(f"SELECT class, train_image, printf('%.6f', cosine_sim) AS cosine_sim, matched_image, matched_split, printf('%.6f', best_val) AS best_val, printf('%.6f', best_test) AS best_test FROM {NEAR} WHERE cosine_sim > {THRESHOLD}")
+def removed_lines(spark, d):
+    return leakage.removal_lines(leakage.flagged(near(spark, d), THRESHOLD), ("val", "test"))
+
+
+@query(f"SELECT '/data/toremove/' || train_image AS path, 'to delete' AS status FROM {NEAR} WHERE cosine_sim > {THRESHOLD}")
+def delete_guarded(spark, d):
+    return leakage.guarded_deletes(leakage.flagged(near(spark, d), THRESHOLD), "/data/toremove")
+
+
+@query(f"SELECT pixel_hash, array_to_string(list_sort(list(name)), ',') AS names FROM {ITEMS} WHERE pixel_hash IS NOT NULL GROUP BY pixel_hash")
+def hash_dir(spark, d):
+    return leakage.hash_groups(items(spark, d)).select("pixel_hash", F.array_join("names", ",").alias("names"))
+
+
+@query(f"SELECT i.stem, i.width, i.height, s.share <= 0.01 AS pooled FROM {IMAGES} i JOIN {SHARE} s ON s.width = i.width AND s.height = i.height AND s.tol = 0.1")
+def pool_prefilter(spark, d):
+    c, ref = candidates(spark, d)
+    shares = resolution.reference_shares(c, ref, (0.1,))
+    return resolution.pooled(images(spark, d)[0].select("stem", "width", "height"), shares, 0.01).select("stem", "width", "height", "pooled")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS image_id FROM conversations WHERE conv_id % 4 IN (0, 1) AND len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) >= 20")
+def filter_usable_status(spark, d):
+    return etl.usable(etl.caption_records(raw_outputs(spark, d))).select("image_id")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS image_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def filter_existing_output(spark, d):
+    made = t(spark, d, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("name"))
+    return etl.without_output(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_id")), made)
+
+
+NAMED = "(SELECT source || '/' || lang || '_' || CAST(doc_id AS VARCHAR) || CASE WHEN lang = 'en' THEN '.PNG' WHEN lang = 'de' THEN '_a1.tar.gz' ELSE '' END AS path, lang, CAST(doc_id AS VARCHAR) AS id FROM documents)"
+
+
+def named(spark, d) -> DataFrame:
+    ext = F.when(F.col("lang") == "en", ".PNG").when(F.col("lang") == "de", "_a1.tar.gz").otherwise("")
+    return t(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("_"), F.col("doc_id").cast("string"), ext).alias("path"))
+
+
+@query(f"SELECT path, lang || '_' || id || CASE WHEN lang = 'de' THEN '_a1.tar' ELSE '' END AS stem, CASE lang WHEN 'en' THEN '.PNG' WHEN 'de' THEN '.gz' ELSE '' END AS suffix, lang || '_' || id || CASE WHEN lang = 'de' THEN '_a1.tar' ELSE '' END AS source_stem FROM {NAMED}")
+def stems(spark, d):
+    p = named(spark, d)
+    return p.select("path", fn.stem(F.col("path")).alias("stem"), fn.suffix(F.col("path")).alias("suffix"), fn.strip_augmented(fn.stem(F.col("path"))).alias("source_stem"))
+
+
+@query(f"SELECT path FROM {NAMED} WHERE contains(path, 'en_1')")
+def filter_match(spark, d):
+    return attention.matching(named(spark, d).withColumn("name", F.col("path")), "en_1").select("path")
+
+
+@query(f"SELECT path, 'r' || CAST(height AS VARCHAR) || '_' || CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR) || '_1_' || path AS name FROM {DIMS}")
+def sample_name(spark, d):
+    h = headers(spark, d)
+    return h.select("path", fn.sample_name(F.col("height"), F.col("width"), F.col("height"), F.lit(1), F.col("path")).alias("name"))
+
+
+@query("SELECT doc_id, 'data:image/jpeg;base64,' || base64(encode(text)) AS url FROM documents")
+def data_url(spark, d):
+    return t(spark, d, "documents").select("doc_id", fn.data_url(F.encode("text", "utf-8")).alias("url"))
+
+
+SIZED = "(SELECT o_orderkey, CAST(1 + o_orderkey * 37 % 4001 AS INT) AS w, CAST(1 + o_orderkey * 91 % 3001 AS INT) AS h FROM orders)"
+
+
+def sized(spark, d) -> DataFrame:
+    return t(spark, d, "orders").select("o_orderkey", (1 + F.col("o_orderkey") * 37 % 4001).cast("int").alias("w"), (1 + F.col("o_orderkey") * 91 % 3001).cast("int").alias("h"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN s < 1 THEN greatest(1, CAST(floor(w * s) AS INT)) ELSE w END AS width, CASE WHEN s < 1 THEN greatest(1, CAST(floor(h * s) AS INT)) ELSE h END AS height, CASE WHEN s < 0.9995 THEN 'down' ELSE 'same' END AS direction FROM (SELECT *, least(1.0::DOUBLE, sqrt(500000 / (w::DOUBLE * h))) AS s FROM {SIZED})")
+def downscale_to_max_pixels(spark, d):
+    s = F.least(F.lit(1.0), F.sqrt(500000 / (F.col("w").cast("double") * F.col("h"))))
+    rows = sized(spark, d).select("o_orderkey", fn.downscaled(F.col("w"), F.col("h"), 500000).alias("to"), fn.scale_direction(s).alias("direction"))
+    return rows.select("o_orderkey", "to.width", "to.height", "direction")
+
+
+@query(f"SELECT o_orderkey, w AS width, h AS height FROM {SIZED}")
+def parse_size(spark, d):
+    text = F.concat(F.col("w").cast("string"), F.lit("X"), F.col("h").cast("string"))
+    return sized(spark, d).select("o_orderkey", fn.parsed_size(text).alias("s")).select("o_orderkey", "s.width", "s.height")
+
+
+@query(f"SELECT o_orderkey, least(w::DOUBLE / h / 1.5, 1.5 / (w::DOUBLE / h)) AS cover, 1 / (1 + exp(-(w - h) / 1000.0::DOUBLE)) AS score FROM {SIZED}", "cover score")
+def max_coverage(spark, d):
+    return sized(spark, d).select("o_orderkey", fn.max_coverage(F.col("w"), F.col("h"), F.lit(1.5)).alias("cover"), fn.sigmoid((F.col("w") - F.col("h")) / 1000.0).alias("score"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN ok THEN pw END AS width, CASE WHEN ok THEN ph END AS height FROM (SELECT *, least(pw, ph) >= 256 AS ok FROM (SELECT o_orderkey, CAST(floor(floor(w * s) / 32) * 32 AS INT) AS pw, CAST(floor(floor(h * s) / 32) * 32 AS INT) AS ph FROM (SELECT *, least(greatest(1.0::DOUBLE, 256::DOUBLE / least(w, h)), 2048::DOUBLE / greatest(w, h)) AS s FROM {SIZED})))")
+def record_size(spark, d):
+    size = fn.record_size(F.col("w").cast("string"), F.col("h").cast("string"))
+    return sized(spark, d).select("o_orderkey", size.alias("s")).select("o_orderkey", "s.width", "s.height")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS image_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations")
+def clean_text(spark, d):
+    return t(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("image_id"), fn.cleaned(F.col("text")).alias("text"))
+
+
+@query("SELECT stem, min(name) AS name, max(name) AS last FROM (SELECT source AS stem, source || '.' || CAST(doc_id AS VARCHAR) AS name FROM documents) GROUP BY stem")
+def scan_first_stem(spark, d):
+    rows = t(spark, d, "documents").select(F.col("source").alias("stem"), F.concat("source", F.lit("."), F.col("doc_id").cast("string")).alias("name"))
+    first = leakage.first_per_key(rows, ["stem"], ["name"])
+    return first.join(rows.groupBy("stem").agg(F.max("name").alias("last")), "stem")
+
+
+SCORED = f"(SELECT vec_id AS stem, CAST(label < 5 AS INT) AS label, CAST(label AS DOUBLE) / 10 AS prob FROM embeddings)"
+PAIRED = f"(SELECT s.stem, s.label, printf('%.6f', s.prob) AS p_ai, printf('%.6f', t.score) AS attn_max, CAST(t.token AS INT) AS top_token, printf('%.4f', m.mass) AS border_mass, printf('%.4f', m.share) AS border_share FROM {SCORED} s JOIN (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, token) AS n FROM {TOKENS}) t ON t.image = s.stem AND t.n = 1 JOIN (SELECT image, coalesce(sum(score) FILTER (WHERE ring = 0), 0) AS mass, avg(CASE WHEN ring = 0 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM {TOKENS} GROUP BY image) m ON m.image = s.stem)"
+
+
+def paired(spark, d) -> DataFrame:
+    scored = t(spark, d, "embeddings").select(F.col("vec_id").alias("stem"), (F.col("label") < 5).cast("int").alias("label"), F.lit(0).alias("variant"), F.lit("identity").alias("plan"), (F.col("label").cast("double") / 10).alias("prob"))
+    return attention.pair_summary(scored.join(grids(spark, d).withColumnRenamed("image", "stem"), "stem"))
+
+
+@query(f"SELECT * FROM {PAIRED}")
+def pair_summary(spark, d):
+    return paired(spark, d).select("stem", "label", "p_ai", "attn_max", "top_token", "border_mass", "border_share")
+
+
+@query(f"SELECT label, count(*) AS variants, avg(CAST(p_ai AS DOUBLE)) AS p_ai, avg(CAST(border_mass AS DOUBLE)) AS border_mass, avg(CAST(border_share AS DOUBLE)) AS border_share FROM {PAIRED} GROUP BY label", "p_ai border_mass border_share")
+def pair_summary_stats(spark, d):
+    return attention.pair_stats(paired(spark, d))
+
+
+@query(f"SELECT label, avg(mass) FILTER (WHERE layer = 1) AS \"1\", avg(mass) FILTER (WHERE layer = 2) AS \"2\" FROM (SELECT l_returnflag AS label, l_linenumber AS layer, l_discount AS mass FROM lineitem) GROUP BY label", '"1" "2"')
+def layer_table(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("label"), F.col("l_linenumber").alias("layer"), F.col("l_discount").cast("double").alias("mass"))
+    return attention.layer_table(rows, [1, 2])
+
+
+@query(f"SELECT count(*) AS jobs, count(*) FILTER (WHERE transpose) AS transposed, count(*) FILTER (WHERE resamples > 0) AS resampled, count(*) FILTER (WHERE NOT feasible) AS under_covered, min(cover) AS min_cover, max(cover) AS max_cover FROM ({ORACLE_SQL['crop_jobs']})", "min_cover max_cover")
+def job_summary(spark, d):
+    rows = headers(spark, d).select(F.concat_ws("|", "path", (F.col("width") * 40).cast("string"), (F.col("height") * 200).cast("string")).alias("src"), (F.col("width") * 40).alias("width"), (F.col("height") * 200).alias("height")).distinct()
+    return planning.job_summary(planning.crop_jobs(rows, [(1024, 768), (512, 512), (640, 1280)], seed=1, sigma=8.0)).drop("upscaled")
+
+
+@query("SELECT 'i' AS stem, CAST(max(doc_id) + 1 AS INT) AS next FROM documents WHERE doc_id >= 1")
+def next_indexed_path(spark, d):
+    names = t(spark, d, "documents").select(F.format_string("i_%06d.png", "doc_id").alias("name"))
+    return etl.next_index(names, "i").select(F.lit("i").alias("stem"), "next")
