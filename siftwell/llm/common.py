@@ -77,9 +77,15 @@ def _sweep() -> None:
             pass
 
 
-def buckets(spark: SparkSession) -> int:
-    """Parts that hashed work is dealt into: the session's shuffle partitions, which follow the size of the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Bytes of input, as Spark estimates them, for each part of hashed work.
+PART_BYTES = 32 << 20
+
+
+def buckets(df: DataFrame) -> int:
+    """Parts that hashed work over df is dealt into: as many as its bytes ask for, and the session's shuffle partitions at least."""
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // PART_BYTES)) if size < 1 << 55 else least  # larger ones stand for what Spark knows nothing of
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int, max_rows: int) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -197,13 +203,14 @@ def apart(spans: Column, covers: Column) -> Column:
 HOT_KEYS = 10_000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """rows joined with keyed (one row for each key; n is how many rows have it) on key, and without n.
 
-    Keys of more than 1/HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are broadcast, so that their rows stay
-    where they are; the others are joined by a shuffle in which no key is large.
+    Keys of more than 1/HOT_KEYS of all rows (total, the sum of n if it isn't given), of which there are fewer than
+    HOT_KEYS, are broadcast, so that their rows stay where they are; the others are joined by a shuffle in which no key is large.
     """
-    total = keyed.agg(F.sum(n)).first()[0] or 0
+    if total is None:
+        total = keyed.agg(F.sum(n)).first()[0] or 0
     is_hot = F.col(n) > max(1, total // HOT_KEYS)
     hot, added = keyed.where(is_hot), [c for c in keyed.columns if c not in (key, n)]
     marked = rows.join(F.broadcast(hot.select(key, F.struct(F.lit(1).alias("hot"), *added).alias("own_hot"))), key, "left")

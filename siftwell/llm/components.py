@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 
 def _contract(batches):
@@ -42,15 +42,17 @@ def components(links: DataFrame) -> DataFrame:
     linked to its smallest one, then its smaller ones likewise), which keeps components together and shortens paths; what a
     task holds is contracted on the way. It ends when a round changes nothing: the links are stars around the smallest ids.
     """
-    digest = lambda x: x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    digest = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     edges = cut(_contracted(links).distinct(), "links")
     was = digest(edges)
     while True:
+        # neighbours of hubs, which stars have, stay where they are
+        total = 2 * was[0]
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("b"), F.col("m").alias("a"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both, least, "a", "n", total=total).where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, "a", "n", total=total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("b"), F.col("m").alias("a"))
         edges = cut(_contracted(small).distinct(), "links")
         now = digest(edges)
         if now == was:

@@ -163,9 +163,8 @@ def _sum_block(over: int):
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = cut(rows.mapInArrow(_to_blocks(vocabulary, 4 * buckets(spark), block_bytes), _BLOCK), "token-blocks", free=True)
+    blocks = cut(rows.mapInArrow(_to_blocks(vocabulary, 4 * buckets(rows), block_bytes), _BLOCK), "token-blocks", free=True)
     asked = blocks.where("part is not null").select("block", "part", "data")
     answers = asked.groupBy("part").applyInArrow(_count_part(vocabulary), "block string, part int, data binary")
     own = blocks.where("part is null").drop("part")
