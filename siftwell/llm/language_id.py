@@ -27,8 +27,6 @@ from .common import chunks, free_name
 
 #: Labelled rows that the model is fitted on, for each language: all of them, or about this many by a hash of the id.
 ROWS_PER_LANGUAGE = 1500
-#: Trigrams that the model keeps, the most frequent of all languages first.
-TRIGRAMS = 40_000
 #: A language is a candidate for a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
 #: What a switch of language between two words costs, in nats.
@@ -128,8 +126,8 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_trigrams: int = TRIGRAMS) -> Model:
-    """A model from labelled rows (doc_id, text, lang). Fitting reads about rows_per_language rows of each language."""
+def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+    """A model from labelled rows (doc_id, text, lang): all trigrams of about rows_per_language rows of each language. What reaches the driver is bounded by the sample and the number of languages."""
     labelled = labelled.where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -138,8 +136,7 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_tri
     limit = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
     sample = labelled.where(share < limit[F.col("lang")]).select("text", "lang")
     counted = sample.mapInArrow(_count, "lang string, kind string, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    kept = counted.orderBy(F.col("kind").desc(), F.col("n").desc(), "lang", "item").limit(max_trigrams)
-    return Model(sorted(tuple(r) for r in kept.collect()))
+    return Model(sorted(tuple(r) for r in counted.collect()))  # all trigrams of a bounded sample
 
 
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:

@@ -50,6 +50,24 @@ def test_jaccard_components_of_groups_at_the_limit(spark, paired, block):
     assert [got[i] for i, _ in rows] == plain_components(rows)
 
 
+def test_jaccard_components_where_names_of_classes_collide(spark):
+    rng = random.Random(8)
+    rows = []
+    for size in (3, 8, 30, 60):
+        for _ in range(6):
+            base = [f"w{rng.randint(0, 10**6)}" for _ in range(size)]
+            rows += [(len(rows) + i, " ".join(edited(rng, base, s))) for i, s in enumerate([0, 0, 0.02, 0.05])]
+    rows += [(len(rows), None), (len(rows) + 1, "")]
+
+    def narrow(own):
+        name, other = jaccard_join.class_of(own)
+        return name % 5, other
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, name=narrow).collect()}
+    assert [got[i] for i, _ in rows] == plain_components(rows)
+
+
 def test_jaccard_edges(spark):
     rows = [(5, "A b c"), (2, "a B c"), (2, "a B c"), (None, "a b c"), (1, None), (3, ""), (4, "x"), (None, "lone words here"), (None, "lone words here")]
     df = spark.createDataFrame([(a, b, 1, "k") for a, b in rows], "doc_id long, text string, key int, part string")
@@ -125,6 +143,27 @@ def test_substrings_with_passages_of_any_offset(spark):
         assert all(want[k] == v for k, v in got.items()) and all(len(want[k].split(" ")) == len(t.split(" ")) for k, t in rows if k not in got)
 
 
+def test_substrings_whose_windows_collide_are_told_apart(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    passages = [[word() for _ in range(n)] for n in (25, 40, 60)]
+    rows = [(d, " ".join([word() for _ in range(15)] + rng.choice(passages) + [word() for _ in range(15)] + rng.choice(passages))) for d in range(40)]
+    asked = []
+
+    def narrow(words, seed, full=substring_dedup.window_hashes, used=spark.sparkContext.accumulator(0)):
+        h, more = full(words, seed)
+        used += 1 if seed else 0
+        return (h, more) if seed else (h % np.uint64(7), more % np.uint32(2))
+
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {r.doc_id: r.kept for r in substring_dedup.substring_dedup(df, True, hashes=narrow).collect() if r.kept is not None}
+        want = plain_substrings(rows)
+        assert got and all(want[k] == v for k, v in got.items())
+        asked.append(narrow.__defaults__[1].value)
+    assert asked[0] > 0 and asked[1] > asked[0]  # the hashes were changed
+
+
 def test_substring_edges(spark):
     w = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(5, w, 0), (5, w, 0), (None, w, 0), (1, "a " + w + " b", 0), (2, None, 0), (3, "", 0), (4, " ".join("z" * 50), 0)], "doc_id long, text string, part int")
@@ -149,6 +188,52 @@ def test_embeddings_recall_and_precision(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def plain_embeddings(rows):
+    """vec_id -> (n_links, component_id) by brute force."""
+    v = np.array([r[1] for r in rows])
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    link = (v @ v.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    component = np.array([r[0] for r in rows])
+    while True:
+        least = np.minimum(component, np.where(link, component[None, :], component.max()).min(1))
+        if (least == component).all():
+            return {r[0]: (int(n), int(c)) for r, n, c in zip(rows, link.sum(1), component, strict=True)}
+        component = least
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_links_and_components_of_groups_are_those_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    centres = rng.normal(size=(20, 64))
+    x = np.concatenate([c + rng.normal(size=(n, 64)) * np.linalg.norm(c) / 8 * 0.04 for c, n in zip(centres, [60, *[4] * 19], strict=True)]).astype(np.float32)
+    rows = [(i + 1, v.tolist(), i % 2) for i, v in enumerate(x)] + [(5000 + i, x[0].tolist(), 0) for i in range(20)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == plain_embeddings(rows)
+
+
+def test_recall_of_pairs_at_the_threshold_without_clusters(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.9801 * x + np.sqrt(1 - 0.9801**2) * y])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(both)]
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    found = got.where("n_links = 1").count() / len(rows)
+    assert got.where("n_links > 1").count() == 0 and found >= 0.97, found
+
+
+def test_vectors_that_share_their_id_are_not_one(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.0, 1.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_embedding_edges(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, -0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1), (6, [1.0, None], 1), (7, [1.0, 0.0], None), (None, [1.0, 0.0], 1), (8, [2.0, 0.01], 1), (9, [1.0, 0.0, 0.0], 1), (10, [1.0, 0.0], 2), (11, [], 1)]
