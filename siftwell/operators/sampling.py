@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import seeded_order
+from ..functions.scalars import seeded_order, seeded_uniform
+
+#: Slots that positions are dealt into.
+SLOTS = 4096
 
 
 def even_sample(df: DataFrame, by: list[str], order: str, sample: int) -> DataFrame:
@@ -61,11 +64,24 @@ def numbered(df: DataFrame, shard: str, row: str) -> DataFrame:
 def sample_joint(df: DataFrame, key: str, dims: DataFrame, seed: int) -> DataFrame:
     """width and height drawn with replacement from the rows of dims, for each row of df by its key.
 
-    dims is a histogram (width, height, n): the draw is a position among all its images, found by bucketed ranges.
+    dims is a histogram (width, height, n): the draw is a position among all its images. Ranges of positions are cut up into
+    slots, on which positions are joined.
     """
     order = Window.orderBy("width", "height")
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     ranges = dims.select("width", "height", (upto - F.col("n")).alias("first"), upto.alias("after"))
-    total = dims.agg(F.sum("n")).first()[0]
-    position = F.floor(F.conv(F.substring(seeded_order(seed, F.col(key)), 1, 13), 16, 10).cast("double") / float(1 << 52) * total)
-    return df.withColumn("__p", position).join(F.broadcast(ranges), (F.col("__p") >= F.col("first")) & (F.col("__p") < F.col("after"))).drop("__p", "first", "after")
+    total = dims.agg(F.sum("n")).first()[0] or 0
+    slot = max(1, total // SLOTS)
+    ranges = ranges.withColumn("__slot", F.explode(F.sequence(F.floor(F.col("first") / slot), F.floor((F.col("after") - 1) / slot))))
+    rows = df.withColumn("__p", F.floor(seeded_uniform(seed, F.col(key)) * total)).withColumn("__slot", F.floor(F.col("__p") / slot))
+    inside = (F.col("__p") >= F.col("first")) & (F.col("__p") < F.col("after"))
+    return rows.join(ranges, "__slot").where(inside).drop("__p", "__slot", "first", "after")
+
+
+def even_rows(df: DataFrame, path: str, sample: int) -> DataFrame:
+    """even_sample of all rows by their path, without gathering them: paths are numbered by folder and first letters of the name."""
+    rows = numbered(df.withColumn("__start", F.regexp_extract(path, r"\A(.*/)?.{0,3}", 0)), "__start", path)
+    n = df.count()
+    first = F.ceil(F.col("global_row") * sample / n) if n else F.lit(0)
+    hit = F.lit(n <= sample) | ((first < sample) & (F.floor(first * n / sample) == F.col("global_row")))
+    return rows.where(hit).drop("__start", "global_row")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.scalars import base_name, is_augmented, stem, suffix
-from ..operators.sampling import even_sample
+from ..functions.scalars import base_name, is_augmented, seeded_order, stem, suffix
+from ..operators.sampling import even_rows, numbered
 
 TRAINING = ("png", "jpg", "jpeg", "webp")
 PROFILED = ("png", "jpg", "jpeg", "webp", "bmp", "gif", "tif", "tiff")
@@ -58,7 +58,11 @@ def eligible(headers: DataFrame, least: int = 32) -> DataFrame:
 
 
 def sampled(files: DataFrame, sample: int) -> DataFrame:
-    return even_sample(files.withColumn("__one", F.lit(1)), ["__one"], "path", sample).drop("__one")
+    """Evenly spaced files in the order of their paths; all of them if there are no more. None at all is an error."""
+    found = even_rows(files, "path", sample)
+    if found.isEmpty():
+        raise ValueError("no images")
+    return found
 
 
 def scan_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -134,6 +138,35 @@ class ArrowShards(DataSource):
         return _ArrowReader(schema, self.options)
 
 
-def arrow_table(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+def arrow_table(spark: SparkSession, paths: list[str], schema: str, limit: int = 0) -> DataFrame:
+    """Rows of Arrow shards; with a limit that many at most, for a look."""
     spark.dataSource.register(ArrowShards)
-    return spark.read.format("arrow_shards").schema(schema).option("paths", ",".join(paths)).load()
+    rows = spark.read.format("arrow_shards").schema(schema).option("paths", ",".join(paths)).load()
+    return rows.limit(limit) if limit else rows
+
+
+def scan_tables(spark: SparkSession, folder: str, shards: list[str]) -> tuple[DataFrame, dict]:
+    """Rows without an error of the scan tables <shard>.csv under a folder, and what was left out: missing shards and rows with an error."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [s for s in shards if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{s}.csv"))]
+    rows = scan_csv(spark, [f"{folder}/{s}.csv" for s in there]) if there else spark.createDataFrame([], SCAN)
+    wrong = F.coalesce(F.trim("error"), F.lit("")) != ""
+    return rows.where(~wrong), {"missing": sorted(set(shards) - set(there)), "errors": rows.where(wrong).count()}
+
+
+def batches_of(files: DataFrame, size: int, seed: int | None = None) -> DataFrame:
+    """files with batch (0 and on) and place in it: in the order of their paths, or shuffled by a seed. The last batch may be smaller.
+
+    Files are numbered by ranges of what orders them, so that no task sorts all of them.
+    """
+    by = F.col("path") if seed is None else seeded_order(seed, F.col("path"))
+    start = F.regexp_extract("path", r"\A(.*/)?.{0,3}", 0) if seed is None else F.substring(by, 1, 3)
+    rows = numbered(files.withColumns({"__start": start, "__by": by}), "__start", "__by")
+    return rows.withColumns({"batch": F.floor(F.col("global_row") / size), "place": (F.col("global_row") % size).cast("int")}).drop("__start", "__by", "global_row")
+
+
+def train_and_val(spark: SparkSession, config: dict, size: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Batches of the training split, shuffled, and of the validation split in order."""
+    return batches_of(split_dataset(spark, config, "train"), size, seed), batches_of(split_dataset(spark, config, "val"), size)

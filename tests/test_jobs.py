@@ -241,3 +241,29 @@ def test_pairs_and_texts(spark):
     assert attention.matching(files, "b").count() == 1 and attention.matching(files, "").count() == 2
     hashed = leakage.both_hashes(spark.createDataFrame([("a", bytearray(b"1x")), ("b", bytearray(b"2x")), ("c", None)], "name string, content binary"), lambda c: (1, 1, bytes(c)[1:]))
     assert [r.names for r in leakage.hash_groups(hashed).collect()] == [["a", "b"]]
+
+
+def test_files_in_batches_and_samples(spark, tmp_path):
+    from siftwell.sources import readers
+
+    files = spark.createDataFrame([(f"d/{n}",) for n in ["a", "ab", "abc1", "abc2", *[f"x{i:02d}" for i in range(16)]]], "path string").repartition(5)
+    ordered = sorted(r.path for r in files.collect())
+    got = sorted((r.batch, r.place, r.path) for r in readers.batches_of(files, 6).collect())
+    assert [g[2] for g in got] == ordered and [g[:2] for g in got] == [(i // 6, i % 6) for i in range(20)]
+    mixed = [r.path for r in sorted(readers.batches_of(files, 6, 3).collect(), key=lambda r: (r.batch, r.place))]
+    assert sorted(mixed) == ordered and mixed != ordered
+    assert sorted(r.path for r in readers.sampled(files, 7).collect()) == [ordered[i * 20 // 7] for i in range(7)]
+    assert readers.sampled(files, 50).count() == 20
+    with pytest.raises(ValueError):
+        readers.sampled(files.limit(0), 3)
+    (tmp_path / "s1.csv").write_text("split,shard,row_group,row,stem,ext,width,height,format,nbytes,pooled,error\ntrain,s1,0,0,a,.png,5,6,PNG,9,1,\ntrain,s1,0,1,b,.png,,,,9,0,broken\n")
+    rows, left = readers.scan_tables(spark, f"file://{tmp_path}", ["s1", "s2"])
+    assert [r.stem for r in rows.collect()] == ["a"] and left == {"missing": ["s2"], "errors": 1}
+
+
+def test_configs_are_checked():
+    assert planning.validated(planning.Options()) == planning.Options()
+    for bad in ({"quality": (0,)}, {"least": 4, "most": 3}, {"none": 0.7, "single": 0.5}, {"brightness": 2.0}, {"scale": ()}):
+        with pytest.raises(ValueError):
+            planning.validated(planning.Options(**bad))
+    assert planning.run_name("base", {"run_name": "aug"}) == "aug" and planning.run_name("base", None) == "base"

@@ -71,7 +71,9 @@ def test_pixels():
     assert (pixels.jittered(flat, 1.0, 1.0, 1.0) == flat).all()
     assert pixels.applied(img, [("crop", {"fraction": "0.5"}), ("blur", {"sigma": "1.0"})]).shape == (20, 30, 3)
     with pytest.raises(ValueError):
-        pixels.applied(img, [("jpeg", {"quality": "50"})])
+        pixels.applied(img, [("sharpen", {"amount": "1"})])
+    assert pixels.applied(img, [("jpeg", {"quality": "50"})]).shape == img.shape
+    assert pixels.applied(img, [("crop", {"fraction": "0.5"})], resize_back=True).shape == img.shape
     dct = features.block_dct(flat[..., 0].astype(float))
     assert np.allclose(dct[:, 0, 0], 90 * 8) and np.allclose(dct.reshape(len(dct), -1)[:, 1:], 0)
 
