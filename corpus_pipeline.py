@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.llm.byte_bpe import byte_bpe_encode
-from siftwell.llm.common import columns, cut, free_name, table
+from siftwell.llm.common import columns, cut, done, free_name, table
 from siftwell.llm.decontamination import decontaminate
 from siftwell.llm.jaccard_join import jaccard_components
 from siftwell.llm.language_id import UND, fit, held_out, judge
@@ -44,10 +44,15 @@ def _identity(docs: DataFrame) -> tuple[str, str, DataFrame]:
     return own_id, key, docs.withColumns({own_id: number, key: F.xxhash64(number, F.col("text").cast("string"))})
 
 
-def _without(rows: DataFrame, own_id: str, key: str, gone: DataFrame) -> DataFrame:
-    """rows but for those whose id (a null one too) and key are among gone's first two columns."""
-    gone = gone.toDF("gone_id", "gone_key").distinct()
-    return rows.join(gone, rows[own_id].eqNullSafe(gone["gone_id"]) & (rows[key] == gone["gone_key"]), "left_anti")
+#: Documents up to which a list of them is broadcast (16 bytes each); a longer one is joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def _listed(rows: DataFrame, own_id: str, key: str, listed: DataFrame, how: str) -> DataFrame:
+    """rows whose id (a null one too) and key are among listed's first two columns (left_semi), or aren't (left_anti)."""
+    listed = listed.toDF("listed_id", "listed_key")
+    same = rows[own_id].eqNullSafe(listed["listed_id"]) & (rows[key] == listed["listed_key"])
+    return rows.join(F.broadcast(listed) if listed.count() <= BROADCAST_KEYS else listed, same, how)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +62,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     ship(spark)
     own_id, key, rows = _identity(docs)
-    gone = jaccard_components(docs).where("not kept").select("doc_id", "key")
-    rest = _without(rows, own_id, key, gone)
+    found = cut(jaccard_components(docs).select("doc_id", "key", "kept"), "pipeline-found")
+    gone = cut(found.where("not kept").select("doc_id", "key").distinct(), "pipeline-gone")
+    rest = _listed(rows, own_id, key, gone, "left_anti")
+    # texts travel only where rows repeat
+    repeated = cut(found.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "key"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return rest.select(columns(docs))
     nth = free_name(rest, "nth")
     first = F.row_number().over(Window.partitionBy(own_id, key).orderBy(key))
-    return rest.withColumn(nth, first).where(F.col(nth) == 1).select(columns(docs))
+    once = _listed(rest, own_id, key, repeated, "left_semi").withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
+    return _listed(rest, own_id, key, repeated, "left_anti").unionByName(once).select(columns(docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +80,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     own_id, key, rows = _identity(docs)
     hit = decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=(own_id, key)).where("n_hit > 0").select(own_id, key)
-    return _without(rows, own_id, key, hit).select(columns(docs))
+    return _listed(rows, own_id, key, cut(hit.distinct(), "pipeline-hit"), "left_anti").select(columns(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -101,5 +112,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last, docs = docs, cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done(last)
     return docs

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.session import ship
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,28 +51,41 @@ def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again, so that a lost executor never repeats what stands above.
 
     What was shuffled on the way is of no more use then: with free, collections of the driver's garbage let Spark delete it
-    at once. The folder goes when the driver ends.
+    at once. The folder goes when the driver ends, or with done().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_sweep)
-    _written.append((spark, path))
+    _written[path] = spark
     schema = df.schema
     del df
     for _ in range(2 * free):  # what the first round finds unused may hold more
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote, once nothing that is still to be computed reads them."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _sweep() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session ended before us, and takes its folder along
             pass
 

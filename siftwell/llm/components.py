@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot
+from .common import cut, done, join_hot
 
 
 def _contract(batches):
@@ -53,7 +53,8 @@ def components(links: DataFrame) -> DataFrame:
         large = join_hot(both, least, "a", "n", total=total).where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = join_hot(large, low, "a", "n", total=total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("b"), F.col("m").alias("a"))
-        edges = cut(_contracted(small).distinct(), "links")
+        last, edges = edges, cut(_contracted(small).distinct(), "links")
+        done(last)
         now = digest(edges)
         if now == was:
             return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionAll(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

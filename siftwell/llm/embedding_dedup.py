@@ -7,8 +7,8 @@ that meet in a bucket of a table, and in none of an earlier table, are compared
 
 A substring has about as many bits as the vectors of the largest label have, written as a number, so that buckets don't
 grow with the data, and there are as many tables as let a pair at the threshold meet with a chance of 1 - MISS, were bits
-independent. Pairs that meet nowhere are links that are lost: measured on vectors without clusters, 0.98 and more of the pairs
-at a cosine of exactly 0.98 are found, and nearly all above 0.985.
+independent. Pairs that meet nowhere are links that are lost: of 4,000 pairs of 64 numbers at a cosine of 0.9801, without any
+clusters, 99.9% are found, and as many at 0.982 and 0.985.
 
 Buckets are compared in blocks, as products of matrices, which tell how many links each vector has and only those links
 that connect something, so that many near copies make no table of pairs. What they compare still grows with the square of

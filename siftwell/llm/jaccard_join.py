@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, chunks, cut, join_hot
+from .common import buckets, chunks, cut, done, join_hot
 from .components import components
 from .word_hashes import Words, inside, mix, pack, runs, unpack
 
@@ -419,7 +419,8 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
     for turn in range(ROUNDS):
         at = lambda x: known.select(F.col("class").alias(x), F.col("component").alias(f"at_{x}"))  # noqa: B023, E731
         apart = near.join(asked, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-        near = cut(apart.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b", "n"), "jaccard-pairs")
+        last, near = near, cut(apart.where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b", "n"), "jaccard-pairs")
+        done(last)
         if near.isEmpty():
             break
         asked = near.select("a", "b") if turn + 1 == ROUNDS else cut(chosen(near), "jaccard-asked")

@@ -276,5 +276,6 @@ def op2_language_id(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    found = language_id(docs, model, with_spans=False)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = language_id(docs, model)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", spans.alias("spans"))

@@ -292,5 +292,35 @@ def test_pipeline_drops_texts_without_a_main_language(spark):
     assert before - {r.doc_id for r in p.language(spark, clean, SMALL).collect()} == set(gone)
 
 
+def test_pipeline_stages_take_any_columns_and_rows(spark):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+    from siftwell.llm.common import cut
+
+    first = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en' and length(text) > 500").limit(1).first()
+    text, key = first.text, "token=abcdefgh1 "
+    rows = [(1, text, "en"), (1, text, "en"), (None, text + " x", "en"), (None, text, "en"), (2, None, None), (3, "", "en"), (4, text[:400] + " " + key, "en"), (4, text[400:900], None)]
+    names = ("score", "lang_pred", "base", "found", "own_id", "own_key", "own_spans", "nth", "key", "kept", "row", "a.b", "b`c", "kind", "class")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    kept = {"language": 6, "near_duplicates": 3, "benchmark": 3, "secrets": 3, "token_ids": 3}
+    for name, stage in p.STAGES:
+        made = cut(stage(spark, docs, SMALL), "test")
+        assert made.count() == kept[name], name
+        if name != "token_ids":
+            assert made.columns == docs.columns and all(made.where(f"`{n.replace('`', '``')}` <> {i}").isEmpty() for i, n in enumerate(names))
+            empty = stage(spark, docs.limit(0), SMALL)
+            assert empty.count() == 0 and empty.columns == docs.columns
+        docs = made if name != "language" else docs.where("text is not null and text <> ''")
+        if name == "near_duplicates":
+            assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted([(1, text), (4, rows[6][1]), (4, rows[7][1])])
+        if name == "secrets":
+            assert [r.text for r in docs.where("doc_id = 4").collect() if "[SECRET]" in r.text] == [text[:400] + " [SECRET] "]
+    # null and empty texts stay in all stages but the first
+    odd = spark.createDataFrame([(2, None, None), (3, "", "en"), (None, None, None)], "doc_id long, text string, lang string")
+    for name, stage in p.STAGES[1:]:
+        assert stage(spark, odd, SMALL).count() == 3, name
+    assert p.language(spark, odd, SMALL).count() == 0
+
+
 def decontamination_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
