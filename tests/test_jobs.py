@@ -267,3 +267,26 @@ def test_configs_are_checked():
         with pytest.raises(ValueError):
             planning.validated(planning.Options(**bad))
     assert planning.run_name("base", {"run_name": "aug"}) == "aug" and planning.run_name("base", None) == "base"
+
+
+def test_many_resolutions_are_joined_in_blocks(spark, monkeypatch):
+    from siftwell.operators import resolution
+
+    sizes = lambda seed: spark.createDataFrame([(int(w), int(h)) for w, h in np.random.default_rng(seed).integers(10, 400, (60, 2))], "width int, height int")
+    candidates, reference = sizes(1), resolution.histogram(sizes(2))
+    few = sorted(map(tuple, resolution.reference_shares(candidates, reference).collect()))
+    monkeypatch.setattr(resolution, "BROADCAST_RESOLUTIONS", 1)
+    monkeypatch.setattr(resolution, "BLOCK", 7)
+    assert sorted(map(tuple, resolution.reference_shares(candidates, reference).collect())) == few
+    assert resolution.radius(candidates, reference, 0.1).count() == candidates.distinct().count()
+
+
+def test_leaks_don_t_depend_on_blocks(spark):
+    x = np.random.default_rng(4).normal(size=(70, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [("c" if i % 3 else "d", ["train", "val", "test"][i % 7 % 3], f"n{i}", v.tolist(), i != 5) for i, v in enumerate(x)]
+    items = spark.createDataFrame(rows, '`class` string, split string, name string, emb array<double>, ok boolean')
+    train, other = items.where("split = 'train'"), items.where("split <> 'train'")
+    for f in (lambda b: leakage.cosine_pairs(train, other, 0.3, b), lambda b: leakage.cosine_pairs_sql(train, other, 0.3, b), lambda b: leakage.nearest(train, other, ("val", "test"), b)):
+        one, two = (sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f(b).collect()], key=str) for b in (1024, 3))
+        assert one == two and one
