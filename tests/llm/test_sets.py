@@ -98,6 +98,44 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("keys", [10_000, 3, 1])
+def test_joins_with_hot_keys_give_the_rows_of_joins(spark, monkeypatch, keys):
+    from siftwell.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", keys)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}" if i % 5 else None) for i in range(200)], "i int, key string")
+    keyed = rows.where("key is not null").groupBy("key").count().withColumnRenamed("count", "n").where("key <> 'k0'").selectExpr("key", "n", "length(key) as l", "key as again")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, common.join_hot(rows, keyed, "key", "n", how).select("i", "key", "l", "again").collect()), key=str)
+        assert got == sorted(map(tuple, rows.join(keyed.drop("n"), "key", how).select("i", "key", "l", "again").collect()), key=str)
+
+
+def test_scans_and_places_in_long_texts(spark):
+    from pyspark.sql import functions as F
+    from siftwell.llm import common
+
+    rng = random.Random(2)
+    arrays = [[rng.randint(-9, 9) for _ in range(n)] for n in (0, 1, 127, 128, 129, 1000)]
+    for values, r in zip(arrays, spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<bigint>").orderBy("i").select(common.scan(F.col("a"), F.lit(0).cast("long"), lambda x, y: x + y).alias("s"), common.scan(F.col("a"), F.lit(-99).cast("long"), F.greatest).alias("m")).collect(), strict=True):
+        assert r.s == [sum(values[: i + 1]) for i in range(len(values))] and r.m == [max(values[: i + 1]) for i in range(len(values))]
+    text = "".join(rng.choice("ab é😀\n") for _ in range(2000))
+    spans = sorted({(a, a + rng.randint(0, 700)) for a in (rng.randint(0, 1999) for _ in range(50))})
+    df = spark.createDataFrame([(text, [(a, min(b, 2000)) for a, b in spans])], "t string, s array<struct<start:bigint,end:bigint>>")
+    df = df.withColumn("leaves", common.leaves(F.col("t")))
+    got = df.select(F.transform("s", lambda x: common.piece(F.col("leaves"), x["start"], x["end"])).alias("p")).first().p
+    assert got == [text[a : min(b, 2000)] for a, b in spans]
+    for _ in range(30):
+        covers = sorted((a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 8))))
+        cuts = sorted(rng.sample(range(70), 8))
+        own = list(zip(cuts[::2], cuts[1::2], strict=True))
+        kind = "array<struct<start:bigint,end:bigint,text:string>>"
+        df = spark.createDataFrame([([(*x, "") for x in own], [(*x, "") for x in covers])], f"s {kind}, c {kind}")
+        r = df.select(common.uncovered(F.col("s"), F.col("c")).alias("u"), common.apart(F.col("s"), F.col("c")).alias("a")).first()
+        free = [(i, p) for i, (a, b) in enumerate(own) for p in range(a, b) if not any(c <= p < d for c, d in covers)]
+        assert sorted((x.i, p) for x in r.u for p in range(x.start, x.end)) == free
+        assert [(x.start, x.end) for x in r.a] == [(a, b) for a, b in own if not any(c < b and a < d for c, d in covers)]
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_decontamination_edges(spark, monkeypatch, most):
     monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", most)
