@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import caption_status, parsed_output
+from ..functions.scalars import caption_status, parsed_output, sniffed_extension
 from .sampling import numbered
 
 
@@ -202,3 +202,17 @@ def grid_text(cells: list[dict], current: tuple[float, float], pool: tuple[float
         return f"{found.get((tol, share), 0)}{mark}".rjust(10)
 
     return "\n".join(["tol".rjust(6) + "".join(f"{s:.1%}".rjust(10) for s in shares), *[f"{t:.2f}".rjust(6) + "".join(shown(t, s) for s in shares) for t in tols]])
+
+
+def routed_files(df: DataFrame, folders: dict[int, str]) -> DataFrame:
+    """file and content of rows (img_id, label, content): <folder of the label>/<img_id>.<extension that the bytes say>. Rows of unknown labels are left out (routed_counts counts them); repeated ids stay, each with its file."""
+    routed = route_labels(df, folders).where("folder is not null")
+    return routed.select(F.concat("folder", F.lit("/"), F.col("img_id").cast("string"), F.lit("."), sniffed_extension(F.col("content"))).alias("file"), "content")
+
+
+def table_text(rows: list[dict], columns: list[str], digits: int = 4) -> str:
+    """Rows as lines of columns, numbers to the right."""
+    shown = [[f"{r[c]:.{digits}f}" if isinstance(r[c], float) else "" if r[c] is None else str(r[c]) for c in columns] for r in rows]
+    widths = [max(len(c), *(len(s[i]) for s in shown)) if shown else len(c) for i, c in enumerate(columns)]
+    line = lambda cells: "  ".join(c.rjust(w) for c, w in zip(cells, widths, strict=True))
+    return "\n".join([line(columns), *map(line, shown)])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .scoring import gelu, mlp
 
@@ -144,3 +144,52 @@ def embedded(images: DataFrame, build, name: str = "path") -> DataFrame:
             yield pa.RecordBatch.from_pydict({name: batch.column(name), "emb": pa.array(out, pa.list_(pa.float32())), "ok": pa.array([v is not None for v in out])})
 
     return images.select(name, "content").mapInArrow(run, f"`{name}` {images.schema[name].dataType.simpleString()}, emb array<float>, ok boolean")
+
+
+def _leaves(weights, path: str = ""):
+    if isinstance(weights, dict | list | tuple):
+        items = weights.items() if isinstance(weights, dict) else enumerate(weights)
+        kind = "" if isinstance(weights, dict) else "[]" if isinstance(weights, list) else "()"
+        for k, v in items:
+            yield from _leaves(v, f"{path}/{k}{kind}")
+    else:
+        yield path[1:], np.asarray(weights, np.float64)
+
+
+def write_weights(spark: SparkSession, weights: dict, path: str) -> None:
+    """Weights as a table: name, shape and numbers of every array. A name is its path in the dict; lists and tuples are marked."""
+    rows = [(name, list(a.shape), a.ravel().tolist()) for name, a in _leaves(weights)]
+    spark.createDataFrame(rows, "name string, shape array<int>, numbers array<double>").write.mode("overwrite").parquet(path)
+
+
+def read_weights(spark: SparkSession, path: str) -> dict:
+    """Weights that write_weights has written. A model's weights have to fit in a worker anyway."""
+    root: dict = {}
+    for r in spark.read.parquet(path).collect():
+        a = np.array(r["numbers"]).reshape(r["shape"])
+        at, steps = root, r["name"].split("/")
+        for step in steps[:-1]:
+            at = at.setdefault(step, {})
+        at[steps[-1]] = a.item() if not r["shape"] else a
+
+    def built(x):
+        if not isinstance(x, dict):
+            return int(x) if isinstance(x, float) and x.is_integer() else x
+        if any(k.endswith(("[]", "()")) for k in x):
+            ordered = [built(x[k]) for k in sorted(x, key=lambda k: int(k[:-2]))]
+            return tuple(ordered) if next(iter(x)).endswith("()") else ordered
+        return {k: built(v) for k, v in x.items()}
+
+    return built(root)
+
+
+def is_classical(weights: dict) -> bool:
+    """Whether a model reads forensic features too: its weights say how they become tokens."""
+    return "projections" in weights or "tokenizer" in weights
+
+
+def describe(weights: dict) -> str:
+    """One line: blocks, latents, heads and how many numbers."""
+    n = sum(a.size for _, a in _leaves(weights))
+    parts = [f"{len(weights['blocks'])} blocks, latents read every {weights['every']}", f"{len(weights['latents'])} latents of {np.shape(weights['latents'])[-1]}", f"{weights['heads']} heads", f"{n:,} numbers"]
+    return ("classical and visual: " if is_classical(weights) else "visual: ") + ", ".join(parts)

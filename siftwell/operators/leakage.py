@@ -232,3 +232,10 @@ def both_hashes(files: DataFrame, pixels) -> DataFrame:
 def hash_groups(items: DataFrame) -> DataFrame:
     """pixel_hash and the names that have it, sorted."""
     return items.where("pixel_hash is not null").groupBy("pixel_hash").agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+
+def removal(train: DataFrame, references: DataFrame, threshold: float, splits: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The whole job for all classes at once: nearest references, what is flagged, what stays, and the summary of each class."""
+    near = nearest(train, references, splits)
+    flags = flagged(near, threshold)
+    return {"nearest": near, "removed": removal_lines(flags, splits), "survivors": survivors(train, flags), "summary": removal_summary(near, threshold, splits)}

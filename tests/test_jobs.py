@@ -290,3 +290,24 @@ def test_leaks_don_t_depend_on_blocks(spark):
     for f in (lambda b: leakage.cosine_pairs(train, other, 0.3, b), lambda b: leakage.cosine_pairs_sql(train, other, 0.3, b), lambda b: leakage.nearest(train, other, ("val", "test"), b)):
         one, two = (sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f(b).collect()], key=str) for b in (1024, 3))
         assert one == two and one
+
+
+def test_weights_are_read_as_written(spark, tmp_path):
+    weights = {"latents": RNG.normal(size=(3, 8)), "blocks": [block(8), block(8, True)], "heads": 2, "every": 2, "head": [(RNG.normal(size=(1, 8)), np.zeros(1))]}
+    forward.write_weights(spark, weights, f"file://{tmp_path}/w")
+    again = forward.read_weights(spark, f"file://{tmp_path}/w")
+    x = RNG.normal(size=(2, 5, 8))
+    assert np.allclose(forward.detector(weights)(x)[0], forward.detector(again)(x)[0]) and not forward.is_classical(again)
+    assert forward.describe(again) == forward.describe(weights) and "2 blocks" in forward.describe(weights)
+
+
+def test_removal_and_routes(spark):
+    rows = [("c", "train", "a", [1.0, 0.0], True), ("c", "train", "b", [0.0, 1.0], True), ("c", "train", "bad", None, False), ("c", "val", "v", [1.0, 0.0], True), ("c", "test", "t", [0.8, 0.6], True)]
+    items = spark.createDataFrame(rows, "`class` string, split string, name string, emb array<double>, ok boolean")
+    job = leakage.removal(items.where("split = 'train'"), items.where("split <> 'train'"), 0.9, ("val", "test"))
+    assert [(r.train_image, r.cosine_sim, r.matched_image) for r in job["removed"].collect()] == [("a", "1.000000", "v")]
+    assert sorted(r.name for r in job["survivors"].collect()) == ["b", "bad"] and job["summary"].first().flagged == 1
+    images = spark.createDataFrame([(1, 0, bytearray(b"\xff\xd8\xff0")), (2, 1, bytearray(b"GIF89a")), (3, 7, bytearray(b"x"))], "img_id int, label int, content binary")
+    assert sorted(r.file for r in etl.routed_files(images, {0: "real", 1: "fake"}).collect()) == ["fake/2.gif", "real/1.jpg"]
+    text = etl.table_text([{"round": "none", "f1": 0.5}, {"round": "jpeg", "f1": None}], ["round", "f1"])
+    assert text.splitlines()[1].endswith("0.5000") and len({len(x) for x in text.splitlines()}) == 1
