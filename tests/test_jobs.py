@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from siftwell.operators import attention, calibration, etl, evaluation, features, forensics, forward, leakage, pixels, planning, profile
+from siftwell.plans import registry
 from siftwell.sources import sinks
 
 RNG = np.random.default_rng(5)
@@ -310,6 +311,12 @@ def test_blocks_are_not_broadcast_by_cosine_pairs(spark):
     assert joins and all("SortMergeJoin" in x for x in joins)
 
 
+@pytest.mark.parametrize("name", ["merge_evidence"])
+def test_blocks_are_not_broadcast_by_queries(spark, name):
+    joins = block_joins(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_squares_of_blocks_hold_all_pairs(spark):
     train, val, x = vectors_of(spark, 60)
     x = x.astype(np.float32).astype(np.float64)
