@@ -323,7 +323,7 @@ def test_blocks_are_not_broadcast_by_built_in_cosine_pairs(spark, monkeypatch):
         assert sorted((r.train_image, r.val_image, round(r.cosine_sim, 9)) for r in pairs.collect()) == sorted([*want, ("short", "short", 1.25)])
 
 
-@pytest.mark.parametrize("name", ["merge_evidence", "sorted_leaks"])
+@pytest.mark.parametrize("name", ["merge_evidence", "sorted_leaks", "leak_summary"])
 def test_blocks_are_not_broadcast_by_queries(spark, name):
     joins = block_joins(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert joins and all("SortMergeJoin" in x for x in joins)
