@@ -314,7 +314,7 @@ def _forced(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of every val vector and the train vector two ids on, as if their content were equal."""
     v = vectors(spark, d)
     train, val = split_of(v, "train"), split_of(v, "val")
-    pairs = val.select("class", (F.col("vec_id") + 2).cast("string").alias("train_image"), F.col("name").alias("val_image"), F.lit("pixel").alias("match_type")).join(train.select(F.col("name").alias("train_image")), "train_image", "left_semi")
+    pairs = val.select("class", (F.col("vec_id") + 2).cast("string").alias("train_image"), F.col("name").alias("val_image"), F.lit("pixel").alias("match_type")).join(train.select(F.col("name").alias("train_image")).hint("merge"), "train_image", "left_semi")
     return leakage.backfilled(pairs, train, val), train, val
 
 

@@ -293,10 +293,15 @@ def test_leaks_don_t_depend_on_blocks(spark):
         assert one == two and one
 
 
+def final_plan(df) -> str:
+    """The plan that ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+
+
 def block_joins(df) -> list[str]:
     """The joins of blocks in the plan that ran."""
-    df.collect()
-    return [line for line in df._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString().splitlines() if "Join [" in line and "left_at" in line]
+    return [line for line in final_plan(df).splitlines() if "Join [" in line and "left_at" in line]
 
 
 def vectors_of(spark, rows: int):
@@ -329,6 +334,33 @@ def test_blocks_are_not_broadcast_by_queries(spark, name):
     assert joins and all("SortMergeJoin" in x for x in joins)
 
 
+@pytest.mark.parametrize("name", ["merge_evidence"])
+def test_no_vectors_pass_the_driver(spark, name):
+    plan = final_plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "Join [" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["merge_evidence"])
+def test_classes_are_counted_without_products_of_partitions(spark, name):
+    was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(was, ("false", "-1"), strict=True):
+            spark.conf.set(c, v)
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+    assert "SortMergeJoin" in plan and "CartesianProduct" not in plan
+
+
+def test_blocks_of_classes_on_one_side_or_none(spark):
+    side = lambda rows: spark.createDataFrame(rows, "`class` string, name string, emb array<double>, ok boolean")
+    train = side([("a", "t1", [1.0, 0.0], True), ("b", "t2", [1.0, 0.0], True), (None, "t3", [1.0, 0.0], True), ("d", "t4", [1.0, 0.0], False), ("a", "t5", [0.8, 0.6], True)])
+    val = side([("a", "v1", [1.0, 0.0], True), ("c", "v2", [1.0, 0.0], True), (None, "v3", [1.0, 0.0], True), ("d", "v4", [1.0, 0.0], True)])
+    for f in (leakage.cosine_pairs, leakage.cosine_pairs_sql):
+        assert sorted((r["class"], r.train_image, r.val_image) for r in f(train, val, 0.5, 1).collect()) == [("a", "t1", "v1"), ("a", "t5", "v1")]
+
+
 def test_squares_of_blocks_hold_all_pairs(spark):
     train, val, x = vectors_of(spark, 60)
     x = x.astype(np.float32).astype(np.float64)
