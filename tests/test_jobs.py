@@ -334,13 +334,13 @@ def test_blocks_are_not_broadcast_by_queries(spark, name):
     assert joins and all("SortMergeJoin" in x for x in joins)
 
 
-@pytest.mark.parametrize("name", ["merge_evidence", "leak_summary"])
+@pytest.mark.parametrize("name", ["merge_evidence", "leak_summary", "sorted_leaks"])
 def test_no_vectors_pass_the_driver(spark, name):
     plan = final_plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "Join [" in plan and "BroadcastHashJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["merge_evidence", "leak_summary"])
+@pytest.mark.parametrize("name", ["merge_evidence", "leak_summary", "sorted_leaks"])
 def test_classes_are_counted_without_products_of_partitions(spark, name):
     was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     try:
