@@ -3,6 +3,8 @@
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from siftwell.operators import attention, calibration, etl, evaluation, features, forensics, forward, leakage, pixels, planning, profile
@@ -340,6 +342,25 @@ def test_no_vectors_pass_the_driver(spark, name):
     assert "Join [" in plan and "BroadcastHashJoin" not in plan
 
 
+def sent_to_driver(spark) -> dict[int, int]:
+    """Bytes of the results of the tasks of each stage so far, what is broadcast among them."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    empty = jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(empty, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), empty)
+    return {s.stageId(): s.resultSize() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+@pytest.mark.parametrize("name", ["sorted_leaks"])
+def test_little_reaches_the_driver(spark, tmp_path, name):
+    x = np.random.default_rng(6).normal(size=(20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": np.zeros(len(x), np.int32)}), f"{tmp_path}/embeddings.parquet")
+    before = sent_to_driver(spark)
+    assert registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert 0 < sum(n for stage, n in sent_to_driver(spark).items() if stage not in before) < 1 << 20
+
+
 @pytest.mark.parametrize("name", ["merge_evidence", "leak_summary", "sorted_leaks"])
 def test_classes_are_counted_without_products_of_partitions(spark, name):
     was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
