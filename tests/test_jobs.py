@@ -351,7 +351,7 @@ def sent_to_driver(spark) -> dict[int, int]:
     return {s.stageId(): s.resultSize() for s in (stages.apply(i) for i in range(stages.size()))}
 
 
-@pytest.mark.parametrize("name", ["sorted_leaks"])
+@pytest.mark.parametrize("name", ["sorted_leaks", "leak_summary"])
 def test_little_reaches_the_driver(spark, tmp_path, name):
     x = np.random.default_rng(6).normal(size=(20_000, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
