@@ -387,9 +387,12 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
         return cut(texts.mapInArrow(_load, "class bigint, set binary"), "jaccard-sets", free=True)
 
     # candidates: pairs that share enough signatures, if those of large groups, which aren't counted here, all count
-    is_large = large.groupBy("class").agg(F.flatten(F.collect_list("groups")).alias("groups"))  # no more than the class has signatures
-    of = members.where("class is not null").groupBy("class").agg(F.min("key").alias("key"), F.min("need").alias("need"))
-    needs = of.join(is_large, "class", "left").withColumn("large", F.greatest(F.coalesce(F.size("groups"), F.lit(0)), F.lit(0)))
+    # and of each class's documents the one of smallest id, and how many there are
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("first")
+    of = members.where("class is not null").select("class", "key", "need", first).unionByName(large, allowMissingColumns=True)
+    groups = F.flatten(F.collect_list("groups"))  # no more than the class has signatures
+    needs = of.groupBy("class").agg(F.min("key").alias("key"), F.min("need").alias("need"), F.min("first").alias("first"), F.count("key").alias("docs"), groups.alias("groups"))
+    needs = needs.withColumn("large", F.size("groups"))
     needs = cut(needs, "jaccard-classes")
     a, b = (needs.select(F.col("class").alias(x), F.col("need").alias(f"need_{x}"), F.col("large").alias(f"large_{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where(F.col("n") + F.least("large_a", "large_b") >= F.greatest("need_a", "need_b")).select("a", "b", "n")
@@ -433,13 +436,11 @@ def jaccard_components(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK
     if last is not None and not last.isEmpty():
         known = components(links.unionAll(last)).withColumnRenamed("id", "class")
 
-    # classes and components of very many documents stay where they are
-    sizes = members.where("class is not null").groupBy("class").agg(F.count("*").alias("docs"))
-    of_class = cut(sizes.join(known, "class", "left").select("class", F.coalesce("component", "class").alias("component"), "docs"), "jaccard-components")
-    placed = join_hot(members, of_class, "class", "docs", "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    smallest = placed.where("class is not null").groupBy("component").agg(first.alias("first"), F.count("*").alias("docs")).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("kept_key"), "docs")
-    out = join_hot(placed, cut(smallest, "jaccard-smallest"), "component", "docs", "left")
+    # components' smallest ids go by classes, so that documents are joined once; those of very large classes stay where they are
+    of_class = cut(needs.select("class", "first", "docs").join(known, "class", "left").withColumn("component", F.coalesce("component", "class")), "jaccard-components")
+    smallest = of_class.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("classes")).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("kept_key"), "classes")
+    placed = join_hot(of_class.select("class", "component", "docs"), cut(smallest, "jaccard-smallest"), "component", "classes").drop("component")
+    out = join_hot(members, cut(placed, "jaccard-placed"), "class", "docs", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", F.coalesce(F.col("key") == F.col("kept_key"), F.lit(True)).alias("kept"))
 
 

@@ -98,6 +98,36 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("alone", [0, 60, 1 << 20])
+def test_components_in_rounds_and_in_one_task_are_the_same(spark, monkeypatch, alone):
+    from siftwell.llm import components as by_links
+
+    rng = random.Random(3)
+    ids = [rng.randint(-(2**62), 2**62) for _ in range(300)]
+    edges = [(ids[i], ids[i + 1]) for i in range(0, 80)] + [tuple(rng.sample(ids[100:], 2)) for _ in range(110)]
+    root = {x: x for e in edges for x in e}
+    for a, b in edges:
+        least, other = sorted((root[a], root[b]))
+        root = {x: least if r == other else r for x, r in root.items()}
+    monkeypatch.setattr(by_links, "ALONE", alone)
+    assert {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()} == root
+
+
+def test_few_jobs_find_components_and_documents_are_joined_once(spark):
+    # the driver keeps account of every job, plan and task
+    spark.sparkContext.setJobGroup("components-of-a-chain", "")
+    try:
+        df = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(8)
+        assert components(df).where("component = 0").count() == 41
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components-of-a-chain")) <= 10
+    finally:
+        for x in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(x, None)
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i % 3}") for i in range(9)], "doc_id long, text string")
+    plan = jaccard_join.jaccard_components(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2  # with the hot classes, and with the others
+
+
 @pytest.mark.parametrize("keys", [10_000, 3, 1])
 def test_joins_with_hot_keys_give_the_rows_of_joins(spark, monkeypatch, keys):
     from siftwell.llm import common
